@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_parts, license_digest, piece_spans, quality_rules, rule_ensemble, url_cascade, winnowing
+from quern.llm import chat_parts, html_wrappers, license_digest, maxent_lm, piece_spans, quality_rules, rule_ensemble, url_cascade, winnowing
+from quern.session import ensure_checkpoint_dir
 from quern.sources.tables import table
 
 
@@ -18,6 +19,13 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    ensure_checkpoint_dir(spark)
+    wrappers = html_wrappers.infer_wrappers(pages).checkpoint()
+    return html_wrappers.extract(pages, wrappers)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judge(docs, out="v").select("doc_id", "v.*")
@@ -45,6 +53,13 @@ def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(pages, "url", set(ALLOW), set(BLOCK), set(BLOCKED_HOSTS), keep=("page_id",))
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = maxent_lm.train(docs.where(~maxent_lm.held_out()))
+    scored = maxent_lm.score(docs, model, counts)
+    return scored.select("doc_id", maxent_lm.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_spans.encode(docs, model_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -92,6 +107,15 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'
 _STOP = ", ".join(f"'{w}'" for w in sorted({*quality_rules.ts.STOP_WORDS, *(w.capitalize() for w in quality_rules.ts.STOP_WORDS)}))
 _REMOVE = "regexp_replace(coalesce(text, ''), '{}', '', 'g')"
 
+#: The tables' pages have one template: the article's blocks begin at its block tags.
+_OP1 = r"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+b AS (SELECT r, unnest(string_split_regex(a, '</?(?:p|h1)>')) AS x, generate_subscripts(string_split_regex(a, '</?(?:p|h1)>'), 1) AS i FROM p),
+c AS (SELECT r, i, trim(regexp_replace(html_unescaped, '\s+', ' ', 'g')) AS x FROM (SELECT r, i, replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', chr(1)), '&amp', '&'), chr(1), '&') AS html_unescaped FROM b)),
+t AS (SELECT r, string_agg(x, chr(10) ORDER BY i) FILTER (x <> '') AS text FROM c GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM p LEFT JOIN t ON t.r = p.r
+"""
+
 _OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
@@ -172,15 +196,18 @@ FROM c GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_wrappers": op1_html_wrappers,
     "op2_quality_rules": op2_quality_rules,
     "op4_rule_ensemble": op4_rule_ensemble,
     "op5_url_cascade": op5_url_cascade,
+    "op6_maxent_lm": op6_maxent_lm,
     "op7_piece_spans": op7_piece_spans,
     "op8_license_digest": op8_license_digest,
     "op9_winnowing": op9_winnowing,
     "op10_chat_parts": op10_chat_parts,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_html_wrappers": _OP1,
     "op2_quality_rules": _OP2,
     "op5_url_cascade": _OP5,
     "op8_license_digest": _OP8,

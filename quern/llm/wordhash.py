@@ -47,6 +47,11 @@ class Words:
 
     def hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of the texts data[offsets[i]:offsets[i+1]], and the offsets of each text's words."""
+        hashes, _, _, at = self.located(data, offsets)
+        return hashes, at
+
+    def located(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, first bytes, byte lengths, offsets of each text's words)."""
         inside = self.word[data]
         start = inside.copy()
         start[1:] &= ~inside[:-1]
@@ -55,13 +60,13 @@ class Words:
         starts = np.flatnonzero(start)
         at = np.searchsorted(starts, offsets)
         if not len(starts):
-            return np.zeros(0, np.uint64), at
+            return np.zeros(0, np.uint64), starts, starts, at
         where = np.flatnonzero(inside)
         first = np.flatnonzero(start[where])
         lengths = np.diff(np.append(first, len(where)))
         pos = np.arange(len(where)) - np.repeat(first, lengths)
         value = self.value[data[where]] * _powers(int(lengths.max()) + 1)[pos]
-        return mix(np.add.reduceat(value, first)), at
+        return mix(np.add.reduceat(value, first)), starts, lengths, at
 
 
 #: Words [^\x20\x09-\x0D]+
