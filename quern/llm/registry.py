@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_parts, html_wrappers, license_digest, maxent_lm, piece_spans, quality_rules, rule_ensemble, url_cascade, winnowing
+from quern.llm import chat_parts, html_wrappers, license_digest, maxent_lm, piece_spans, quality_rules, rule_ensemble, signature_tree, url_cascade, winnowing
 from quern.session import ensure_checkpoint_dir
 from quern.sources.tables import table
 
@@ -32,15 +32,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _held_out(modulus: int, remainder: int):
+def op3_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.classes_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def held_out(modulus: int, remainder: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus == remainder
 
 
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~_held_out(5, 0))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(5, 0))
     scored = rule_ensemble.with_score(docs, rule_ensemble.train(docs, labels), out="score")
-    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 ALLOW = ("org/", "com/fr/")
@@ -198,6 +202,7 @@ FROM c GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_wrappers": op1_html_wrappers,
     "op2_quality_rules": op2_quality_rules,
+    "op3_signature_tree": op3_signature_tree,
     "op4_rule_ensemble": op4_rule_ensemble,
     "op5_url_cascade": op5_url_cascade,
     "op6_maxent_lm": op6_maxent_lm,
