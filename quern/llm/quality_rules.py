@@ -82,7 +82,7 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, ou
     )
     failed = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words"))
     fields = [F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words")]
-    verdict = F.struct(*fields, failed.alias("base_failed"), (~failed & compile_rules(rules)).alias("kept"))
+    verdict = ts.settled(F.struct(*fields, failed.alias("base_failed"), (~failed & compile_rules(rules)).alias("kept")))
     return staged.select(*[F.col(f"`{c}`") for c in own], verdict.alias(out))
 
 

@@ -198,4 +198,4 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 def with_score(df: DataFrame, model: RuleEnsemble, text: str = "text", out: str = "score") -> DataFrame:
     """df plus the double column `out`; a column of df of that name is replaced."""
     own = [c for c in df.columns if c != out]
-    return with_statistics(df, text).select(*[F.col(f"`{c}`") for c in own], model.column().alias(out))
+    return with_statistics(df, text).select(*[F.col(f"`{c}`") for c in own], ts.settled(model.column()).alias(out))

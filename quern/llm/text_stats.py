@@ -35,6 +35,11 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t-\r]+"))
 
 
+def settled(value: Column) -> Column:
+    """The same value, in a form that the optimiser computes once: it doesn't copy it into filters above."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def count_of(text: Column, characters: str) -> Column:
     """How many characters of the text are in the given ASCII set."""
     return F.length(text) - F.length(F.translate(text, characters, ""))
