@@ -34,8 +34,10 @@ from quern.llm.wordhash import BLANK_WORDS, chunks, gram_starts, grams, mix
 from quern.session import ensure_checkpoint_dir
 
 SHINGLE, PERCENT = 5, 75
-BITS = 2048
+BITS = 1024
 LEAF, FANOUT = 32, 8
+#: Buckets of so many classes are trees of one leaf, whose pairs are all looked at in the first round.
+ALL_PAIRS = 8
 BLOCK = 1024
 SAMPLE, FREQUENT, MAX_FREQUENT = 16, 4, 1 << 16
 #: Ids of documents to check that may be broadcast; beyond it they are joined by a shuffle.
@@ -148,13 +150,13 @@ def prefix_rows(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarr
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, ck): the classes that share a shingle, once for each distinct set of members."""
+    """(bucket, m, ck): the classes that share a shingle, once for each distinct set of members."""
     from pyspark.sql import Window
 
     own = Window.partitionBy("tok")
     rows = rows.repartition("tok").dropDuplicates(["tok", "ck"])
     rows = rows.select("ck", F.count("*").over(own).alias("m"), F.bit_xor(F.xxhash64("ck")).over(own).alias("x"), F.min("ck").over(own).alias("lo"), F.max("ck").over(own).alias("hi"))
-    return rows.where("m > 1").select(F.xxhash64("m", "x", "lo", "hi").alias("bucket"), "ck").distinct()
+    return rows.where("m > 1").select(F.xxhash64("m", "x", "lo", "hi").alias("bucket"), "m", "ck").distinct()
 
 
 class _Tree:
@@ -246,15 +248,15 @@ def _tree_join(spanning: bool):
             cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             sizes = np.diff(np.append(cut, len(group)))
             left, right = [], []
-            small = np.repeat(sizes <= LEAF // 4, sizes)
+            small = np.repeat(sizes <= ALL_PAIRS, sizes)
             spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
             rows = (bits, n, n, spare)
-            for d in range(1, LEAF // 4):  # trees of one leaf, all at once
+            for d in range(1, ALL_PAIRS):  # trees of one leaf, all at once
                 i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]) & (comp[:-d] != comp[d:])) if len(group) > d else cut[:0]
                 i = i[_possible(rows, rows, i, i + d)]
                 left.append(ck[i])
                 right.append(ck[i + d])
-            for c, s in zip(cut[sizes > LEAF // 4], sizes[sizes > LEAF // 4], strict=True):
+            for c, s in zip(cut[sizes > ALL_PAIRS], sizes[sizes > ALL_PAIRS], strict=True):
                 a, b = _join_group(*(x[c : c + s] for x in (side, ck, n, bits, comp)), spanning)
                 left.append(a)
                 right.append(b)
@@ -356,26 +358,16 @@ def classes_of(docs: DataFrame, text: str = "text") -> DataFrame:
     named = docs.where("doc_id is not null")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("ck").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")).checkpoint()
     met = buckets(prefix_rows(named, text, frequent_shingles(named, text))).checkpoint()
-    comp: DataFrame | None = None
-    first = True
-    while True:
-        label = F.col("ck") if comp is None else F.coalesce(F.col("v"), F.col("ck"))
-        own = met if comp is None else met.join(comp.withColumnRenamed("u", "ck"), "ck", "left")
-        own = own.select("bucket", "ck", label.alias("comp"))
-        open_ = own.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "m")
-        if not first:  # only buckets that hold one block or less are done with
-            open_ = open_.where(F.col("m") > BLOCK)
-            own = own.groupBy("bucket", "comp").agg(F.min("ck").alias("ck"))
-            open_ = own.join(open_.select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(F.count("*").alias("m"))
-        found = candidates(own.join(open_, "bucket").join(classes.select("ck", "n", "bits"), "ck"), spanning=True).checkpoint()
-        comp = _contract(comp, verify(found, named, classes, text))
-        if not first or not open_.where(F.col("m") > BLOCK).limit(1).count():
+    comp = _round(met.select("bucket", "m", "ck", F.col("ck").alias("comp")), None, named, classes, text, True)
+    met = met.where(F.col("m") > ALL_PAIRS)  # the first round has seen all pairs of smaller buckets
+    while met.where(F.col("m") > BLOCK).limit(1).count():  # large buckets: one class for each component, again inside blocks
+        own, count = _open(met, comp), comp.count()
+        heads = own.groupBy("bucket", "comp").agg(F.min("ck").alias("ck"))
+        sizes = heads.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
+        comp = _round(heads.join(sizes, "bucket"), comp, named, classes, text, True)
+        if comp.count() == count:
             break
-        first = False
-    own = met.join(comp.withColumnRenamed("u", "ck"), "ck", "left").select("bucket", "ck", F.coalesce(F.col("v"), F.col("ck")).alias("comp"))
-    open_ = own.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "m")
-    found = candidates(own.join(open_, "bucket").join(classes.select("ck", "n", "bits"), "ck"), spanning=False).checkpoint()
-    comp = _contract(comp, verify(found, named, classes, text))
+    comp = _round(_open(met, comp), comp, named, classes, text, False)
     of_class = classes.join(comp.withColumnRenamed("u", "ck"), "ck", "left").select("ck", "rep", F.coalesce(F.col("v"), F.col("ck")).alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named_by = of_class.join(least, "comp").select("ck", "component_id")
@@ -384,7 +376,17 @@ def classes_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return out
 
 
-def _contract(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+def _open(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of met with their component, for buckets that hold several components."""
+    own = met.join(comp.withColumnRenamed("u", "ck"), "ck", "left").select("bucket", "m", "ck", F.coalesce(F.col("v"), F.col("ck")).alias("comp"))
+    several = own.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    return own.join(several, "bucket", "left_semi")
+
+
+def _round(members: DataFrame, comp: DataFrame | None, docs: DataFrame, classes: DataFrame, text: str, spanning: bool) -> DataFrame:
+    """The components after the candidates of these members (bucket, m, ck, comp) have been checked."""
+    found = candidates(members.join(classes.select("ck", "n", "bits"), "ck"), spanning).checkpoint()
+    links = verify(found, docs, classes, text)
     return components(links if comp is None else comp.union(links))
 
 
