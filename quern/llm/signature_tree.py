@@ -34,7 +34,8 @@ from quern.llm.wordhash import BLANK_WORDS, chunks, gram_starts, grams, mix
 from quern.session import ensure_checkpoint_dir
 
 SHINGLE, PERCENT = 5, 75
-BITS = 1024
+#: A bitmap has the power of two next above twice the set's size, in bits, and LEAST_BITS at least.
+LEAST_BITS = 1024
 LEAF, FANOUT = 32, 8
 #: Buckets of so many classes are trees of one leaf, whose pairs are all looked at in the first round.
 ALL_PAIRS = 8
@@ -66,12 +67,48 @@ def digest(u: np.ndarray) -> int:
     return int(mix(np.array([total ^ (mixed << np.uint64(1))], np.uint64)).view(np.int64)[0])
 
 
+def width_of(n: int) -> int:
+    return max(LEAST_BITS, 1 << (2 * n - 1).bit_length())
+
+
 def bitmap(u: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(u >> np.uint64(20)) & np.uint64(BITS - 1)] = True
+    width = width_of(len(u))
+    bits = np.zeros(width, bool)
+    bits[(u >> np.uint64(20)) & np.uint64(width - 1)] = True
     return np.packbits(bits).tobytes()
 
 
+def fold(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the width."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
+
+
+class _Maps:
+    """The bitmaps of some rows, by width; sets whose widths differ twofold or more in steps can't link."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([8 * len(x) for x in raw], np.int64)
+        self.place, self.of = np.zeros(len(raw), np.int64), {}
+        for w in np.unique(self.width):
+            rows = np.flatnonzero(self.width == w)
+            self.place[rows] = np.arange(len(rows))
+            self.of[int(w)] = np.frombuffer(b"".join([raw[r] for r in rows]), np.uint64).reshape(len(rows), int(w) // 64)
+
+    def at(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The bitmaps of rows of that width or the next one, at that width."""
+        out = np.zeros((len(rows), width // 64), np.uint64)
+        own = self.width[rows] == width
+        if own.any():
+            out[own] = self.of[width][self.place[rows[own]]]
+        if not own.all():
+            out[~own] = fold(self.of[2 * width][self.place[rows[~own]]])
+        return out
+
+    def levels(self) -> list[int]:
+        return sorted(self.of)
+
+
 def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
@@ -189,6 +226,13 @@ def _possible(a, b, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def _enough(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows can link by the largest overlap that their bitmaps allow."""
+    spare = np.minimum(na - np.bitwise_count(a).sum(1, dtype=np.int64), nb - np.bitwise_count(b).sum(1, dtype=np.int64))
+    most = np.bitwise_count(a & b).sum(1, dtype=np.int64) + spare
+    return (100 + PERCENT) * most >= PERCENT * (na + nb)
+
+
 def traverse(a: _Tree, b: _Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of leaf rows that the bounds allow; a is b: each pair once, the lower row first."""
     same, work = a is b, [(len(a.levels) - 1, len(b.levels) - 1, 0, 0)]
@@ -209,31 +253,44 @@ def traverse(a: _Tree, b: _Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             work += [(na, nb, int(x), int(y)) for x, y in zip(ii, jj, strict=True)]
 
 
-def _best_earlier(i: np.ndarray, j: np.ndarray, bits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each j the i < j with the largest estimated similarity."""
-    both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
-    worth = both / (sizes[i] + sizes[j])
-    order = np.lexsort((i, -worth, j))
-    first = np.append(True, j[order][1:] != j[order][:-1]) if len(order) else np.zeros(0, bool)
-    return i[order][first], j[order][first]
-
-
-def _join_group(side: np.ndarray, ck: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (class keys) of one bucket's pair of blocks; rows are sorted by size."""
-    parts = [np.flatnonzero(side == s) for s in np.unique(side)]
-    trees = [_Tree(n[p], bits[p]) for p in parts]
-    left, right = [], []
-    for i, j in traverse(trees[0], trees[-1]):
-        i, j = parts[0][i], parts[-1][j]
-        differ = comp[i] != comp[j]
-        left.append(i[differ])
-        right.append(j[differ])
+def _join_group(side: np.ndarray, n: np.ndarray, maps: _Maps, rows: np.ndarray, comp: np.ndarray, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (row numbers) of one bucket's pair of blocks; rows are sorted by size.
+
+    There is a tree for each block and bitmap width; trees of neighbouring widths are traversed at the smaller one.
+    """
+    sides = np.unique(side)
+    left, right, worth = [], [], []
+
+    def tree(s: int, own: int, width: int) -> tuple[np.ndarray, _Tree] | None:
+        r = rows[(side == sides[s]) & (maps.width[rows] == own)]
+        return (r, _Tree(n[r], maps.at(r, width))) if len(r) else None
+
+    for width in maps.levels():
+        same = [tree(s, width, width) for s in (0, -1)]
+        if len(sides) == 1:
+            same[1] = same[0]
+        wider = [tree(s, 2 * width, width) for s in (0, -1)]
+        pairs = [(same[0], same[1]), (same[0], wider[1])] + ([(wider[0], same[1])] if len(sides) > 1 else [])
+        for a, b in pairs:
+            if a is None or b is None:
+                continue
+            for i, j in traverse(a[1], b[1]):
+                gi, gj = a[0][i], b[0][j]
+                differ = comp[gi] != comp[gj]
+                left.append(gi[differ])
+                right.append(gj[differ])
+                if spanning:
+                    both = np.bitwise_count(a[1].levels[0][0][i[differ]] & b[1].levels[0][0][j[differ]]).sum(1, dtype=np.int64)
+                    worth.append(both / (n[gi[differ]] + n[gj[differ]]))
     if not left:
-        return ck[:0], ck[:0]
+        return rows[:0], rows[:0]
     i, j = np.concatenate(left), np.concatenate(right)
-    if spanning:
-        i, j = _best_earlier(i, j, bits, n)
-    return ck[i], ck[j]
+    if spanning:  # each row with its best earlier partner
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        order = np.lexsort((i, -np.concatenate(worth), j))
+        first = np.append(True, j[order][1:] != j[order][:-1]) if len(order) else np.zeros(0, bool)
+        i, j = i[order][first], j[order][first]
+    return i, j
 
 
 def _tree_join(spanning: bool):
@@ -244,23 +301,25 @@ def _tree_join(spanning: bool):
 
         def pairs(t: pa.Table) -> pa.RecordBatch:
             group, side, ck, n, comp = (t.column(c).to_numpy() for c in ("grp", "side", "ck", "n", "comp"))
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(ck), BITS // 64)
+            maps = _Maps(t.column("bits").to_pylist())
             cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             sizes = np.diff(np.append(cut, len(group)))
             left, right = [], []
             small = np.repeat(sizes <= ALL_PAIRS, sizes)
-            spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-            rows = (bits, n, n, spare)
-            for d in range(1, ALL_PAIRS):  # trees of one leaf, all at once
-                i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]) & (comp[:-d] != comp[d:])) if len(group) > d else cut[:0]
-                i = i[_possible(rows, rows, i, i + d)]
-                left.append(ck[i])
-                right.append(ck[i + d])
+            for d in range(1, min(ALL_PAIRS, len(group))):  # trees of one leaf, all at once
+                i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]) & (comp[:-d] != comp[d:]) & (100 * n[:-d] >= PERCENT * n[d:]))
+                for width in maps.levels():
+                    x = i[maps.width[i] == width]
+                    x = x[maps.width[x + d] <= 2 * width]
+                    both = (maps.at(r, width) for r in (x, x + d))
+                    x = x[_enough(*both, n[x], n[x + d])]
+                    left.append(x)
+                    right.append(x + d)
             for c, s in zip(cut[sizes > ALL_PAIRS], sizes[sizes > ALL_PAIRS], strict=True):
-                a, b = _join_group(*(x[c : c + s] for x in (side, ck, n, bits, comp)), spanning)
+                a, b = _join_group(side[c : c + s], n, maps, np.arange(c, c + s), comp, spanning)
                 left.append(a)
                 right.append(b)
-            a, b = np.concatenate(left), np.concatenate(right)
+            a, b = (ck[np.concatenate([*x, cut[:0]])] for x in (left, right))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
@@ -358,16 +417,17 @@ def classes_of(docs: DataFrame, text: str = "text") -> DataFrame:
     named = docs.where("doc_id is not null")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("ck").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")).checkpoint()
     met = buckets(prefix_rows(named, text, frequent_shingles(named, text))).checkpoint()
-    comp = _round(met.select("bucket", "m", "ck", F.col("ck").alias("comp")), None, named, classes, text, True)
+    seen: list[DataFrame] = []
+    comp = _round(met.select("bucket", "m", "ck", F.col("ck").alias("comp")), None, named, classes, text, True, seen)
     met = met.where(F.col("m") > ALL_PAIRS)  # the first round has seen all pairs of smaller buckets
     while met.where(F.col("m") > BLOCK).limit(1).count():  # large buckets: one class for each component, again inside blocks
         own, count = _open(met, comp), comp.count()
         heads = own.groupBy("bucket", "comp").agg(F.min("ck").alias("ck"))
         sizes = heads.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
-        comp = _round(heads.join(sizes, "bucket"), comp, named, classes, text, True)
+        comp = _round(heads.join(sizes, "bucket"), comp, named, classes, text, True, seen)
         if comp.count() == count:
             break
-    comp = _round(_open(met, comp), comp, named, classes, text, False)
+    comp = _round(_open(met, comp), comp, named, classes, text, False, seen)
     of_class = classes.join(comp.withColumnRenamed("u", "ck"), "ck", "left").select("ck", "rep", F.coalesce(F.col("v"), F.col("ck")).alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named_by = of_class.join(least, "comp").select("ck", "component_id")
@@ -383,11 +443,18 @@ def _open(met: DataFrame, comp: DataFrame) -> DataFrame:
     return own.join(several, "bucket", "left_semi")
 
 
-def _round(members: DataFrame, comp: DataFrame | None, docs: DataFrame, classes: DataFrame, text: str, spanning: bool) -> DataFrame:
-    """The components after the candidates of these members (bucket, m, ck, comp) have been checked."""
-    found = candidates(members.join(classes.select("ck", "n", "bits"), "ck"), spanning).checkpoint()
+def _round(members: DataFrame, comp: DataFrame | None, docs: DataFrame, classes: DataFrame, text: str, spanning: bool, seen: list[DataFrame]) -> DataFrame:
+    """The components after the candidates of these members (bucket, m, ck, comp) have been checked; seen: pairs checked
+    so far, which are not checked again."""
+    found = candidates(members.join(classes.select("ck", "n", "bits"), "ck"), spanning)
+    for other in seen:
+        found = found.join(other, ["a", "b"], "left_anti")
+    found = found.checkpoint()
+    seen.append(found)
     links = verify(found, docs, classes, text)
-    return components(links if comp is None else comp.union(links))
+    out = components(links if comp is None else comp.union(links))
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of this round
+    return out
 
 
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
