@@ -34,13 +34,13 @@ from quern.llm.wordhash import BLANK_WORDS, chunks, gram_starts, grams, mix
 from quern.session import ensure_checkpoint_dir
 
 SHINGLE, PERCENT = 5, 75
-#: A bitmap has the power of two next above twice the set's size, in bits, and LEAST_BITS at least.
+#: A bitmap has the power of two next above 1.5 times the set's size, in bits, and LEAST_BITS at least.
 LEAST_BITS = 1024
 LEAF, FANOUT = 32, 8
 #: Buckets of so many classes are trees of one leaf, whose pairs are all looked at in the first round.
 ALL_PAIRS = 8
 BLOCK = 1024
-SAMPLE, FREQUENT, MAX_FREQUENT = 16, 4, 1 << 16
+SAMPLE, FREQUENT, MAX_FREQUENT = 8, 2, 1 << 18
 #: Ids of documents to check that may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 ROOT_SHARE = 256
@@ -68,7 +68,7 @@ def digest(u: np.ndarray) -> int:
 
 
 def width_of(n: int) -> int:
-    return max(LEAST_BITS, 1 << (2 * n - 1).bit_length())
+    return max(LEAST_BITS, 1 << (3 * n // 2).bit_length())
 
 
 def bitmap(u: np.ndarray) -> bytes:
