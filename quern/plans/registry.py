@@ -2,6 +2,33 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.plans import portable, shaped
+from quern.sources.tables import table
+
+
+def expand(sql: str) -> str:
+    """SQL in which {view} is written out and only {table} is left."""
+    while views := set(re.findall(r"\{(\w+)\}", sql)) & portable.VIEWS.keys():
+        for v in views:
+            sql = sql.replace(f"{{{v}}}", f"({portable.VIEWS[v]})")
+    return sql
+
+
+def in_spark(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    full = expand(sql)
+    names = sorted(set(re.findall(r"\{(\w+)\}", full)))
+    return lambda spark, sf_dir: spark.sql(full, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def in_duckdb(sql: str) -> str:
+    return re.sub(r"\{(\w+)\}", r"\1", expand(sql))
+
+
 FLAGSHIP = "retrieval_f1_topk"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: in_spark(v) for k, v in portable.QUERIES.items()}, **shaped.QUERIES}
+ORACLE_SQL: dict[str, str] = {**{k: in_duckdb(v) for k, v in portable.QUERIES.items()}, **{k: in_duckdb(v) for k, v in shaped.ORACLE_SQL.items()}}
