@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.bounded import most_frequent
 from quern.llm.wordhash import BLANK_WORDS, chunks, mix
 from quern.session import ensure_checkpoint_dir
 
@@ -214,7 +215,7 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     mean = updates.groupBy("row").agg(*[(F.sum(f"w{k}") / F.sum("met")).alias(f"w{k}") for k in range(CLASSES)]).toPandas()  # ROWS rows at most
     weights = np.zeros((ROWS, CLASSES), np.float32)
     weights[mean["row"].to_numpy(np.int64)] = mean[[f"w{k}" for k in range(CLASSES)]].to_numpy(np.float32)
-    top = counts.select("word", "n").orderBy(F.desc("n"), "word").limit(HOT).toPandas()
+    top = most_frequent(counts, "word", "n", HOT)
     hot = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     model = Model(weights, bias.astype(np.float32), class_of, hot[order], top["n"].to_numpy(np.int64)[order], int(total), int(distinct), class_total, class_distinct)

@@ -182,14 +182,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
     The sampled ids number at most max_rows, so that table may be broadcast. An id with several labels counts once.
     """
-    chosen = (
+    known = (
         labels.select(F.col(id_column).alias("__id"), F.col(label).cast("int").alias("__y"))
         .where("__id is not null and __y in (0, 1)")
         .groupBy("__id")
         .agg(F.min("__y").alias("__y"))
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(max_rows)
     )
+    share = min(1.0, 1.2 * max_rows / max(1, known.count()))  # of the hash range, so that few more rows than needed are sorted
+    near = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
+    chosen = known.where(near < F.lit(int(share * (1 << 30)))).orderBy(near, "__id").limit(max_rows)
     rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__body")).join(F.broadcast(chosen), "__id")
     table = with_statistics(rows, "__body").drop("__body").orderBy("__id").limit(2 * max_rows).toPandas()  # repeated ids
     return fit({s: table[f"__s_{s}"].to_numpy() for s in STATISTICS}, table["__y"].to_numpy())

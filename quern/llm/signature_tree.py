@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.bounded import most_frequent
 from quern.llm.components import components
 from quern.llm.wordhash import BLANK_WORDS, chunks, gram_starts, grams, mix
 from quern.session import ensure_checkpoint_dir
@@ -144,7 +145,7 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
 
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.col(text).cast("string").alias("t"))
     rows = part.mapInArrow(run, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    top = rows.orderBy(F.desc("n"), "tok").limit(MAX_FREQUENT).toPandas()
+    top = most_frequent(rows, "tok", "n", MAX_FREQUENT)
     tok, n = top["tok"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(tok)
     return tok[order], n[order]
