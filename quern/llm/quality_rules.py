@@ -83,9 +83,10 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, ou
     failed = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words"))
     fields = [F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words")]
     verdict = ts.settled(F.struct(*fields, failed.alias("base_failed"), (~failed & compile_rules(rules)).alias("kept")))
-    return staged.select(*[F.col(f"`{c}`") for c in own], verdict.alias(out))
+    return staged.select(*ts.unpacked(own), verdict.alias(out))
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of df that the table keeps, with the columns of df."""
-    return judge(df, text, rules, "__verdict").where("__verdict.kept").drop("__verdict")
+    name = ts.free_name(df.columns, "__verdict")
+    return judge(df, text, rules, name).where(F.col(name).getField("kept")).drop(name)

@@ -38,8 +38,7 @@ MAX_ROWS = 20_000
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df plus one double column __s_<name> per statistic."""
-    own = df.columns
+    """(__row, __s_<name> ...): the columns of df as a struct, and one double column per statistic."""
     df = ts.with_line_counts(ts.with_words(df, text))
     df = df.withColumn("__n", F.size("__words").cast("double")).withColumn("__c", F.length(F.translate("__text", ts.BLANKS, "")).cast("double"))
     body = F.col("__text")
@@ -58,7 +57,7 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "duplicate_line_ratio": F.col("__n_dup_lines") / F.greatest(F.col("__n_lines"), F.lit(1)),
         "words_per_line": F.col("__n") / F.greatest(F.col("__n_lines"), F.lit(1)),
     }
-    return df.select(*[F.col(f"`{c}`") for c in own], *[values[s].cast("double").alias(f"__s_{s}") for s in STATISTICS])
+    return df.select("__row", *[values[s].cast("double").alias(f"__s_{s}") for s in STATISTICS])
 
 
 @dataclass(frozen=True)
@@ -156,10 +155,14 @@ def fit(stats: dict[str, np.ndarray], label: np.ndarray, trees: int = 40, depth:
         for path in _paths(tree, cuts):
             found.setdefault(tuple(sorted(set(path))), None)
     rules = list(found)
+    if not rules:
+        return RuleEnsemble(float(np.log(y.mean() / (1 - y.mean()))), ())
     held = np.stack([Rule(r, 0.0).holds(stats) for r in rules], 1)
     support = held.mean(0)
     _, first = np.unique(np.packbits(held, axis=0), axis=1, return_index=True)
     use = sorted(i for i in first if 0.001 < support[i] < 0.999)
+    if not use:
+        return RuleEnsemble(float(np.log(y.mean() / (1 - y.mean()))), ())
     a = held[:, use].astype(np.float32)
     centre, spread = a.mean(0), a.std(0)
     a = (a - centre) / spread
@@ -192,11 +195,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     near = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
     chosen = known.where(near < F.lit(int(share * (1 << 30)))).orderBy(near, "__id").limit(max_rows)
     rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__body")).join(F.broadcast(chosen), "__id")
-    table = with_statistics(rows, "__body").drop("__body").orderBy("__id").limit(2 * max_rows).toPandas()  # repeated ids
+    table = with_statistics(rows, "__body").withColumn("__id", F.col("__row.__id")).withColumn("__y", F.col("__row.__y")).drop("__row")
+    table = table.orderBy("__id", *[f"__s_{s}" for s in STATISTICS]).limit(2 * max_rows).toPandas()  # ids may repeat
     return fit({s: table[f"__s_{s}"].to_numpy() for s in STATISTICS}, table["__y"].to_numpy())
 
 
 def with_score(df: DataFrame, model: RuleEnsemble, text: str = "text", out: str = "score") -> DataFrame:
     """df plus the double column `out`; a column of df of that name is replaced."""
     own = [c for c in df.columns if c != out]
-    return with_statistics(df, text).select(*[F.col(f"`{c}`") for c in own], ts.settled(model.column()).alias(out))
+    return with_statistics(df, text).select(*ts.unpacked(own), ts.settled(model.column()).alias(out))
+
+
+def keep_good(df: DataFrame, model: RuleEnsemble, least: float, text: str = "text") -> DataFrame:
+    """The rows of df that score `least` or more, with the columns of df."""
+    name = ts.free_name(df.columns, "__score")
+    return with_score(df, model, text, name).where(F.col(name) >= least).drop(name)

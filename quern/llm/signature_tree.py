@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.bounded import most_frequent
 from quern.llm.components import components
+from quern.llm.text_stats import free_name
 from quern.llm.wordhash import BLANK_WORDS, chunks, gram_starts, grams, mix
 from quern.session import ensure_checkpoint_dir
 
@@ -462,11 +463,12 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the near copies: of each component the rows with its smallest id stay; of rows that repeat an id and
     its text one stays; rows without id stay."""
     own = docs.columns
-    classes = classes_of(docs.select("doc_id", text), text)
-    firsts = classes.where("component_id = doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times")).checkpoint()
+    name, times = (free_name(own, n) for n in ("__id", "__times"))
+    classes = classes_of(docs.select("doc_id", F.col(text).alias("text")))
+    firsts = classes.where("component_id = doc_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(times)).checkpoint()
     ids = F.broadcast(firsts) if firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else firsts
-    met = docs.join(ids, F.col("doc_id") == F.col("__id"), "left").where("__times is not null or doc_id is null")
-    if not firsts.where("__times > 1").limit(1).count():
+    met = docs.join(ids, F.col("doc_id") == F.col(name), "left").where(F.col(times).isNotNull() | F.col("doc_id").isNull())
+    if not firsts.where(F.col(times) > 1).limit(1).count():
         return met.select(*[F.col(f"`{c}`") for c in own])
-    once, more = met.where("__times is null or __times = 1"), met.where("__times > 1").dropDuplicates(["doc_id", text])
+    once, more = met.where(F.col(times).isNull() | (F.col(times) == 1)), met.where(F.col(times) > 1).dropDuplicates(["doc_id", text])
     return once.unionByName(more).select(*[F.col(f"`{c}`") for c in own])

@@ -45,9 +45,24 @@ def count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, made longer until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_words(df: DataFrame, text: str) -> DataFrame:
-    """Adds __text (never null) and __words."""
-    return df.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__words", words_of(F.col("__text")))
+    """(__row, __text, __words): all columns of df as one struct, so that no name can clash, the text (never null) and
+    its words."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    return df.select(row, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")).withColumn("__words", words_of(F.col("__text")))
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """Columns of the struct __row."""
+    return [F.col("__row").getField(c).alias(c) for c in columns]
 
 
 def stop_word_count(words: Column) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.text_stats import free_name
 from quern.llm.wordhash import ALNUM_WORDS, chunks, gram_starts, grams
 
 SPAN, K = 13, 8
@@ -214,7 +215,8 @@ def is_contaminated(out: str = "hits"):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The clean rows of docs, with its columns."""
-    return mark(docs, benchmark, text, out="__hits").where(~is_contaminated("__hits")).drop("__hits")
+    name = free_name(docs.columns, "__hits")
+    return mark(docs, benchmark, text, out=name).where(~is_contaminated(name)).drop(name)
 
 
 def ids_digest(items: list[str]) -> str:
