@@ -8,7 +8,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import piece_spans, quality_rules, rule_ensemble, signature_tree, winnowing
 from quern.llm.registry import held_out, model_path
@@ -27,7 +26,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Documents with a score of LEAST_SCORE or more; the model learns from labelled rows of the whole documents table."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(5, 0))
     model = rule_ensemble.train(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
-    return rule_ensemble.with_score(docs, model, out="__score").where(F.col("__score") >= LEAST_SCORE).drop("__score")
+    return rule_ensemble.keep_good(docs, model, LEAST_SCORE)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
