@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +38,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     own = tempfile.mkdtemp(prefix="quern-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application, unless their path has it."""
+    root, context = Path(__file__).resolve().parent.parent, spark.sparkContext
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p}
+    if str(root) in known or context.applicationId in _SHIPPED:
+        return
+    folder = Path(tempfile.mkdtemp(prefix="quern-package-"))
+    shutil.copytree(root / "quern", folder / "package" / "quern", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(folder / "quern"), "zip", folder / "package"))
+    _SHIPPED.add(context.applicationId)
