@@ -80,10 +80,10 @@ QUERIES = {
     "dedupe_pairs_first": "SELECT id, src, tgt FROM (SELECT id, src, tgt, row_number() OVER (PARTITION BY lower(src), lower(tgt) ORDER BY id) AS k FROM {pairs}) t WHERE k = 1",
     "row_sample": "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS STRING)), id) AS k FROM {listings}) t WHERE k <= 50",
     # encoding
-    "id_reindex": "SELECT r.u, m.code, r.i, r.rating FROM {ratings} r JOIN (SELECT u, row_number() OVER (ORDER BY u) - 1 AS code FROM (SELECT DISTINCT u FROM {ratings}) d) m ON m.u = r.u",
+    "id_reindex": "SELECT r.u, CAST(m.code AS BIGINT) AS code, r.i, r.rating FROM {ratings} r JOIN (SELECT u, row_number() OVER (ORDER BY u) - 1 AS code FROM (SELECT DISTINCT u FROM {ratings}) d) m ON m.u = r.u",
     "impute_standardize": """SELECT id, round((v - m) / (s + 1e-6), 6) AS z, missing FROM (SELECT c.id, sign(coalesce(c.x1, t.med)) * ln(1 + abs(coalesce(c.x1, t.med))) AS v, CASE WHEN c.x1 IS NULL THEN 1 ELSE 0 END AS missing FROM {ctr} c CROSS JOIN (SELECT CAST(median(x1) AS DOUBLE) AS med FROM {ctr} WHERE split = 'train') t) a
         CROSS JOIN (SELECT AVG(sign(w) * ln(1 + abs(w))) AS m, stddev_pop(sign(w) * ln(1 + abs(w))) AS s FROM (SELECT coalesce(c.x1, t.med) AS w FROM {ctr} c CROSS JOIN (SELECT CAST(median(x1) AS DOUBLE) AS med FROM {ctr} WHERE split = 'train') t WHERE c.split = 'train') b) q""",
-    "vocab_encode_oov": """SELECT c.id, coalesce(v.code, 0) AS code FROM {ctr} c LEFT JOIN (SELECT val, row_number() OVER (ORDER BY n DESC, val) AS code FROM (SELECT coalesce(c2, '__MISSING__') AS val, COUNT(*) AS n FROM {ctr} WHERE split = 'train' GROUP BY coalesce(c2, '__MISSING__')) a WHERE n >= 10) v ON v.val = coalesce(c.c2, '__MISSING__')""",
+    "vocab_encode_oov": """SELECT c.id, CAST(coalesce(v.code, 0) AS BIGINT) AS code FROM {ctr} c LEFT JOIN (SELECT val, row_number() OVER (ORDER BY n DESC, val) AS code FROM (SELECT coalesce(c2, '__MISSING__') AS val, COUNT(*) AS n FROM {ctr} WHERE split = 'train' GROUP BY coalesce(c2, '__MISSING__')) a WHERE n >= 10) v ON v.val = coalesce(c.c2, '__MISSING__')""",
     "oov_rates": """SELECT c.split, round(AVG(CASE WHEN v.val IS NULL THEN 1e0 ELSE 0e0 END), 9) AS oov FROM {ctr} c LEFT JOIN (SELECT c2 AS val FROM {ctr} WHERE split = 'train' GROUP BY c2 HAVING COUNT(*) >= 400) v ON v.val = c.c2 GROUP BY c.split""",
     # binary metrics
     "roc_auc": "SELECT round((SUM(CASE WHEN y = 1 THEN r ELSE 0e0 END) - np * (np + 1) / 2e0) / (np * nn), 9) AS auc FROM (SELECT y, rank() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2e0 AS r, CAST(SUM(y) OVER () AS DOUBLE) AS np, CAST(COUNT(*) OVER () - SUM(y) OVER () AS DOUBLE) AS nn FROM {scored}) t GROUP BY np, nn",
@@ -91,12 +91,12 @@ QUERIES = {
     "best_f1_threshold": f"SELECT s AS threshold, round(f1, 9) AS f1 FROM (SELECT s, f1, row_number() OVER (ORDER BY f1 DESC, s DESC) AS k FROM (SELECT s, 2e0 * tp / (seen + total_pos) AS f1 FROM ({_RUN}) t) u) v WHERE k = 1",
     "threshold_sweep": "SELECT th, round(CAST(SUM(CASE WHEN s >= th AND y = 1 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(1, SUM(CASE WHEN s >= th THEN 1 ELSE 0 END)), 9) AS prec, round(CAST(SUM(CASE WHEN s >= th AND y = 1 THEN 1 ELSE 0 END) AS DOUBLE) / SUM(y), 9) AS rec FROM {scored} CROSS JOIN (SELECT 0.05e0 AS th UNION ALL SELECT 0.1e0 UNION ALL SELECT 0.2e0 UNION ALL SELECT 0.4e0) g GROUP BY th",
     "log_loss": "SELECT round(AVG(-(y * ln(p) + (1 - y) * ln(1 - p))), 9) AS loss, round(AVG((y - p) * (y - p)), 9) AS brier FROM (SELECT y, least(greatest(s, 1e-7), 1 - 1e-7) AS p FROM {scored}) t",
-    "reliability_ece": "SELECT bin, COUNT(*) AS n, round(AVG(s), 9) AS conf, round(AVG(CAST(y AS DOUBLE)), 9) AS acc, round(abs(AVG(s) - AVG(CAST(y AS DOUBLE))) * COUNT(*) / MAX(total), 9) AS part FROM (SELECT s, y, ntile(10) OVER (ORDER BY s, id) AS bin, COUNT(*) OVER () AS total FROM {scored}) t GROUP BY bin",
+    "reliability_ece": "SELECT CAST(bin AS BIGINT) AS bin, COUNT(*) AS n, round(AVG(s), 9) AS conf, round(AVG(CAST(y AS DOUBLE)), 9) AS acc, round(abs(AVG(s) - AVG(CAST(y AS DOUBLE))) * COUNT(*) / MAX(total), 9) AS part FROM (SELECT s, y, ntile(10) OVER (ORDER BY s, id) AS bin, COUNT(*) OVER () AS total FROM {scored}) t GROUP BY bin",
     "roc_curve": f"SELECT s AS threshold, round(CAST(tp AS DOUBLE) / total_pos, 9) AS tpr, round(CAST(seen - tp AS DOUBLE) / (total - total_pos), 9) AS fpr FROM ({_RUN}) t",
     "pr_curve": f"SELECT s AS threshold, round(CAST(tp AS DOUBLE) / seen, 9) AS prec, round(CAST(tp AS DOUBLE) / total_pos, 9) AS rec FROM ({_RUN}) t",
     "auc_by_kind": "SELECT kind, round((SUM(CASE WHEN y = 1 THEN r ELSE 0e0 END) - np * (np + 1) / 2e0) / (np * nn), 9) AS auc FROM (SELECT kind, y, rank() OVER (PARTITION BY kind ORDER BY s) + (COUNT(*) OVER (PARTITION BY kind, s) - 1) / 2e0 AS r, CAST(SUM(y) OVER (PARTITION BY kind) AS DOUBLE) AS np, CAST(COUNT(*) OVER (PARTITION BY kind) - SUM(y) OVER (PARTITION BY kind) AS DOUBLE) AS nn FROM {scored}) t WHERE np > 0 AND nn > 0 GROUP BY kind, np, nn",
     # recommender
-    "popularity_topk": "SELECT i, n, round(mean, 9) AS mean, k FROM (SELECT i, n, mean, row_number() OVER (ORDER BY n DESC, mean DESC, i) AS k FROM (SELECT i, COUNT(*) AS n, AVG(rating) AS mean FROM {ratings} GROUP BY i) a) t WHERE k <= 20",
+    "popularity_topk": "SELECT i, n, round(mean, 9) AS mean, CAST(k AS BIGINT) AS k FROM (SELECT i, n, mean, row_number() OVER (ORDER BY n DESC, mean DESC, i) AS k FROM (SELECT i, COUNT(*) AS n, AVG(rating) AS mean FROM {ratings} GROUP BY i) a) t WHERE k <= 20",
     "bias_baseline": f"SELECT u, i, round(least(5e0, greatest(1e0, mu + bu + bi)), 6) AS pred FROM ({_BIAS}) t",
     "rmse_mae": f"SELECT round(sqrt(AVG((rating - p) * (rating - p))), 9) AS rmse, round(AVG(abs(rating - p)), 9) AS mae FROM (SELECT rating, least(5e0, greatest(1e0, mu + bu + bi)) AS p FROM ({_BIAS}) t) q",
     "rmse_by_bucket": f"SELECT bucket, COUNT(*) AS n, round(sqrt(AVG((rating - p) * (rating - p))), 9) AS rmse FROM (SELECT rating, least(5e0, greatest(1e0, mu + bu + bi)) AS p, CASE WHEN c < 20 THEN 'a' WHEN c < 40 THEN 'b' ELSE 'c' END AS bucket FROM (SELECT t.*, COUNT(*) OVER (PARTITION BY u) AS c FROM ({_BIAS}) t) x) q GROUP BY bucket HAVING COUNT(*) >= 20",
@@ -114,11 +114,21 @@ QUERIES = {
     "slice_rates": "SELECT lang, COUNT(*) AS n, round(AVG(CASE WHEN k > 1 THEN 1e0 ELSE 0e0 END), 9) AS matched FROM (SELECT lang, COUNT(*) OVER (PARTITION BY grp) AS k FROM {listings}) t GROUP BY lang HAVING COUNT(*) >= 20",
     "first_row_per_key": "SELECT grp, id, title FROM (SELECT grp, id, title, row_number() OVER (PARTITION BY grp ORDER BY id) AS k FROM {listings}) t WHERE k = 1",
     "error_categories": "SELECT label, COUNT(*) AS n FROM (SELECT CASE WHEN y = 1 AND s >= 0.1e0 THEN 'hit' WHEN y = 0 AND s < 0.1e0 THEN 'clean' WHEN y = 1 AND s >= 0.05e0 THEN 'near miss' WHEN y = 1 THEN 'far miss' WHEN s >= 0.4e0 THEN 'loud alarm' ELSE 'alarm' END AS label FROM {scored}) t GROUP BY label",
+    "candidate_recall": """SELECT round(AVG(CASE WHEN c.i IS NULL THEN 0e0 ELSE 1e0 END), 9) AS recall, COUNT(*) AS true_pairs FROM (SELECT a.id AS i, b.id AS j FROM {listings} a JOIN {listings} b ON a.grp = b.grp AND a.id <> b.id) t
+        LEFT JOIN (SELECT DISTINCT a.id AS i, b.id AS j FROM {listings} a JOIN {listings} b ON a.title = b.title AND a.id <> b.id) c ON c.i = t.i AND c.j = t.j""",
+    "pair_dedupe_priority": """SELECT i, j, kind FROM (SELECT i, j, kind, row_number() OVER (PARTITION BY i, j ORDER BY p) AS k FROM (
+        SELECT least(a.id, b.id) AS i, greatest(a.id, b.id) AS j, 'positive' AS kind, 1 AS p FROM {listings} a JOIN {listings} b ON a.grp = b.grp AND a.id < b.id
+        UNION ALL SELECT least(a.id, b.id), greatest(a.id, b.id), 'title', 2 FROM {listings} a JOIN {listings} b ON a.title = b.title AND a.id < b.id) t) q WHERE k = 1""",
+    "pair_features": """SELECT a.id AS i, b.id AS j, round(least(length(a.title), length(b.title)) / CAST(greatest(length(a.title), length(b.title), 1) AS DOUBLE), 9) AS len_ratio, CASE WHEN a.phash = b.phash THEN 1 ELSE 0 END AS phash_eq,
+        CASE WHEN a.source = b.source THEN 1 ELSE 0 END AS same_source, CASE WHEN a.lang = b.lang THEN 1 ELSE 0 END AS same_lang FROM {listings} a JOIN {listings} b ON a.title = b.title AND a.id < b.id""",
+    "match_lists": "SELECT a.id AS id, COUNT(*) AS n, MIN(b.id) AS first_match, MAX(b.id) AS last_match FROM {listings} a JOIN {listings} b ON a.grp = b.grp GROUP BY a.id",
+    "lang_bucket": "SELECT bucket, COUNT(*) AS n FROM (SELECT CASE WHEN lower(title) LIKE '%the %' OR lower(title) LIKE '% of %' THEN 'en' WHEN lower(title) LIKE '% und %' OR lower(title) LIKE '% der %' THEN 'de' WHEN lower(title) LIKE '% les %' OR lower(title) LIKE '% le %' THEN 'fr' ELSE 'other' END AS bucket FROM {listings}) t GROUP BY bucket",
+    "rank_decay": "SELECT k, round(AVG(good), 9) AS prec FROM (SELECT CASE WHEN rating >= 4 THEN 1e0 ELSE 0e0 END AS good, CAST(row_number() OVER (PARTITION BY u ORDER BY rating DESC, i) AS BIGINT) AS k FROM {ratings}) t WHERE k <= 10 GROUP BY k",
     # events, dialogue
-    "sessionize_events": """SELECT user_id, session, COUNT(*) AS n FROM (SELECT user_id, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+    "sessionize_events": """SELECT user_id, CAST(session AS BIGINT) AS session, COUNT(*) AS n FROM (SELECT user_id, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
         SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '1' HOUR THEN 1 ELSE 0 END AS fresh FROM {events}) a) b GROUP BY user_id, session""",
     "session_by_change": "SELECT conv_id, turn, SUM(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) * 1e0 AS part FROM (SELECT conv_id, turn, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS fresh FROM {conversations}) t",
-    "speaker_index": "SELECT conv_id, turn, (dense_rank() OVER (PARTITION BY conv_id ORDER BY seen) - 1) % 2 AS speaker FROM (SELECT conv_id, turn, MIN(turn) OVER (PARTITION BY conv_id, role) AS seen FROM {turns}) t",
+    "speaker_index": "SELECT conv_id, turn, CAST((dense_rank() OVER (PARTITION BY conv_id ORDER BY seen) - 1) % 2 AS BIGINT) AS speaker FROM (SELECT conv_id, turn, MIN(turn) OVER (PARTITION BY conv_id, role) AS seen FROM {turns}) t",
     "conversation_stats": "SELECT COUNT(*) AS convs, round(AVG(n), 9) AS mean_turns, MAX(n) AS most, round(AVG(chars), 9) AS mean_chars FROM (SELECT conv_id, COUNT(*) AS n, SUM(length(text)) * 1e0 AS chars FROM {turns} GROUP BY conv_id) t",
     "top_outputs_share": "SELECT round(SUM(CASE WHEN k <= 5 THEN n ELSE 0 END) / CAST(SUM(n) AS DOUBLE), 9) AS share FROM (SELECT n, row_number() OVER (ORDER BY n DESC, t) AS k FROM (SELECT substr(text, 1, 12) AS t, COUNT(*) AS n FROM {turns} WHERE role = 'assistant' GROUP BY substr(text, 1, 12)) a) b",
     "length_buckets": "SELECT bucket, COUNT(*) AS n FROM (SELECT CASE WHEN length(text) < 100 THEN '0-99' WHEN length(text) < 500 THEN '100-499' ELSE '500+' END AS bucket FROM {turns}) t GROUP BY bucket HAVING COUNT(*) >= 5",

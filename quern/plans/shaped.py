@@ -104,7 +104,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.session_counts(table(spark, sf_dir, "events")).select("user_id", "start", "n")
+    return sessions.session_counts(table(spark, sf_dir, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
