@@ -150,6 +150,8 @@ def fit(stats: dict[str, np.ndarray], label: np.ndarray, trees: int = 40, depth:
     for _ in range(trees):
         columns = rng.choice(x.shape[1], max(2, x.shape[1] // 2), replace=False)
         rows = np.flatnonzero(rng.random(len(y)) < 0.7)
+        if not len(rows):  # few labels
+            continue
         tree = _grow(x, bins, y - 1 / (1 + np.exp(-logit)), rows, depth, columns, max(5, len(y) // 500))
         logit += _predict(tree, bins)
         for path in _paths(tree, cuts):
