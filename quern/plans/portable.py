@@ -5,8 +5,8 @@ from __future__ import annotations
 #: Views on the tables: name -> (SQL, views it needs).
 VIEWS = {
     # user x item ratings; of several the latest counts
-    "ratings": """SELECT u, i, rating, rn_all FROM (SELECT o_custkey AS u, l_suppkey AS i, CAST(least(5, 1 + floor((CAST(l_quantity AS DOUBLE) - 1) / 10)) AS DOUBLE) AS rating,
-        row_number() OVER (PARTITION BY o_custkey, l_suppkey ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS rn, 1 AS rn_all
+    "ratings": """SELECT u, i, rating FROM (SELECT o_custkey AS u, l_suppkey AS i, CAST(least(5, 1 + floor((CAST(l_quantity AS DOUBLE) - 1) / 10)) AS DOUBLE) AS rating,
+        row_number() OVER (PARTITION BY o_custkey, l_suppkey ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS rn
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) t WHERE rn = 1""",
     # advertising-like rows: label, two numbers with gaps, two categories with gaps, train or test
     "ctr": """SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
@@ -15,7 +15,8 @@ VIEWS = {
         CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_linestatus END AS c1, CAST(l_suppkey AS STRING) AS c2,
         CASE WHEN substr(md5(CAST(l_orderkey AS STRING)), 1, 1) < 'd' THEN 'train' ELSE 'test' END AS split FROM {lineitem}""",
     # titles with a class of equal texts
-    "listings": "SELECT doc_id AS id, substr(text, 1, 80) AS title, substr(md5(text), 1, 16) AS phash, min(doc_id) OVER (PARTITION BY md5(text)) AS grp, lang, source FROM {documents}",
+    "listings": """SELECT d.doc_id AS id, d.text AS title, substr(md5(d.text), 1, 16) AS phash, g.grp, d.lang, d.source FROM {documents} d
+        JOIN (SELECT coalesce(md5(text), '') AS h, min(doc_id) AS grp FROM {documents} GROUP BY coalesce(md5(text), '')) g ON g.h = coalesce(md5(d.text), '')""",
     # scored binary rows with many ties
     "scored": "SELECT d.doc_id AS id, l.quality AS y, CAST(floor(d.n_chars / 50) AS DOUBLE) / 400 AS s, d.source AS kind FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id",
     # one row for each turn that isn't the system's
@@ -58,8 +59,8 @@ QUERIES = {
         UNION ALL SELECT 'phash', COUNT(*) - COUNT(phash), COUNT(DISTINCT phash), MIN(phash) FROM {listings} UNION ALL SELECT 'lang', COUNT(*) - COUNT(lang), COUNT(DISTINCT lang), MIN(lang) FROM {listings}""",
     "group_size_distribution": "SELECT n AS size, COUNT(*) AS classes FROM (SELECT grp, COUNT(*) AS n FROM {listings} GROUP BY grp) t GROUP BY n",
     "size_biased_matches": "SELECT round(SUM(n * n) / CAST(SUM(n) AS DOUBLE) - 1, 9) AS others FROM (SELECT grp, COUNT(*) AS n FROM {listings} GROUP BY grp) t",
-    "multi_group_titles": "SELECT SUM(CASE WHEN k > 1 THEN 1 ELSE 0 END) * 1e0 AS several, SUM(CASE WHEN k = 1 THEN 1 ELSE 0 END) * 1e0 AS single FROM (SELECT title, COUNT(DISTINCT grp) AS k FROM {listings} GROUP BY title) t",
-    "duplicate_rows": "SELECT COUNT(*) - COUNT(DISTINCT title) AS later, SUM(CASE WHEN k > 1 THEN 1 ELSE 0 END) * 1e0 AS in_sets FROM (SELECT title, COUNT(*) OVER (PARTITION BY title) AS k FROM {listings}) t",
+    "multi_source_groups": "SELECT SUM(CASE WHEN k > 1 THEN 1 ELSE 0 END) * 1e0 AS several, SUM(CASE WHEN k = 1 THEN 1 ELSE 0 END) * 1e0 AS single FROM (SELECT grp, COUNT(DISTINCT source) AS k FROM {listings} GROUP BY grp) t",
+    "duplicate_rows": "SELECT SUM(k - 1) * 1e0 AS later, SUM(CASE WHEN k > 1 THEN k ELSE 0 END) * 1e0 AS in_sets FROM (SELECT title, COUNT(*) AS k FROM {listings} GROUP BY title) t",
     "label_rates": """SELECT split, round(AVG(y), 9) AS rate, round(greatest(AVG(y), 1 - AVG(y)), 9) AS majority, round(-(AVG(y) * ln(AVG(y)) + (1 - AVG(y)) * ln(1 - AVG(y))), 9) AS prior_loss
         FROM (SELECT split, CAST(y AS DOUBLE) AS y FROM {ctr}) t GROUP BY split""",
     "crosstab_label": "SELECT c1, y, COUNT(*) AS n FROM {ctr} GROUP BY c1, y",
@@ -107,21 +108,16 @@ QUERIES = {
         SELECT u, CAST(SUM(CASE WHEN k <= 5 AND good = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS hits, CAST(SUM(good) AS DOUBLE) AS rel, SUM(CASE WHEN k <= 5 AND good = 1 THEN ln(2e0) / ln(k + 1e0) ELSE 0e0 END) AS dcg,
         SUM(CASE WHEN ideal <= 5 AND good = 1 THEN ln(2e0) / ln(ideal + 1e0) ELSE 0e0 END) AS idcg FROM (SELECT u, good, row_number() OVER (PARTITION BY u ORDER BY round(mu + bu + bi, 9) DESC, i) AS k, row_number() OVER (PARTITION BY u ORDER BY good DESC, i) AS ideal
         FROM (SELECT t.*, CASE WHEN rating >= 4 THEN 1 ELSE 0 END AS good FROM ({_BIAS}) t) g) r GROUP BY u) m WHERE rel > 0""",
-    # matching
-    "pair_positives": "SELECT a.id AS i, b.id AS j FROM {listings} a JOIN {listings} b ON a.grp = b.grp AND a.id < b.id",
-    "symmetric_closure": "SELECT DISTINCT i, j FROM (SELECT a.id AS i, b.id AS j FROM {listings} a JOIN {listings} b ON a.grp = b.grp AND a.id < b.id UNION ALL SELECT b.id, a.id FROM {listings} a JOIN {listings} b ON a.grp = b.grp AND a.id < b.id) t",
-    "missed_pairs": "SELECT a.id AS i, b.id AS j FROM {listings} a JOIN {listings} b ON a.grp = b.grp AND a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM {listings} c WHERE c.id = b.id AND c.source = a.source)",
-    "slice_rates": "SELECT lang, COUNT(*) AS n, round(AVG(CASE WHEN k > 1 THEN 1e0 ELSE 0e0 END), 9) AS matched FROM (SELECT lang, COUNT(*) OVER (PARTITION BY grp) AS k FROM {listings}) t GROUP BY lang HAVING COUNT(*) >= 20",
+    # matching: a class of equal rows stands for its pairs
+    "pair_positives": "SELECT l.id, l.grp, c.k - 1 AS links FROM {listings} l JOIN (SELECT grp, COUNT(*) AS k FROM {listings} GROUP BY grp) c ON c.grp = l.grp",
+    "match_lists": "SELECT l.id, c.n, c.first_match, c.last_match FROM {listings} l JOIN (SELECT grp, COUNT(*) AS n, MIN(id) AS first_match, MAX(id) AS last_match FROM {listings} GROUP BY grp) c ON c.grp = l.grp",
+    "match_extremes": "SELECT grp, min_by(id, size * 1000000000 + id) AS shortest, max_by(id, size * 1000000000 - id) AS longest, COUNT(*) AS n FROM (SELECT grp, id, CAST(length(source) AS BIGINT) AS size FROM {listings}) t GROUP BY grp",
+    "describe_lengths": "SELECT lang, COUNT(*) AS n, round(AVG(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, MIN(n_chars) AS least, MAX(n_chars) AS most FROM {documents} GROUP BY lang",
+    "confusion_metrics": """SELECT tp, fp, fn, tn, round(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 9) AS acc, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0e0), 9) AS prec, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0e0), 9) AS rec,
+        round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0e0), 9) AS f1 FROM (SELECT COUNT(CASE WHEN s >= 0.1e0 AND y = 1 THEN 1 END) AS tp, COUNT(CASE WHEN s >= 0.1e0 AND y = 0 THEN 1 END) AS fp, COUNT(CASE WHEN s < 0.1e0 AND y = 1 THEN 1 END) AS fn, COUNT(CASE WHEN s < 0.1e0 AND y = 0 THEN 1 END) AS tn FROM {scored}) t""",
+    "slice_rates": "SELECT lang, COUNT(*) AS n, round(AVG(CASE WHEN k > 1 THEN 1e0 ELSE 0e0 END), 9) AS matched FROM (SELECT l.lang, c.k FROM {listings} l JOIN (SELECT grp, COUNT(*) AS k FROM {listings} GROUP BY grp) c ON c.grp = l.grp) t GROUP BY lang HAVING COUNT(*) >= 20",
     "first_row_per_key": "SELECT grp, id, title FROM (SELECT grp, id, title, row_number() OVER (PARTITION BY grp ORDER BY id) AS k FROM {listings}) t WHERE k = 1",
     "error_categories": "SELECT label, COUNT(*) AS n FROM (SELECT CASE WHEN y = 1 AND s >= 0.1e0 THEN 'hit' WHEN y = 0 AND s < 0.1e0 THEN 'clean' WHEN y = 1 AND s >= 0.05e0 THEN 'near miss' WHEN y = 1 THEN 'far miss' WHEN s >= 0.4e0 THEN 'loud alarm' ELSE 'alarm' END AS label FROM {scored}) t GROUP BY label",
-    "candidate_recall": """SELECT round(AVG(CASE WHEN c.i IS NULL THEN 0e0 ELSE 1e0 END), 9) AS recall, COUNT(*) AS true_pairs FROM (SELECT a.id AS i, b.id AS j FROM {listings} a JOIN {listings} b ON a.grp = b.grp AND a.id <> b.id) t
-        LEFT JOIN (SELECT DISTINCT a.id AS i, b.id AS j FROM {listings} a JOIN {listings} b ON a.title = b.title AND a.id <> b.id) c ON c.i = t.i AND c.j = t.j""",
-    "pair_dedupe_priority": """SELECT i, j, kind FROM (SELECT i, j, kind, row_number() OVER (PARTITION BY i, j ORDER BY p) AS k FROM (
-        SELECT least(a.id, b.id) AS i, greatest(a.id, b.id) AS j, 'positive' AS kind, 1 AS p FROM {listings} a JOIN {listings} b ON a.grp = b.grp AND a.id < b.id
-        UNION ALL SELECT least(a.id, b.id), greatest(a.id, b.id), 'title', 2 FROM {listings} a JOIN {listings} b ON a.title = b.title AND a.id < b.id) t) q WHERE k = 1""",
-    "pair_features": """SELECT a.id AS i, b.id AS j, round(least(length(a.title), length(b.title)) / CAST(greatest(length(a.title), length(b.title), 1) AS DOUBLE), 9) AS len_ratio, CASE WHEN a.phash = b.phash THEN 1 ELSE 0 END AS phash_eq,
-        CASE WHEN a.source = b.source THEN 1 ELSE 0 END AS same_source, CASE WHEN a.lang = b.lang THEN 1 ELSE 0 END AS same_lang FROM {listings} a JOIN {listings} b ON a.title = b.title AND a.id < b.id""",
-    "match_lists": "SELECT a.id AS id, COUNT(*) AS n, MIN(b.id) AS first_match, MAX(b.id) AS last_match FROM {listings} a JOIN {listings} b ON a.grp = b.grp GROUP BY a.id",
     "lang_bucket": "SELECT bucket, COUNT(*) AS n FROM (SELECT CASE WHEN lower(title) LIKE '%the %' OR lower(title) LIKE '% of %' THEN 'en' WHEN lower(title) LIKE '% und %' OR lower(title) LIKE '% der %' THEN 'de' WHEN lower(title) LIKE '% les %' OR lower(title) LIKE '% le %' THEN 'fr' ELSE 'other' END AS bucket FROM {listings}) t GROUP BY bucket",
     "rank_decay": "SELECT k, round(AVG(good), 9) AS prec FROM (SELECT CASE WHEN rating >= 4 THEN 1e0 ELSE 0e0 END AS good, CAST(row_number() OVER (PARTITION BY u ORDER BY rating DESC, i) AS BIGINT) AS k FROM {ratings}) t WHERE k <= 10 GROUP BY k",
     # events, dialogue
@@ -130,7 +126,7 @@ QUERIES = {
     "session_by_change": "SELECT conv_id, turn, SUM(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) * 1e0 AS part FROM (SELECT conv_id, turn, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS fresh FROM {conversations}) t",
     "speaker_index": "SELECT conv_id, turn, CAST((dense_rank() OVER (PARTITION BY conv_id ORDER BY seen) - 1) % 2 AS BIGINT) AS speaker FROM (SELECT conv_id, turn, MIN(turn) OVER (PARTITION BY conv_id, role) AS seen FROM {turns}) t",
     "conversation_stats": "SELECT COUNT(*) AS convs, round(AVG(n), 9) AS mean_turns, MAX(n) AS most, round(AVG(chars), 9) AS mean_chars FROM (SELECT conv_id, COUNT(*) AS n, SUM(length(text)) * 1e0 AS chars FROM {turns} GROUP BY conv_id) t",
-    "top_outputs_share": "SELECT round(SUM(CASE WHEN k <= 5 THEN n ELSE 0 END) / CAST(SUM(n) AS DOUBLE), 9) AS share FROM (SELECT n, row_number() OVER (ORDER BY n DESC, t) AS k FROM (SELECT substr(text, 1, 12) AS t, COUNT(*) AS n FROM {turns} WHERE role = 'assistant' GROUP BY substr(text, 1, 12)) a) b",
+    "top_outputs_share": "SELECT round(SUM(CASE WHEN k <= 5 THEN n ELSE 0 END) / CAST(SUM(n) AS DOUBLE), 9) AS share FROM (SELECT n, row_number() OVER (ORDER BY n DESC, t) AS k FROM (SELECT text AS t, COUNT(*) AS n FROM {turns} WHERE role = 'assistant' GROUP BY text) a) b",
     "length_buckets": "SELECT bucket, COUNT(*) AS n FROM (SELECT CASE WHEN length(text) < 100 THEN '0-99' WHEN length(text) < 500 THEN '100-499' ELSE '500+' END AS bucket FROM {turns}) t GROUP BY bucket HAVING COUNT(*) >= 5",
     "union_labelled": "SELECT id, 'user' AS part FROM {pairs} UNION ALL SELECT doc_id, 'doc' FROM {documents}",
     "argmax_row": "SELECT source, max_by(doc_id, n_chars * 1000000000 + doc_id) AS longest FROM {documents} GROUP BY source",

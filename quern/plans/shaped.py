@@ -26,7 +26,7 @@ def retrieval_f1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
 
 
 def tfidf_word(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _titles(spark, sf_dir).select(F.explode(text.tokens(F.col("title"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n >= 2")
-    return counts.withColumn("code", F.row_number().over(Window.orderBy(F.desc("n"), "token")) + 3).where("code < 5000")
+    return counts.orderBy(F.desc("n"), "token").limit(4996).withColumn("code", F.row_number().over(Window.orderBy(F.desc("n"), "token")) + 3)  # the limit bounds the window
 
 
 def title_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +96,9 @@ def dialogue_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _titles(spark, sf_dir).select("id", F.array_distinct(text.tokens(F.col("title"))).alias("w")).where(F.size("w") > 0)
-    terms = rows.select("id", F.size("w").alias("size"), F.explode("w").alias("t"))
-    a, b = terms.select(F.col("id").alias("i"), F.col("size").alias("si"), "t"), terms.select(F.col("id").alias("j"), F.col("size").alias("sj"), "t")
-    both = a.where("i % 50 = 0").join(b, "t").where("i <> j").groupBy("i", "j", "si", "sj").agg(F.count("*").alias("n"))
-    return both.select("i", "j", F.round(F.col("n") / (F.col("si") + F.col("sj") - F.col("n")), 9).alias("jaccard")).where("jaccard >= 0.5")
+    """Jaccard similarity of the two sides of each pair; 0 if both are empty."""
+    rows = _pairs(spark, sf_dir).select("id", F.array_distinct(text.tokens(F.col("src"))).alias("a"), F.array_distinct(text.tokens(F.col("tgt"))).alias("b"))
+    return rows.select("id", F.round(F.size(F.array_intersect("a", "b")) / F.greatest(F.size(F.array_union("a", "b")), F.lit(1)), 9).alias("jaccard"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "logreg_auc": logreg_auc,
 }
 
-_T = "SELECT doc_id AS id, substr(text, 1, 80) AS title FROM {documents}"
+_T = "SELECT doc_id AS id, text AS title FROM {documents}"
 _TOK = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
 
 
@@ -186,7 +184,7 @@ ORACLE_SQL: dict[str, str] = {
     "tfidf_topk": f"{_TFIDF}, s AS (SELECT a.id AS q, b.id AS id, round(sum(a.weight * b.weight), 6) AS score FROM idx a JOIN idx b ON a.term = b.term AND a.id <> b.id WHERE a.id % 50 = 0 GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INT AS rank FROM s) t WHERE rank <= 5",
     "token_vocab": f"SELECT token, n, code FROM (SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) + 3)::INT AS code FROM (SELECT token, count(*) AS n FROM (SELECT unnest({_TOK.format('title')}) AS token FROM ({_T}) t) a GROUP BY token HAVING count(*) >= 2) b) c WHERE code < 5000",
     "title_features": f"SELECT id, length(title)::BIGINT AS chars, len({_TOK.format('title')})::BIGINT AS words, regexp_matches(title, '[0-9]') AS has_digit, upper(title) = title AS capitals, length(regexp_replace(title, '[A-Za-z0-9 ]', '', 'g')) > 0 AS other FROM ({_T}) t",
-    "jaccard_pairs": f"WITH r AS (SELECT id, list_distinct({_TOK.format('title')}) AS w FROM ({_T}) t), s AS (SELECT a.id AS i, b.id AS j, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS jaccard FROM r a JOIN r b ON a.id <> b.id AND a.id % 50 = 0 AND len(a.w) > 0 AND len(b.w) > 0) SELECT * FROM s WHERE jaccard >= 0.5",
+    "jaccard_pairs": f"SELECT id, round(len(list_intersect(a, b))::DOUBLE / greatest(len(list_distinct(list_concat(a, b))), 1), 9) AS jaccard FROM (SELECT id, list_distinct({_TOK.format('src')}) AS a, list_distinct({_TOK.format('tgt')}) AS b FROM ({_PAIRS}) p) q",
     "connected_components": f"SELECT id, min(id) OVER (PARTITION BY title) AS component FROM ({_T}) t",
     "rouge_1_2": " UNION ALL ".join(f"SELECT {n} AS n, round(avg(CASE WHEN m > 0 THEN 2.0::DOUBLE * m / (ht + rt) ELSE 0 END), 9) AS f1 FROM ({_matches_sql(n)}) z" for n in (1, 2)),
     "bleu_precisions": " UNION ALL ".join(f"SELECT {n} AS n, round(sum(m)::DOUBLE / sum(ht), 9) AS precision FROM ({_matches_sql(n)}) z" for n in (1, 2, 3, 4)),
