@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import ordered, portable, shaped
+from quern.plans import generation, ordered, pairs, portable, shaped
 from quern.sources.tables import table
 
 
@@ -30,5 +30,5 @@ def in_duckdb(sql: str) -> str:
 
 
 FLAGSHIP = "retrieval_f1_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: in_spark(v) for k, v in portable.QUERIES.items()}, **ordered.queries(in_spark), **shaped.QUERIES}
-ORACLE_SQL: dict[str, str] = {**{k: in_duckdb(v) for k, v in portable.QUERIES.items()}, **{k: in_duckdb(v) for k, v in shaped.ORACLE_SQL.items()}}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: in_spark(v) for k, v in portable.QUERIES.items()}, **ordered.queries(in_spark), **shaped.QUERIES, **generation.QUERIES, **pairs.QUERIES}
+ORACLE_SQL: dict[str, str] = {**{k: in_duckdb(v) for k, v in portable.QUERIES.items()}, **{k: in_duckdb(v) for k, v in {**shaped.ORACLE_SQL, **generation.ORACLE_SQL, **pairs.ORACLE_SQL}.items()}}
