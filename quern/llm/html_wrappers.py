@@ -3,14 +3,16 @@
 A page's token stream (block tags and text blocks; inline tags, comments and raw-text elements leave no tokens) is read
 into nested sibling lists. Repeated neighbours become repeated groups. The pages of a host are then aligned one after
 another with the host's wrapper: siblings that only one side has become optional, runs become repeated groups, and
-texts that differ become text slots, while equal ones stay part of the template. Wrappers are folded within each batch
+texts that differ become text slots, while equal ones stay part of the template. Every sibling counts the pages that
+have it. Wrappers are folded within each batch
 first, then by salted host, then by host, so that a hot host never meets in one task and memory stays bounded by the
 wrapper's size (MAX_NODES; siblings beyond it are judged by their own labels).
 
 Every slot of a wrapper is main text or not: inside article, main or content elements and outside menus, headers,
 footers, sidebars, notices, adverts, forms and comments. A host's pages without such an element take every slot outside
-those parts that is neither a list of links nor template text. Extraction aligns each page with its host's wrapper and
-joins the texts of the main slots.
+those parts that is neither a list of links nor template text: a text that is the same on all pages that have its slot, where
+these are MIN_TEMPLATE_PAGES at least and most of the host's pages. Extraction aligns each page with its host's wrapper
+and joins the texts of the main slots; what it leaves out as template text equals the template's.
 
 Defined results: null or empty html, and pages without main text, give an empty text; character references are decoded
 as HTML does; a line break is white space inside a block; html cut off at any place is closed there; elements nested
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 
 MAX_NODES, MAX_DEPTH, MAX_PERIOD = 4000, 120, 6
 SALTS = 32
-#: Fewer pages of a host don't tell template text from other text.
+#: Fewer pages with a slot don't tell template text from other text.
 MIN_TEMPLATE_PAGES = 4
 BROADCAST_BYTES = 64 << 20
 
@@ -149,31 +151,32 @@ def parse(html: str) -> _Node:
     return root
 
 
-# A wrapper is a list of siblings: [kind, label, flags, kids, text]; kind "e" (element), "#" (slot, whose text is kept
-# while all pages agree, else None) or "g" (group). Flags: 1 optional, 2 repeated.
+# A wrapper is a list of siblings: [kind, label, flags, kids, text, support]; kind "e" (element), "#" (slot, whose text is
+# kept while all pages agree, else None) or "g" (group). Flags: 1 optional, 2 repeated. Support: the pages that have it.
 
 
 def _key(w: list):
     return tuple(_key(k) for k in w[3]) if w[0] == "g" else w[1]
 
 
-def _merge(a: list, b: list) -> list:
+def _merge(a: list, b: list, one_page: bool) -> list:
     """The alignment of two matching siblings."""
     text = a[4] if a[4] == b[4] else None
-    return [a[0], a[1], a[2] | b[2], align(a[3], b[3]) if a[3] or b[3] else [], text]
+    support = max(a[5], b[5]) if one_page else a[5] + b[5]
+    return [a[0], a[1], a[2] | b[2], align(a[3], b[3], one_page) if a[3] or b[3] else [], text, support]
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper of two sibling lists: matching siblings merge, others become optional."""
+def align(a: list, b: list, one_page: bool = False) -> list:
+    """The wrapper of two sibling lists, of one page or of different ones: matching siblings merge, others become optional."""
     ka, kb = [_key(x) for x in a], [_key(x) for x in b]
     if ka == kb:
-        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [_merge(x, y, one_page) for x, y in zip(a, b, strict=True)]
     out = []
     for op, i, j, k, n in SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [_merge(x, y) for x, y in zip(a[i:j], b[k:n], strict=True)]
+            out += [_merge(x, y, one_page) for x, y in zip(a[i:j], b[k:n], strict=True)]
         else:
-            out += [[w[0], w[1], w[2] | 1, w[3], w[4]] for w in chain(a[i:j], b[k:n])]
+            out += [[w[0], w[1], w[2] | 1, *w[3:]] for w in chain(a[i:j], b[k:n])]
     return out
 
 
@@ -191,8 +194,8 @@ def fold_repeats(row: list) -> list:
                 continue
             body = row[i : i + period]
             for j in range(1, n):
-                body = align(body, row[i + j * period : i + (j + 1) * period])
-            out.append([*body[0][:2], body[0][2] | 2, *body[0][3:]] if period == 1 else ["g", "", 2, body, None])
+                body = align(body, row[i + j * period : i + (j + 1) * period], one_page=True)
+            out.append([*body[0][:2], body[0][2] | 2, *body[0][3:]] if period == 1 else ["g", "", 2, body, None, 1])
             i += n * period
         row = out
     return row
@@ -200,7 +203,7 @@ def fold_repeats(row: list) -> list:
 
 def skeleton(nodes: list[_Node]) -> list:
     """The wrapper of one page."""
-    return fold_repeats([["#", n.label, 0, [], n.text[:80]] if n.text is not None else ["e", n.label, 0, skeleton(n.kids), None] for n in nodes])
+    return fold_repeats([["#", n.label, 0, [], n.text[:80], 1] if n.text is not None else ["e", n.label, 0, skeleton(n.kids), None, 1] for n in nodes])
 
 
 def count(row: list) -> int:
@@ -228,20 +231,23 @@ def _part(label: str) -> tuple[bool, bool, bool]:
     return False, not other and bool(words & {"content", "article", "post", "entry", "story", "main"}), other
 
 
-def _judge(row: list, inside: int, other: bool, in_list: bool, template: bool) -> list:
-    """The wrapper with, for each slot, the ways in which it is main text: 1 in an article, 2 in content, 4 elsewhere."""
+def _judge(row: list, inside: int, other: bool, in_list: bool, least: float) -> list:
+    """The wrapper with, for each slot, the ways in which it is main text: 1 in an article, 2 in content, 4 elsewhere.
+
+    A slot's text stays if it is template text, which `least` pages have.
+    """
     out = []
-    for kind, label, flags, kids, text in row:
+    for kind, label, flags, kids, text, support in row:
         if kind == "e":
             article, content, no = _part(label)
             no = no or (label.split("|")[0] == "header" and not inside & 1)
             linked = in_list or (not inside and bool(flags & 2) and _all_linked(kids))
-            out.append([kind, label, flags, _judge(kids, inside | (1 if article else 0) | (2 if content else 0), other or no, linked, template), text, 0])
+            out.append([kind, label, flags, _judge(kids, inside | (1 if article else 0) | (2 if content else 0), other or no, linked, least), None, 0])
         elif kind == "g":
-            out.append([kind, label, flags, _judge(kids, inside, other, in_list or (not inside and _all_linked(kids)), template), text, 0])
+            out.append([kind, label, flags, _judge(kids, inside, other, in_list or (not inside and _all_linked(kids)), least), None, 0])
         else:
-            ways = 0 if other else (1 if inside & 1 else 0) | (2 if inside & 2 else 0) | (0 if in_list or (template and text is not None) else 4)
-            out.append([kind, label, flags, [], text, ways])
+            ways = 0 if other else (1 if inside & 1 else 0) | (2 if inside & 2 else 0) | (0 if in_list else 4)
+            out.append([kind, label, flags, [], text if support >= least else None, ways])
     return out
 
 
@@ -258,17 +264,17 @@ class Wrapper:
     """A judged wrapper, ready to extract."""
 
     def __init__(self, pages: int, row: list):
-        template = pages >= MIN_TEMPLATE_PAGES and _varies(row)
-        self.row = self._flat(_judge(row, 0, False, False, template))
+        least = max(MIN_TEMPLATE_PAGES, pages // 2 + 1) if _varies(row) else float("inf")
+        self.row = self._flat(_judge(row, 0, False, False, least))
 
     def _flat(self, row: list) -> list:
-        """Siblings with groups written out: (label, ways, kids, index of the first place of each label)."""
+        """Siblings with groups written out: (label, ways, kids, template text), and the places of each label."""
         out: list = []
         for w in row:
             if w[0] == "g":
                 out += self._flat(w[3])[0]
             else:
-                out.append((w[1], w[5], self._flat(w[3])))
+                out.append((w[1], w[5], self._flat(w[3]), w[4]))
         places: dict[str, list[int]] = {}
         for i, w in enumerate(out):
             places.setdefault(w[0], []).append(i)
@@ -295,6 +301,8 @@ class Wrapper:
             no = no or (n.name == "header" and not inside & 1)
             if n.text is not None:
                 ways = place[1] if place else 0 if other else inside | 4
+                if place and place[3] is not None and place[3] == n.text[:80]:
+                    ways &= ~4
                 found.append((ways, n.text))
             else:
                 self._walk(n.kids, place[2] if place else None, inside | (1 if article else 0) | (2 if content else 0), other or no, found)

@@ -213,6 +213,18 @@ def test_wrapper_alignment():
     assert pairs[0][3][0][0] == "g" and pairs[0][3][0][2] == 2
 
 
+def extracted(spark, pages):
+    """The texts of pages of one host."""
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_wrappers.extract(df, html_wrappers.infer_wrappers(df)).orderBy("page_id").collect()]
+
+
+def test_text_of_few_pages_is_no_template(spark):
+    pages = [f"<div>Sold by us</div><h1>t{i}</h1>" + ("<blockquote>said once</blockquote>" if i == 2 else "") + ("<h3>on three</h3>" if i < 3 else "") + ("<h2>on four</h2>" if i > 3 else "") for i in range(8)]
+    want = [[f"t{i}", *["said once"] * (i == 2), *["on three"] * (i < 3), *["on four"] * (i > 3)] for i in range(8)]
+    assert extracted(spark, pages) == ["\n".join(w) for w in want]
+
+
 def test_licenses(spark):
     mit = license_digest.KNOWN["MIT"]
     rows = [(1, mit.upper().replace(", ", " ,\n")), (2, "Copyright (c) 2020 Somebody\n\n" + mit), (3, mit + " and more"), (4, license_digest.KNOWN["0BSD"].replace("any purpose", "any  purpose"))]
