@@ -5,8 +5,13 @@ into nested sibling lists. Repeated neighbours become repeated groups. The pages
 another with the host's wrapper: siblings that only one side has become optional, runs become repeated groups, and
 texts that differ become text slots, while equal ones stay part of the template. Every sibling counts the pages that
 have it. Wrappers are folded within each batch
-first, then by salted host, then by host, so that a hot host never meets in one task and memory stays bounded by the
-wrapper's size (MAX_NODES; siblings beyond it are judged by their own labels).
+first, then by salted host, then by host, so that a hot host's pages never meet in one task.
+
+A host with varied markup outgrows MAX_NODES. Its wrapper then drops rare siblings by the frequent-items rule of Misra and
+Gries (all supports fall by the same number), which keeps every sibling that a quarter of the pages have, in whatever
+order pages are folded. Another pass over the pages of such hosts counts the exact support of each slot left and whether
+all its pages agree, so that template text is told exactly. Siblings without a place in the wrapper are judged as in the
+wrapper of their page alone.
 
 Every slot of a wrapper is main text or not: inside article, main or content elements and outside menus, headers,
 footers, sidebars, notices, adverts, forms and comments. A host's pages without such an element take every slot outside
@@ -21,6 +26,7 @@ deeper than MAX_DEPTH only break blocks; a null host is a host; repeated rows ar
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -34,6 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import ensure_checkpoint_dir
+
 MAX_NODES, MAX_DEPTH, MAX_PERIOD = 4000, 120, 6
 SALTS = 32
 #: Fewer pages with a slot don't tell template text from other text.
@@ -210,11 +218,45 @@ def count(row: list) -> int:
     return sum(1 + count(w[3]) for w in row)
 
 
+def one_page(html: str) -> list:
+    row = skeleton(parse(html).kids)
+    return [1, row, False, count(row), False]
+
+
 def infer(wrapper: list | None, other: list) -> list:
-    """One step of the inference; both sides are [pages, siblings]."""
+    """One step of the inference; both sides are [pages, siblings, any dropped, nodes of all pages, texts varied before a drop]."""
     if wrapper is None:
         return other
-    return [wrapper[0] + other[0], wrapper[1] if count(wrapper[1]) > MAX_NODES else align(wrapper[1], other[1])]
+    pages, row, nodes = wrapper[0] + other[0], align(wrapper[1], other[1]), wrapper[3] + other[3]
+    most = max(MAX_NODES, 4 * nodes // pages)
+    dropped = count(row) > 2 * most
+    varied = wrapper[4] or other[4] or (dropped and _varies(row))
+    return [pages, drop_rare(row, most) if dropped else row, dropped or wrapper[2] or other[2], nodes, varied]
+
+
+def _supports(row: list, in_group: bool = False) -> Iterator[int]:
+    for w in row:
+        if not in_group:
+            yield w[5]
+        yield from _supports(w[3], w[0] == "g")
+
+
+def drop_rare(row: list, most: int) -> list:
+    """At most `most` siblings, besides those that stand right inside a group, which stay with it."""
+    supports = sorted(_supports(row), reverse=True)
+    return _lower(row, supports[most], False) if len(supports) > most else row
+
+
+def _lower(row: list, by: int, in_group: bool) -> list:
+    return [[*w[:3], _lower(w[3], by, w[0] == "g"), w[4], w[5] if in_group else w[5] - by] for w in row if in_group or w[5] > by]
+
+
+def slots(row: list) -> Iterator[list]:
+    for w in row:
+        if w[0] == "#":
+            yield w
+        else:
+            yield from slots(w[3])
 
 
 @lru_cache(maxsize=4096)
@@ -234,7 +276,7 @@ def _part(label: str) -> tuple[bool, bool, bool]:
 def _judge(row: list, inside: int, other: bool, in_list: bool, least: float) -> list:
     """The wrapper with, for each slot, the ways in which it is main text: 1 in an article, 2 in content, 4 elsewhere.
 
-    A slot's text stays if it is template text, which `least` pages have.
+    A slot's text stays if it is template text, which `least` pages have. Elements tell whether they are in a list of links.
     """
     out = []
     for kind, label, flags, kids, text, support in row:
@@ -242,7 +284,7 @@ def _judge(row: list, inside: int, other: bool, in_list: bool, least: float) ->
             article, content, no = _part(label)
             no = no or (label.split("|")[0] == "header" and not inside & 1)
             linked = in_list or (not inside and bool(flags & 2) and _all_linked(kids))
-            out.append([kind, label, flags, _judge(kids, inside | (1 if article else 0) | (2 if content else 0), other or no, linked, least), None, 0])
+            out.append([kind, label, flags, _judge(kids, inside | (1 if article else 0) | (2 if content else 0), other or no, linked, least), None, linked])
         elif kind == "g":
             out.append([kind, label, flags, _judge(kids, inside, other, in_list or (not inside and _all_linked(kids)), least), None, 0])
         else:
@@ -260,57 +302,69 @@ def _varies(row: list) -> bool:
     return any(w[4] is None if w[0] == "#" else _varies(w[3]) for w in row)
 
 
+def _flat(row: list, number: Iterator[int]) -> list:
+    """Siblings with groups written out: (label, ways or in a list, kids, template text, slot), and the places of each label."""
+    out: list = []
+    for w in row:
+        if w[0] == "g":
+            out += _flat(w[3], number)[0]
+        else:
+            out.append((w[1], w[5], _flat(w[3], number), w[4], next(number) if w[0] == "#" else -1))
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(out):
+        places.setdefault(w[0], []).append(i)
+    return [out, places]
+
+
 class Wrapper:
     """A judged wrapper, ready to extract."""
 
-    def __init__(self, pages: int, row: list):
-        least = max(MIN_TEMPLATE_PAGES, pages // 2 + 1) if _varies(row) else float("inf")
-        self.row = self._flat(_judge(row, 0, False, False, least))
-
-    def _flat(self, row: list) -> list:
-        """Siblings with groups written out: (label, ways, kids, template text), and the places of each label."""
-        out: list = []
-        for w in row:
-            if w[0] == "g":
-                out += self._flat(w[3])[0]
-            else:
-                out.append((w[1], w[5], self._flat(w[3]), w[4]))
-        places: dict[str, list[int]] = {}
-        for i, w in enumerate(out):
-            places.setdefault(w[0], []).append(i)
-        return [out, places]
+    def __init__(self, pages: int, row: list, varied: bool):
+        least = max(MIN_TEMPLATE_PAGES, pages // 2 + 1) if varied or _varies(row) else float("inf")
+        self.row = _flat(_judge(row, 0, False, False, least), itertools.count())
+        self.slots = [w[4] for w in slots(row)]
 
     def texts(self, root: _Node) -> list[str]:
         """The main text blocks of a page, in page order."""
-        found: list[tuple[int, str]] = []
-        self._walk(root.kids, self.row, 0, False, found)
+        found: list[tuple[int, str, int]] = []
+        self._walk(root.kids, self.row, 0, False, False, found)
         for way in (1, 2, 4):
-            got = [t for ways, t in found if ways & way]
+            got = [t for ways, t, _ in found if ways & way]
             if got:
                 return got
         return []
 
-    def _walk(self, nodes: list[_Node], row: list | None, inside: int, other: bool, found: list) -> None:
-        at = 0
+    def tally(self, root: _Node) -> dict[int, bool]:
+        """For each slot that a page has: whether all its texts there are the wrapper's."""
+        found: list[tuple[int, str, int]] = []
+        self._walk(root.kids, self.row, 0, False, False, found)
+        out: dict[int, bool] = {}
+        for _, text, slot in found:
+            if slot >= 0:
+                out[slot] = out.get(slot, True) and self.slots[slot] == text[:80]
+        return out
+
+    def _walk(self, nodes: list[_Node], row: list, inside: int, other: bool, in_list: bool, found: list) -> None:
+        at, own = 0, None
         for n in nodes:
-            place = None
-            if row is not None and (spots := row[1].get(n.label)):
+            if spots := row[1].get(n.label):
                 at = next((i for i in spots if i >= at), spots[0])
                 place = row[0][at]
-            article, content, no = (False, False, False) if n.text is not None else _part(n.label)
-            no = no or (n.name == "header" and not inside & 1)
-            if n.text is not None:
-                ways = place[1] if place else 0 if other else inside | 4
-                if place and place[3] is not None and place[3] == n.text[:80]:
-                    ways &= ~4
-                found.append((ways, n.text))
             else:
-                self._walk(n.kids, place[2] if place else None, inside | (1 if article else 0) | (2 if content else 0), other or no, found)
+                own = own or _flat(_judge(skeleton(nodes), inside, other, in_list, float("inf")), itertools.repeat(-1))
+                place = own[0][own[1][n.label][0]]
+            if n.text is not None:
+                found.append((place[1] & ~4 if place[3] is not None and place[3] == n.text[:80] else place[1], n.text, place[4]))
+                continue
+            article, content, no = _part(n.label)
+            no = no or (n.name == "header" and not inside & 1)
+            self._walk(n.kids, place[2], inside | (1 if article else 0) | (2 if content else 0), other or no, place[1], found)
 
 
 @lru_cache(maxsize=512)
 def load(wrapper: str) -> Wrapper:
-    return Wrapper(*(json.loads(wrapper) if wrapper else (0, [])))
+    pages, row, _, _, varied = json.loads(wrapper) if wrapper else (0, [], False, 0, False)
+    return Wrapper(pages, row, varied)
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,50 +372,91 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: dict = {}
         for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            out[host] = infer(out.get(host), [1, skeleton(parse(html.as_py() or "").kids)])
+            out[host] = infer(out.get(host), one_page(html.as_py() or ""))
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([json.dumps(w) for w in out.values()], pa.string())], names=["host", "wrapper"])
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (host, wrapper) rows -> one row for each host; holds one wrapper at a time."""
     host, wrapper, any_yet = None, None, False
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(wrapper)], pa.string()), pa.array([wrapper[2]], pa.bool_())], names=["host", "wrapper", "dropped"])
     for b in batches:
         for h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if any_yet and h != host:
-                yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(wrapper)], pa.string())], names=["host", "wrapper"])
+                yield done()
                 wrapper = None
             host, any_yet = h, True
             wrapper = infer(wrapper, json.loads(w))
     if any_yet:
-        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(wrapper)], pa.string())], names=["host", "wrapper"])
+        yield done()
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, wrapper): one wrapper for each host, from all its pages."""
-    schema = "host string, wrapper string"
-    rows = pages.select(host_column(url).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(_partial, schema)
+    schema = "host string, wrapper string, dropped boolean"
+    ensure_checkpoint_dir(pages.sparkSession)
+    rows = pages.select(host_column(url).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(_partial, "host string, wrapper string")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     some = salted.repartition("host", "salt").sortWithinPartitions("salt", "host", "wrapper").select("host", "wrapper").mapInArrow(_fold, schema)
-    return some.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_fold, schema)
+    found = some.select("host", "wrapper").repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_fold, schema).checkpoint()
+    if found.where("dropped").isEmpty():
+        return found.select("host", "wrapper")
+    return found.where("NOT dropped").select("host", "wrapper").unionByName(settle(pages, found.where("dropped").select("host", "wrapper"), url, html))
 
 
-def host_column(url: str):
-    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+def settle(pages: DataFrame, wrappers: DataFrame, url: str, html: str) -> DataFrame:
+    """wrappers with the exact support of each slot, and without a text where any page of the host has another."""
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict = {}
+            for host, h, w in zip(*b.columns, strict=True):
+                counts = out.setdefault(host.as_py(), {})
+                for slot, same in load(w.as_py()).tally(parse(h.as_py() or "")).items():
+                    n = counts.setdefault(slot, [0, 0])
+                    n[0], n[1] = n[0] + 1, n[1] + (not same)
+            rows = [(host, slot, *n) for host, counts in out.items() for slot, n in counts.items()]
+            yield pa.RecordBatch.from_pylist([dict(zip(("host", "slot", "n", "others"), r, strict=True)) for r in rows], pa.schema([("host", pa.string()), ("slot", pa.int32()), ("n", pa.int64()), ("others", pa.int64())]))
+
+    def patch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for w, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                wrapper, exact = json.loads(w), {c["slot"]: c for c in counts or ()}
+                for i, slot in enumerate(slots(wrapper[1])):
+                    c = exact.get(i, {"n": 0, "others": 0})
+                    slot[4:6] = [None if c["others"] else slot[4], c["n"]]
+                out.append(json.dumps(wrapper))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["host", "wrapper"])
 
-def extract(pages: DataFrame, wrappers: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns `keep` of pages with text and n_chars.
+    rows = pages.select(host_column(url).alias("__host"), F.col(html).cast("string").alias("__html"))
+    counts = _beside(rows, wrappers).select("__host", "__html", "__wrapper").where("__wrapper IS NOT NULL").mapInArrow(tally, "host string, slot int, n long, others long")
+    counts = counts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("others").alias("others"))
+    counts = counts.groupBy("host").agg(F.collect_list(F.struct("slot", "n", "others")).alias("counts"))  # the slots of a wrapper
+    return wrappers.join(counts, "host", "left").select("host", "wrapper", "counts").mapInArrow(patch, "host string, wrapper string").checkpoint()
+
+
+def _beside(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Rows with a __host and __html, and the __wrapper of each.
 
     Wrappers are broadcast while they take BROADCAST_BYTES or less; beyond that they are joined by salted host.
     """
-    rows = pages.select(*keep, host_column(url).alias("__host"), F.col(html).cast("string").alias("__html"))
     names = wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
     size = names.agg(F.sum(F.octet_length("__wrapper").cast("double") + 64)).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(names), "__host", "left")
-    else:
-        salt = F.pmod(F.xxhash64("__html"), F.lit(SALTS)).cast("int")
-        joined = rows.withColumn("__salt", salt).join(names.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__host", "__salt"], "left")
+        return rows.join(F.broadcast(names), "__host", "left")
+    salt = F.pmod(F.xxhash64("__html"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("__salt", salt).join(names.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__host", "__salt"], "left")
+
+
+def host_column(url: str):
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def extract(pages: DataFrame, wrappers: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """The columns `keep` of pages with text and n_chars."""
+    rows = pages.select(*keep, host_column(url).alias("__host"), F.col(html).cast("string").alias("__html"))
+    joined = _beside(rows, wrappers)
     joined = joined.select(*keep, "__html", "__wrapper")
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 

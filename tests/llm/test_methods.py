@@ -225,6 +225,38 @@ def test_text_of_few_pages_is_no_template(spark):
     assert extracted(spark, pages) == ["\n".join(w) for w in want]
 
 
+def test_hosts_beyond_the_bound_keep_their_text(spark, monkeypatch):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    pages = [f'<div>Sold by us</div><h1>t{i}</h1><div class="{name(i)}"><p>text {name(i % 30)}</p></div>' + ("<h3>said twice</h3>" if i in (3, 57) else "") for i in range(60)]
+    want = ["\n".join([f"t{i}", f"text {name(i % 30)}", *["said twice"] * (i in (3, 57))]) for i in range(60)]
+    monkeypatch.setattr(html_wrappers, "MAX_NODES", 20)
+    wrapper = None
+    for p in pages:
+        wrapper = html_wrappers.infer(wrapper, html_wrappers.one_page(p))
+        assert html_wrappers.count(wrapper[1]) <= 2 * max(20, 4 * wrapper[3] // wrapper[0])
+    assert wrapper[2] and wrapper[0] == 60
+    monkeypatch.undo()
+    assert extracted(spark, pages) == want
+    for step in ("_partial", "_fold"):
+        monkeypatch.setattr(html_wrappers, step, bounded(getattr(html_wrappers, step)))
+    assert extracted(spark, pages) == want
+
+
+def bounded(step):
+    """The step with a low bound, set in the Python worker."""
+
+    def run(batches):
+        from quern.llm import html_wrappers as used
+
+        before, used.MAX_NODES = used.MAX_NODES, 20
+        try:
+            yield from step(batches)
+        finally:
+            used.MAX_NODES = before
+
+    return run
+
+
 def test_licenses(spark):
     mit = license_digest.KNOWN["MIT"]
     rows = [(1, mit.upper().replace(", ", " ,\n")), (2, "Copyright (c) 2020 Somebody\n\n" + mit), (3, mit + " and more"), (4, license_digest.KNOWN["0BSD"].replace("any purpose", "any  purpose"))]
