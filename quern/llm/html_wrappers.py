@@ -32,6 +32,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 from itertools import chain
 
@@ -86,7 +87,20 @@ def _label(name: str, attributes: str) -> str:
     """name, with what its class, id and role say; digits count as 0."""
     found = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attributes)} if attributes.strip(" /\n\t\r") else {}
     parts = [name, re.sub(r"\d+", "0", " ".join(sorted(found.get("class", "").split()))), re.sub(r"\d+", "0", found.get("id", "")), found.get("role", "").lower()]
-    return "|".join(p.replace("|", " ")[:80] for p in parts).rstrip("|")
+    return "|".join(_short(p.replace("|", " ")) for p in parts).rstrip("|")
+
+
+def _short(part: str) -> str:
+    """A long class list, id or role as the words that _part looks for and a digest, in digits, of the whole."""
+    if len(part) <= 80:
+        return part
+    told = sorted({w.lower() for w in _TOKEN.findall(part)} & (OTHER_WORDS | COMMENT_WORDS | MAIN_WORDS))
+    return " ".join([*told, str(int.from_bytes(blake2b(part.encode("utf-8", "surrogatepass"), digest_size=12).digest()))])
+
+
+def told_apart(text: str) -> str:
+    """A text of up to 80 characters itself, a longer one by its beginning and a digest of the whole."""
+    return text if len(text) <= 80 else f"{text[:40]}\n{blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
 
 
 def parse(html: str) -> _Node:
@@ -211,7 +225,7 @@ def fold_repeats(row: list) -> list:
 
 def skeleton(nodes: list[_Node]) -> list:
     """The wrapper of one page."""
-    return fold_repeats([["#", n.label, 0, [], n.text[:80], 1] if n.text is not None else ["e", n.label, 0, skeleton(n.kids), None, 1] for n in nodes])
+    return fold_repeats([["#", n.label, 0, [], told_apart(n.text), 1] if n.text is not None else ["e", n.label, 0, skeleton(n.kids), None, 1] for n in nodes])
 
 
 def count(row: list) -> int:
@@ -341,7 +355,7 @@ class Wrapper:
         out: dict[int, bool] = {}
         for _, text, slot in found:
             if slot >= 0:
-                out[slot] = out.get(slot, True) and self.slots[slot] == text[:80]
+                out[slot] = out.get(slot, True) and self.slots[slot] == told_apart(text)
         return out
 
     def _walk(self, nodes: list[_Node], row: list, inside: int, other: bool, in_list: bool, found: list) -> None:
@@ -354,7 +368,7 @@ class Wrapper:
                 own = own or _flat(_judge(skeleton(nodes), inside, other, in_list, float("inf")), itertools.repeat(-1))
                 place = own[0][own[1][n.label][0]]
             if n.text is not None:
-                found.append((place[1] & ~4 if place[3] is not None and place[3] == n.text[:80] else place[1], n.text, place[4]))
+                found.append((place[1] & ~4 if place[3] is not None and place[3] == told_apart(n.text) else place[1], n.text, place[4]))
                 continue
             article, content, no = _part(n.label)
             no = no or (n.name == "header" and not inside & 1)

@@ -242,6 +242,16 @@ def test_hosts_beyond_the_bound_keep_their_text(spark, monkeypatch):
     assert extracted(spark, pages) == want
 
 
+def test_whole_texts_and_classes_are_compared(spark):
+    lead, utilities = "the same opening sentence of every page " * 3, " ".join(f"a-utility-{c}" for c in "bcdefghij")
+    pages = [f'<h3>Sold by us</h3><div>{lead}{i}</div><div class="{utilities} sidebar">side {i}</div><div id="{utilities}-widget">w {i}</div>' for i in range(5)]
+    assert extracted(spark, pages) == [f"{lead}{i}" for i in range(5)]
+    pages = [f'<article><p>p {i}</p><div class="{utilities} sponsored">buy {i}</div></article>' for i in range(5)]
+    assert extracted(spark, pages) == [f"p {i}" for i in range(5)]
+    # The whole of a long text is template text where all pages have it.
+    assert extracted(spark, [f"<div>{lead}</div><h1>t{i}</h1>" for i in range(5)]) == [f"t{i}" for i in range(5)]
+
+
 def bounded(step):
     """The step with a low bound, set in the Python worker."""
 
