@@ -20,8 +20,8 @@ these are MIN_TEMPLATE_PAGES at least and most of the host's pages. Extraction a
 and joins the texts of the main slots; what it leaves out as template text equals the template's.
 
 Defined results: null or empty html, and pages without main text, give an empty text; character references are decoded
-as HTML does; a line break is white space inside a block; html cut off at any place is closed there; elements nested
-deeper than MAX_DEPTH only break blocks; a null host is a host; repeated rows are extracted one by one.
+as HTML does; a line break is white space inside a block; html cut off at any place is closed there; texts nested deeper
+than MAX_DEPTH stand in a row at that depth, each in an element that says whether it is article, content or none; a null host is a host; repeated rows are extracted one by one.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -103,10 +104,24 @@ def told_apart(text: str) -> str:
     return text if len(text) <= 80 else f"{text[:40]}\n{blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
 
 
+def _deep_label(stack: list[_Node], node: _Node) -> str:
+    """The label of an element below MAX_DEPTH: its own, or the one of the elements around it there that says more."""
+    around = stack[-1].label if len(stack) > MAX_DEPTH else ""
+    article, content, no = _part(around)
+    if around and (no or around.split("|")[0] == "header"):
+        return around
+    own_article, own_content, own_no = _part(node.label)
+    if node.name == "header":
+        in_article = article or any(_part(n.label)[0] for n in stack[1:MAX_DEPTH])
+        return node.label if own_no or not in_article else around or "div"
+    return node.label if own_no or own_article or (own_content and not article) or not (article or content) else around
+
+
 def parse(html: str) -> _Node:
     """The page as nested sibling lists; texts are collapsed and labelled "#", or "@" if all of them is linked."""
     root = _Node("", "")
     stack, pieces, linked, plain = [root], [], 0, False
+    opened: Counter[str] = Counter()
     at = 0
 
     def flush() -> None:
@@ -115,11 +130,19 @@ def parse(html: str) -> _Node:
             text = " ".join(unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                stack[-1].kids.append(_Node("#" if plain else "@", "#", text))
+                slot = _Node("#" if plain else "@", "#", text)
+                if len(stack) > MAX_DEPTH:  # stack[-1] isn't part of the tree
+                    deep = _Node(stack[-1].label, stack[-1].label.split("|")[0])
+                    deep.kids.append(slot)
+                    stack[MAX_DEPTH - 1].kids.append(deep)
+                else:
+                    stack[-1].kids.append(slot)
         plain = False
 
     def close(i: int) -> None:
         flush()
+        for n in stack[i:]:
+            opened[n.name] -= 1
         del stack[i:]
 
     while at < len(html):
@@ -145,7 +168,7 @@ def parse(html: str) -> _Node:
                 pieces.append(" ")
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[i].name == name:
                     close(i)
                     break
@@ -158,17 +181,21 @@ def parse(html: str) -> _Node:
         if name in ENDS_PARAGRAPH and stack[-1].name == "p":
             close(len(stack) - 1)
         for ended in (SIBLING_ENDS.get(name) or (),):
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[e] for e in ended) else ():
                 if stack[i].name in ended:
                     close(i)
                 elif stack[i].name in SCOPE and stack[i].name not in ended:
                     break
         flush()
         linked = 0
-        if name not in VOID and len(stack) < MAX_DEPTH:
+        if name not in VOID:
             node = _Node(_label(name, m[3]), name)
-            stack[-1].kids.append(node)
+            if len(stack) < MAX_DEPTH:
+                stack[-1].kids.append(node)
+            else:
+                node.label = _deep_label(stack, node)
             stack.append(node)
+            opened[name] += 1
     close(0)
     return root
 

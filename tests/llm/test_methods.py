@@ -252,6 +252,17 @@ def test_whole_texts_and_classes_are_compared(spark):
     assert extracted(spark, [f"<div>{lead}</div><h1>t{i}</h1>" for i in range(5)]) == [f"t{i}" for i in range(5)]
 
 
+def test_deep_elements_keep_their_place(spark):
+    deep = lambda inner: "<div>" * 300 + inner + "</div>" * 300
+    page = f"<div><nav>Menu</nav><article><p>one</p>{deep('two<p>three</p>four')}<p>five</p></article></div><div>Side</div>"
+    assert extracted(spark, [page]) == ["one\ntwo\nthree\nfour\nfive"]
+    other = deep('<p>in</p><div class="ad"><div><p>Buy</p></div>more</div><section id="comments"><p>First!</p></section><header><b>Site</b></header><p>out</p>')
+    assert extracted(spark, [f"<div>{other}</div>"]) == ["in\nout"]
+    assert extracted(spark, [f"<article>{other}</article>"]) == ["in\nSite\nout"]
+    assert extracted(spark, [f"<p>no</p>{deep('<article><h1>a</h1><div><p>b</p></div></article><p>no</p>')}<p>no</p>"]) == ["a\nb"]
+    assert extracted(spark, ["<div>" * 20000 + "deep" + "</i></section></li><li>" * 20000]) == ["deep"]
+
+
 def bounded(step):
     """The step with a low bound, set in the Python worker."""
 
