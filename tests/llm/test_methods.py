@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -285,6 +286,24 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: "0BSD"}
 
 
+def test_whole_license_texts(spark):
+    folder = Path(license_digest.__file__).parent / "licenses"
+    rows = [(p.stem, p.read_text()) for p in folder.glob("*.txt")]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "Unlicense", "CC0-1.0"} <= {k for k, _ in rows}
+    text, known = dict(rows), license_digest.KNOWN
+    more = [
+        ("MIT (titled)", "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + known["MIT"]),
+        ("ISC (titled)", "ISC License\n\nCopyright 2020 Somebody\n\n" + known["ISC"]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n" + text["BSD-3-Clause"]),
+        ("BSD-2-Clause", text["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ")),
+        ("Apache-2.0", text["Apache-2.0"][: text["Apache-2.0"].index("APPENDIX")]),
+        ("GPL-3", text["GPL-3"][text["GPL-3"].index(" Copyright (C)") :]),
+        (None, text["GPL-3"] + "and more"),
+    ]
+    df = spark.createDataFrame([*rows, *more], "want string, text string")
+    assert {(r.want, r.license) for r in license_digest.scan(df, keep=("want",)).collect() if r.want != r.license} == set()
+
+
 def test_typed_parts(spark):
     rows = [(1, 0, "user", [("text", "see <", None, None), ("image", None, "a.png", 1568.0), ("text", "and", None, None), ("audio", None, "b.wav", 1.5), ("odd", None, "c", 9.0)])]
     df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat_parts.PART}>")
