@@ -41,7 +41,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token count and digests of the ids and of the decoded text."""
-    return piece_spans.encode(docs, model_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return piece_spans.encode(docs, model_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), check_spans=True)
 
 
 STAGES = [

@@ -178,6 +178,17 @@ class SpanCodec:
         start = stop - sizes
         return (begin[start], end[stop - 1]) if len(stop) else (start, stop)
 
+    def covering_spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """spans(), or ValueError if they leave out source bytes (but blanks that the normaliser removes)."""
+        begin, end = self.spans(text, ids)
+        raw = text.encode()
+        lo = np.append(0, np.maximum.accumulate(end)) if len(end) else np.zeros(1, np.int64)
+        hi = np.append(begin, len(raw))
+        for i in np.flatnonzero(lo < hi):
+            if not self.remove_spaces or raw[lo[i] : hi[i]].strip(b" "):
+                raise ValueError("the spans don't cover the source")
+        return begin, end
+
     def _unknown_sizes(self, out: bytes, ids: list[int], sizes: np.ndarray) -> np.ndarray:
         sizes, at = sizes.copy(), 0
         for n, i in enumerate(ids):
@@ -204,7 +215,7 @@ _KINDS = {
 }
 
 
-def _encoded(codec: SpanCodec, texts: list[str], wanted: tuple[str, ...], names: list[str]) -> Iterator[dict]:
+def _encoded(codec: SpanCodec, texts: list[str], wanted: tuple[str, ...], names: list[str], check_spans: bool = False) -> Iterator[dict]:
     lo = 0
     while lo < len(texts):
         hi, n = lo + 1, len(texts[lo])
@@ -212,7 +223,9 @@ def _encoded(codec: SpanCodec, texts: list[str], wanted: tuple[str, ...], names:
             n, hi = n + len(texts[hi]), hi + 1
         for text, ids in zip(texts[lo:hi], codec.encode(texts[lo:hi]), strict=True):
             row: dict = {"n_tokens": len(ids), "ids": ids}
-            if "begins" in wanted or "ends" in wanted:
+            if check_spans:
+                row["begins"], row["ends"] = codec.covering_spans(text, ids)
+            elif "begins" in wanted or "ends" in wanted:
                 row["begins"], row["ends"] = codec.spans(text, ids)
             if "decoded" in wanted or "decoded_sha256" in wanted:
                 row["decoded"] = codec.decode(ids)
@@ -224,9 +237,12 @@ def _encoded(codec: SpanCodec, texts: list[str], wanted: tuple[str, ...], names:
         lo = hi
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids", "begins", "ends", "decoded")) -> DataFrame:
+def encode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids", "begins", "ends", "decoded"), check_spans: bool = False) -> DataFrame:
     """The columns `keep` of df with the outputs: n_tokens, ids, begins and ends (source byte spans), decoded, and the
-    SHA-256 digests ids_sha256 (decimal ids joined by commas) and decoded_sha256."""
+    SHA-256 digests ids_sha256 (decimal ids joined by commas) and decoded_sha256.
+
+    With check_spans, the spans of all pieces are computed whatever the outputs, and must cover the source.
+    """
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
     fields = [df.schema[c] for c in keep]
@@ -241,7 +257,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str,
                 hi = min(b.num_rows, lo + 512)
                 texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
                 got: dict[str, list] = {o: [] for o in outputs}
-                for row in _encoded(codec, texts, outputs, names):
+                for row in _encoded(codec, texts, outputs, names, check_spans):
                     for o in outputs:
                         got[o].append(row[o])
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(len(keep))), *(pa.array(got[o], _KINDS[o][1]) for o in outputs)], names=[*keep, *outputs])

@@ -66,7 +66,7 @@ def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return piece_spans.encode(docs, model_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return piece_spans.encode(docs, model_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), check_spans=True)
 
 
 def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

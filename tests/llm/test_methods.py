@@ -117,6 +117,39 @@ def test_spans_round_trip(spark):
         assert b"".join(raw[b:e] for b, e in zip(r.begins, r.ends, strict=True)) == raw
 
 
+def test_queries_compute_the_spans_of_whole_tables(spark, monkeypatch):
+    import corpus_pipeline
+    from quern.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = {r.n_tokens for r in QUERIES["op7_piece_spans"](spark, sf).collect()}
+    assert len(whole) > 1
+
+    def broken(model):
+        codec = piece_spans.SpanCodec(model)
+        codec.piece_bytes = codec.piece_bytes + 1
+        return codec
+
+    monkeypatch.setattr(piece_spans, "_codec", broken)
+    for run in (lambda: QUERIES["op7_piece_spans"](spark, sf), lambda: corpus_pipeline.encoding_stage(spark, docs, sf)):
+        with pytest.raises(Exception, match="cover"):
+            run().collect()
+
+
+def test_spans_must_cover_the_source():
+    codec = piece_spans.SpanCodec(open(model_path(), "rb").read())
+    text = "Hello  world"
+    ids = codec.encode([text])[0]
+    begin, end = codec.covering_spans(text, ids)
+    assert begin[0] == 0 and end[-1] == len(text)
+    assert len(codec.covering_spans("", [])[0]) == 0
+    for i in np.flatnonzero(end > begin):
+        codec.spans = lambda *_, i=i: (np.delete(begin, i), np.delete(end, i))
+        with pytest.raises(ValueError, match="cover"):
+            codec.covering_spans(text, ids)
+
+
 def test_character_map_takes_the_longest_prefix():
     class Own(piece_spans.CharacterMap):
         def __init__(self):
