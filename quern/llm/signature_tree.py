@@ -9,7 +9,9 @@ words). Two texts link when 100 * |intersection| >= 75 * |union|.
    right) last, so that common passages make no large buckets. Buckets with the same members are kept once.
 3. In each bucket a signature tree is built: its leaves hold classes, nodes the OR of their token bitmaps, their range
    of set sizes and their largest number of bitmap collisions. A dual traversal drops node pairs whose sizes can't link
-   or whose largest possible overlap is too small, down to pairs of classes.
+   or whose largest possible overlap is too small, down to pairs of classes. A pair is looked at in the first of its
+   common buckets only: each class carries its earlier buckets, each node those that all its classes have, and node
+   pairs with a common earlier bucket are dropped whole.
 4. Pairs are checked on the full sets, and linked classes contracted to components.
 
 Large buckets are split in blocks. The first rounds look inside blocks only and link each class with its best earlier
@@ -33,6 +35,7 @@ from quern.llm.bounded import most_frequent
 from quern.llm.components import components
 from quern.llm.text_stats import free_name
 from quern.llm.wordhash import BLANK_WORDS, chunks, gram_starts, grams, mix
+from quern.llm.workers import released
 from quern.session import ensure_checkpoint_dir
 
 SHINGLE, PERCENT = 5, 75
@@ -131,7 +134,7 @@ def class_rows(docs: DataFrame, text: str) -> DataFrame:
                 bits.append(bitmap(u) if len(u) else b"")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ck, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "ck", "bits"])
 
-    return docs.select("doc_id", F.col(text).cast("string").alias("t")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, ck long, bits binary")
+    return docs.select("doc_id", F.col(text).cast("string").alias("t")).mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, ck long, bits binary")
 
 
 def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +148,7 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
                 yield pa.RecordBatch.from_arrays([_longs(u), pa.array(n.astype(np.int64))], names=["tok", "n"])
 
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.col(text).cast("string").alias("t"))
-    rows = part.mapInArrow(run, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = part.mapInArrow(released(run), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = most_frequent(rows, "tok", "n", MAX_FREQUENT)
     tok, n = top["tok"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(tok)
@@ -168,13 +171,14 @@ def prefix_of(u: np.ndarray, tok: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(tok, ck): the prefix of every class, once for each batch it occurs in."""
+    """(tok, ck): the prefix of every class, once for each task it occurs in."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, count = sent.value
+        seen: set[int] = set()
         for b in batches:
-            seen, toks, cks = set(), [], []
+            toks, cks = [], []
             for u in shingle_sets(b.column(0)):
                 key = digest(u)
                 if len(u) and key not in seen:
@@ -185,7 +189,7 @@ def prefix_rows(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarr
             if toks:
                 yield pa.RecordBatch.from_arrays([_longs(np.concatenate(toks)), pa.array(np.concatenate(cks))], names=["tok", "ck"])
 
-    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "tok long, ck long")
+    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(released(run), "tok long, ck long")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -199,16 +203,25 @@ def buckets(rows: DataFrame) -> DataFrame:
 
 
 class _Tree:
-    """A signature tree over rows sorted by set size: levels of (OR bitmaps, least and largest size, most collisions)."""
+    """A signature tree over rows sorted by set size: levels of (OR bitmaps, least and largest size, most collisions,
+    earlier buckets that all rows below have)."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, before: np.ndarray):
         spare = sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)
-        self.levels = [(bits, sizes, sizes, spare)]
+        self.levels = [(bits, sizes, sizes, spare, before)]
         step = LEAF
         while len(self.levels[-1][1]) > 1:
-            b, lo, hi, sp = self.levels[-1]
+            b, lo, hi, sp, be = self.levels[-1]
             cut = np.arange(0, len(lo), step)
-            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(sp, cut)))
+            self.levels.append(
+                (
+                    np.bitwise_or.reduceat(b, cut),
+                    np.minimum.reduceat(lo, cut),
+                    np.maximum.reduceat(hi, cut),
+                    np.maximum.reduceat(sp, cut),
+                    np.bitwise_and.reduceat(be, cut),
+                )
+            )
             step = FANOUT
 
     def below(self, level: int, node: int) -> range:
@@ -217,15 +230,14 @@ class _Tree:
 
 
 def _possible(a, b, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether node pairs (i, j) can hold a link: their size ranges meet and the largest overlap suffices."""
-    (ab, alo, ahi, asp), (bb, blo, bhi, bsp) = a, b
-    sizes = (100 * ahi[i] >= PERCENT * blo[j]) & (100 * bhi[j] >= PERCENT * alo[i])
-    i, j = i[sizes], j[sizes]
+    """The positions of node pairs (i, j) that can hold a link which is this bucket's to find: their size ranges meet, they
+    don't meet in an earlier bucket, and the largest overlap suffices."""
+    (ab, alo, ahi, asp, abe), (bb, blo, bhi, bsp, bbe) = a, b
+    left = np.flatnonzero((100 * ahi[i] >= PERCENT * blo[j]) & (100 * bhi[j] >= PERCENT * alo[i]))
+    left = left[~(abe[i[left]] & bbe[j[left]]).any(1)]
+    i, j = i[left], j[left]
     most = np.bitwise_count(ab[i] & bb[j]).sum(1, dtype=np.int64) + np.minimum(asp[i], bsp[j])
-    enough = (100 + PERCENT) * most >= PERCENT * (alo[i] + blo[j])
-    out = np.zeros(len(sizes), bool)
-    out[np.flatnonzero(sizes)[enough]] = True
-    return out
+    return left[(100 + PERCENT) * most >= PERCENT * (alo[i] + blo[j])]
 
 
 def _enough(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -255,8 +267,43 @@ def traverse(a: _Tree, b: _Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             work += [(na, nb, int(x), int(y)) for x, y in zip(ii, jj, strict=True)]
 
 
-def _join_group(side: np.ndarray, n: np.ndarray, maps: _Maps, rows: np.ndarray, comp: np.ndarray, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (row numbers) of one bucket's pair of blocks; rows are sorted by size.
+class _Earlier:
+    """The earlier buckets of some rows, from a list column."""
+
+    def __init__(self, lists: pa.ChunkedArray):
+        lists = lists.combine_chunks()
+        self.at = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+        self.distinct, self.code = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+
+    def bits(self, lo: int, hi: int) -> np.ndarray:
+        """A row of bits for each of rows lo to hi: one bit for each bucket that several of them have."""
+        code = self.code[self.at[lo] : self.at[hi]]
+        names, local, count = np.unique(code, return_inverse=True, return_counts=True)
+        several = count > 1
+        column = np.cumsum(several) - 1
+        out = np.zeros((hi - lo, 64 * max(1, -(-int(several.sum()) // 64))), bool)
+        row = np.repeat(np.arange(hi - lo), np.diff(self.at[lo : hi + 1]))
+        held = several[local]
+        out[row[held], column[local[held]]] = True
+        return np.packbits(out, axis=1).view(np.uint64)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the rows of pairs (i, j) have no earlier bucket in common."""
+        out = np.ones(len(i), bool)
+        for lo in range(0, len(i), 1 << 16):
+            keys = []
+            for rows in (i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]):
+                n = self.at[rows + 1] - self.at[rows]
+                place = np.repeat(self.at[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                keys.append(np.repeat(np.arange(len(rows)), n) * len(self.distinct) + self.code[place])
+            both = np.sort(np.concatenate(keys), kind="stable")
+            if len(both):
+                out[lo + both[1:][both[1:] == both[:-1]] // len(self.distinct)] = False
+        return out
+
+
+def _join_group(side: np.ndarray, n: np.ndarray, maps: _Maps, before: np.ndarray, rows: np.ndarray, comp: np.ndarray, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (row numbers) of one bucket's pair of blocks; rows are sorted by size, `before` has a row for each.
 
     There is a tree for each block and bitmap width; trees of neighbouring widths are traversed at the smaller one.
     """
@@ -264,8 +311,9 @@ def _join_group(side: np.ndarray, n: np.ndarray, maps: _Maps, rows: np.ndarray,
     left, right, worth = [], [], []
 
     def tree(s: int, own: int, width: int) -> tuple[np.ndarray, _Tree] | None:
-        r = rows[(side == sides[s]) & (maps.width[rows] == own)]
-        return (r, _Tree(n[r], maps.at(r, width))) if len(r) else None
+        held = (side == sides[s]) & (maps.width[rows] == own)
+        r = rows[held]
+        return (r, _Tree(n[r], maps.at(r, width), before[held])) if len(r) else None
 
     for width in maps.levels():
         same = [tree(s, width, width) for s in (0, -1)]
@@ -303,7 +351,7 @@ def _tree_join(spanning: bool):
 
         def pairs(t: pa.Table) -> pa.RecordBatch:
             group, side, ck, n, comp = (t.column(c).to_numpy() for c in ("grp", "side", "ck", "n", "comp"))
-            maps = _Maps(t.column("bits").to_pylist())
+            maps, earlier = _Maps(t.column("bits").to_pylist()), _Earlier(t.column("before"))
             cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             sizes = np.diff(np.append(cut, len(group)))
             left, right = [], []
@@ -315,10 +363,11 @@ def _tree_join(spanning: bool):
                     x = x[maps.width[x + d] <= 2 * width]
                     both = (maps.at(r, width) for r in (x, x + d))
                     x = x[_enough(*both, n[x], n[x + d])]
+                    x = x[earlier.apart(x, x + d)]
                     left.append(x)
                     right.append(x + d)
             for c, s in zip(cut[sizes > ALL_PAIRS], sizes[sizes > ALL_PAIRS], strict=True):
-                a, b = _join_group(side[c : c + s], n, maps, np.arange(c, c + s), comp, spanning)
+                a, b = _join_group(side[c : c + s], n, maps, earlier.bits(c, c + s), np.arange(c, c + s), comp, spanning)
                 left.append(a)
                 right.append(b)
             a, b = (ck[np.concatenate([*x, cut[:0]])] for x in (left, right))
@@ -340,20 +389,25 @@ def _tree_join(spanning: bool):
     return run
 
 
-def candidates(members: DataFrame, spanning: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of classes of different components; members: bucket, m, ck, n, bits, comp.
+def candidates(members: DataFrame, classes: DataFrame, spanning: bool) -> DataFrame:
+    """Distinct candidate pairs (a, b) of classes of different components; members: bucket, m, ck, comp.
 
-    spanning: inside blocks only, a few pairs for each class; otherwise all pairs of blocks.
+    spanning: inside blocks only, a few pairs for each class; otherwise all pairs of blocks. A class's buckets, as many as
+    its prefix has shingles at most, are gathered in order, so that each row knows the earlier ones.
     """
+    gathered = members.groupBy("ck").agg(F.min("comp").alias("comp"), F.array_sort(F.collect_list(F.struct("bucket", "m"))).alias("own"))
+    gathered = gathered.join(classes.select("ck", "n", "bits"), "ck")
+    rows = gathered.select("ck", "n", "bits", "comp", F.col("own.bucket").alias("all"), F.posexplode("own").alias("i", "x"))
+    rows = rows.select("ck", "n", "bits", "comp", "x.bucket", "x.m", F.slice("all", F.lit(1), F.col("i")).alias("before"))
     count = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = members.withColumn("side", F.pmod(F.xxhash64("ck", "bucket"), F.greatest(count, F.lit(1))).cast("int"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("ck", "bucket"), F.greatest(count, F.lit(1))).cast("int"))
     if spanning:
         rows = rows.withColumn("grp", F.xxhash64("bucket", "side", "side"))
     else:
         other = F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1))
         rows = rows.withColumn("other", other).withColumn("grp", F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")))
-    rows = rows.select("grp", "side", "ck", "n", "bits", "comp").repartition("grp").sortWithinPartitions("grp", "n", "ck")
-    return rows.mapInArrow(_tree_join(spanning), "a long, b long").distinct()
+    rows = rows.select("grp", "side", "ck", "n", "bits", "comp", "before").repartition("grp").sortWithinPartitions("grp", "n", "ck")
+    return rows.mapInArrow(released(_tree_join(spanning)), "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
@@ -407,8 +461,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str) ->
                         v.append(ck)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    sets = rows.mapInArrow(spread, "root long, share int, ck long, set binary").repartition("root", "share")
-    return sets.sortWithinPartitions("root", "share", F.col("ck") != F.col("root")).mapInArrow(check, "u long, v long")
+    sets = rows.mapInArrow(released(spread), "root long, share int, ck long, set binary").repartition("root", "share")
+    return sets.sortWithinPartitions("root", "share", F.col("ck") != F.col("root")).mapInArrow(released(check), "u long, v long")
 
 
 def classes_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -439,24 +493,24 @@ def classes_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _open(met: DataFrame, comp: DataFrame) -> DataFrame:
-    """The rows of met with their component, for buckets that hold several components."""
+    """The rows of met with their component, for buckets that hold several components; large buckets are joined in shares."""
     own = met.join(comp.withColumnRenamed("u", "ck"), "ck", "left").select("bucket", "m", "ck", F.coalesce(F.col("v"), F.col("ck")).alias("comp"))
-    several = own.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    return own.join(several, "bucket", "left_semi")
+    shares = F.ceil(F.col("m") / BLOCK).cast("int")
+    several = own.groupBy("bucket", "m").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    several = several.select("bucket", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    return own.withColumn("share", F.pmod(F.xxhash64("ck"), shares).cast("int")).join(several, ["bucket", "share"], "left_semi").drop("share")
 
 
 def _round(members: DataFrame, comp: DataFrame | None, docs: DataFrame, classes: DataFrame, text: str, spanning: bool, seen: list[DataFrame]) -> DataFrame:
     """The components after the candidates of these members (bucket, m, ck, comp) have been checked; seen: pairs checked
     so far, which are not checked again."""
-    found = candidates(members.join(classes.select("ck", "n", "bits"), "ck"), spanning)
+    found = candidates(members, classes, spanning)
     for other in seen:
         found = found.join(other, ["a", "b"], "left_anti")
     found = found.checkpoint()
     seen.append(found)
     links = verify(found, docs, classes, text)
-    out = components(links if comp is None else comp.union(links))
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of this round
-    return out
+    return components(links if comp is None else comp.union(links))
 
 
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -66,7 +66,8 @@ def test_traversal_keeps_every_link():
     sets.sort(key=len)
     n = np.array([len(s) for s in sets])
     maps = signature_tree._Maps([signature_tree.bitmap(s) for s in sets])
-    i, j = signature_tree._join_group(np.zeros(len(sets)), n, maps, np.arange(len(sets)), np.arange(len(sets)), False)
+    none = np.zeros((len(sets), 1), np.uint64)
+    i, j = signature_tree._join_group(np.zeros(len(sets)), n, maps, none, np.arange(len(sets)), np.arange(len(sets)), False)
     found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     for b in range(len(sets)):
         for a in range(b):
@@ -75,6 +76,22 @@ def test_traversal_keeps_every_link():
                 assert (a, b) in found
 
 
+def test_a_pair_is_looked_at_once(spark, monkeypatch):
+    """However many buckets two near copies share, one of them yields the pair; raw pairs then grow with the members."""
+    raw = {}
+    for size in (60, 180):
+        found = []
+        before = type(spark.range(1)).distinct
+        monkeypatch.setattr(type(spark.range(1)), "distinct", lambda df: (found.append(df) if df.columns == ["a", "b"] else None) or before(df))
+        docs = spark.createDataFrame(list(enumerate(near_copies(7, 1, size, 200))), "doc_id long, text string")
+        signature_tree.classes_of(docs).collect()
+        monkeypatch.undo()
+        rows = [df.collect() for df in found]
+        assert all(len(r) == len(set(r)) for r in rows)
+        raw[size] = sum(len(r) for r in rows)
+    assert raw[180] <= 4 * raw[60]
+
+
 def brute_hits(text, items):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     w, hit, own = re.findall(pattern, lowered(text or "")), set(), set()
