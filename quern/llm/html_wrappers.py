@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.workers import released
 from quern.session import ensure_checkpoint_dir
 
 MAX_NODES, MAX_DEPTH, MAX_PERIOD = 4000, 120, 6
@@ -436,10 +437,10 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     """(host, wrapper): one wrapper for each host, from all its pages."""
     schema = "host string, wrapper string, dropped boolean"
     ensure_checkpoint_dir(pages.sparkSession)
-    rows = pages.select(host_column(url).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(_partial, "host string, wrapper string")
+    rows = pages.select(host_column(url).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(released(_partial), "host string, wrapper string")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    some = salted.repartition("host", "salt").sortWithinPartitions("salt", "host", "wrapper").select("host", "wrapper").mapInArrow(_fold, schema)
-    found = some.select("host", "wrapper").repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_fold, schema).checkpoint()
+    some = salted.repartition("host", "salt").sortWithinPartitions("salt", "host", "wrapper").select("host", "wrapper").mapInArrow(released(_fold), schema)
+    found = some.select("host", "wrapper").repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(released(_fold), schema).checkpoint()
     if found.where("dropped").isEmpty():
         return found.select("host", "wrapper")
     return found.where("NOT dropped").select("host", "wrapper").unionByName(settle(pages, found.where("dropped").select("host", "wrapper"), url, html))
@@ -471,10 +472,10 @@ def settle(pages: DataFrame, wrappers: DataFrame, url: str, html: str) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["host", "wrapper"])
 
     rows = pages.select(host_column(url).alias("__host"), F.col(html).cast("string").alias("__html"))
-    counts = _beside(rows, wrappers).select("__host", "__html", "__wrapper").where("__wrapper IS NOT NULL").mapInArrow(tally, "host string, slot int, n long, others long")
+    counts = _beside(rows, wrappers).select("__host", "__html", "__wrapper").where("__wrapper IS NOT NULL").mapInArrow(released(tally), "host string, slot int, n long, others long")
     counts = counts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("others").alias("others"))
     counts = counts.groupBy("host").agg(F.collect_list(F.struct("slot", "n", "others")).alias("counts"))  # the slots of a wrapper
-    return wrappers.join(counts, "host", "left").select("host", "wrapper", "counts").mapInArrow(patch, "host string, wrapper string").checkpoint()
+    return wrappers.join(counts, "host", "left").select("host", "wrapper", "counts").mapInArrow(released(patch), "host string, wrapper string").checkpoint()
 
 
 def _beside(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -507,4 +508,4 @@ def extract(pages: DataFrame, wrappers: DataFrame, url: str = "url", html: str =
             texts = ["\n".join(load(w.as_py() or "").texts(parse(h.as_py() or ""))) for h, w in zip(b.column(k), b.column(k + 1), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(released(run), schema)

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from quern.llm.bounded import most_frequent
 from quern.llm.wordhash import BLANK_WORDS, chunks, mix
+from quern.llm.workers import released
 from quern.session import ensure_checkpoint_dir
 
 CLASSES = 32
@@ -160,7 +161,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, endings = [], []
-            for _, _, data, offsets in chunks(b.column(0), 4 << 20):
+            for _, _, data, offsets in chunks(b.column(0)):
                 t = tokens(data, offsets)
                 words.append(t.words)
                 endings.append(t.endings)
@@ -169,7 +170,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
                 unique, first, n = np.unique(w, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([_signed(unique), pa.array(e[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "ending", "n"])
 
-    rows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "word long, ending int, n long")
+    rows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(released(run), "word long, ending int, n long")
     return rows.groupBy("word").agg(F.max("ending").alias("ending"), F.sum("n").alias("n"))
 
 
@@ -211,7 +212,7 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
 
     names = ["row", "met", *(f"w{k}" for k in range(CLASSES))]
     schema = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("met", T.DoubleType()), *(T.StructField(f"w{k}", T.FloatType()) for k in range(CLASSES))])
-    updates = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
+    updates = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(released(run), schema)
     mean = updates.groupBy("row").agg(*[(F.sum(f"w{k}") / F.sum("met")).alias(f"w{k}") for k in range(CLASSES)]).toPandas()  # ROWS rows at most
     weights = np.zeros((ROWS, CLASSES), np.float32)
     weights[mean["row"].to_numpy(np.int64)] = mean[[f"w{k}" for k in range(CLASSES)]].to_numpy(np.float32)
@@ -262,7 +263,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                 )
 
     rows = docs.select(*keep, F.monotonically_increasing_id().alias("__row"), F.col(text).cast("string").alias("__text"))
-    scored = rows.mapInArrow(run, schema).checkpoint()
+    scored = rows.mapInArrow(released(run), schema).checkpoint()
     tail = scored.select("__row", F.explode(F.arrays_zip("__tail", "__label")).alias("x")).select("__row", F.col("x.__tail").alias("word"), F.col("x.__label").alias("label"))
     n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     sizes = F.array(*[F.lit(float(a + b + 1)) for a, b in zip(model.class_total, model.class_distinct, strict=True)])

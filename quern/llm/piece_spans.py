@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.workers import released
+
 SPACE = "▁".encode()
 #: Texts are encoded in runs of about so many characters, so that a worker holds few ids at a time.
 RUN_CHARS = 1 << 19
@@ -265,4 +267,4 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str,
                 if not b.num_rows:
                     break
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(released(run), schema)

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from quern.llm.text_stats import free_name
 from quern.llm.wordhash import ALNUM_WORDS, chunks, gram_starts, grams
+from quern.llm.workers import released
 
 SPAN, K = 13, 8
 WINDOW = SPAN - K + 1
@@ -175,7 +176,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 hits = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([*b.columns, hits], names=[*names, out])
 
-        parts.append(docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema))
+        parts.append(docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(released(run), schema))
     if len(parts) == 1:
         return parts[0]
     return _merged(parts, names, text, out)
