@@ -65,12 +65,12 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine"
 
 
 def retrieval_f1(neighbours: DataFrame, labels: DataFrame, threshold: float, id_column: str = "vec_id", label: str = "label", asked: DataFrame | None = None) -> DataFrame:
-    """One row: mean precision, recall and F1 of the kept neighbours against rows of the same label, over the rows asked (else all)."""
+    """One row: mean precision, recall and F1 of the kept neighbours against rows of the same label, over the rows asked
+    (else all). A row itself counts as a hit, as kept and as one of its label's rows."""
     a, b = labels.select(F.col(id_column).alias("i"), F.col(label).alias("li")), labels.select(F.col(id_column).alias("j"), F.col(label).alias("lj"))
-    size = labels.groupBy(F.col(label).alias("li")).agg((F.count("*") - 1).alias("others"))
+    size = labels.groupBy(F.col(label).alias("li")).agg(F.count("*").alias("true"))
     kept = neighbours.where(F.col("sim") >= threshold).join(a, "i").join(b, "j").groupBy("i").agg(F.count("*").alias("n"), F.sum((F.col("li") == F.col("lj")).cast("int")).alias("hit"))
     rows = (a if asked is None else asked.select(F.col(id_column).alias("i"), F.col(label).alias("li"))).join(size, "li").join(kept, "i", "left").fillna(0, ["n", "hit"])
-    p = F.when(F.col("n") > 0, F.col("hit") / F.col("n")).otherwise(0.0)
-    r = F.when(F.col("others") > 0, F.col("hit") / F.col("others")).otherwise(0.0)
-    f = F.when(F.col("hit") > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    return rows.agg(F.round(F.avg(p), 9).alias("prec"), F.round(F.avg(r), 9).alias("rec"), F.round(F.avg(f), 9).alias("f1"), F.sum("n").alias("kept"))
+    tp, pred, true = F.col("hit") + 1, F.col("n") + 1, F.col("true")
+    mean = lambda c: F.round(F.avg(c), 9)
+    return rows.agg(mean(tp / pred).alias("prec"), mean(tp / true).alias("rec"), mean(2.0 * tp / (pred + true)).alias("f1"), F.sum("n").alias("kept"))

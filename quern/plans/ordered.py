@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.ordering import numbered
-from quern.plans import portable
 
 View = Callable[[str], DataFrame]
 
@@ -41,14 +40,6 @@ def best_f1_threshold(view: View) -> DataFrame:
     return _curve(view).select(F.col("s").alias("threshold"), f1.alias("f")).orderBy(F.desc("f"), F.desc("threshold")).limit(1).select("threshold", F.round("f", 9).alias("f1"))
 
 
-def roc_curve(view: View) -> DataFrame:
-    return _curve(view).select(F.col("s").alias("threshold"), F.round(F.col("tp") / F.col("total_pos"), 9).alias("tpr"), F.round((F.col("seen") - F.col("tp")) / (F.col("total") - F.col("total_pos")), 9).alias("fpr"))
-
-
-def pr_curve(view: View) -> DataFrame:
-    return _curve(view).select(F.col("s").alias("threshold"), F.round(F.col("tp") / F.col("seen"), 9).alias("prec"), F.round(F.col("tp") / F.col("total_pos"), 9).alias("rec"))
-
-
 def reliability_ece(view: View) -> DataFrame:
     """Quantile bins as ntile cuts them: the first n % 10 bins get one row more."""
     rows = numbered(view("SELECT id, s, y FROM {scored}"), [], [F.col("s"), F.col("id")])
@@ -86,13 +77,13 @@ def vocab_encode_oov(view: View) -> DataFrame:
 
 def split_per_user(view: View) -> DataFrame:
     rows = numbered(view("SELECT u, i, md5(concat(CAST(u AS STRING), '-', CAST(i AS STRING))) AS h FROM {ratings}"), ["u"], [F.col("h")])
-    held = F.greatest(F.lit(1), F.floor(0.1 * F.col("_n") + 0.5))
+    held = F.greatest(F.lit(1), F.bround(0.1 * F.col("_n")))
     return rows.select("u", "i", F.when(F.col("_row") <= held, "test").when(F.col("_row") <= 2 * held, "val").otherwise("train").alias("split"))
 
 
 def split_stratified(view: View) -> DataFrame:
     rows = numbered(view("SELECT id, y, md5(CAST(id AS STRING)) AS h FROM {ctr}"), ["y"], [F.col("h"), F.col("id")])
-    return rows.select("id", "y", F.when(F.col("_row") <= F.floor(0.2 * F.col("_n") + 0.5), "val").otherwise("train").alias("split"))
+    return rows.select("id", "y", F.when(F.col("_row") <= F.bround(0.2 * F.col("_n")), "val").otherwise("train").alias("split"))
 
 
 def split_by_group(view: View) -> DataFrame:
@@ -107,27 +98,6 @@ def top_outputs_share(view: View) -> DataFrame:
     return top.crossJoin(counts.agg(F.sum("n").alias("all"))).select(F.round(F.col("top") / F.col("all"), 9).alias("share"))
 
 
-def ranking_metrics_at_k(view: View) -> DataFrame:
-    """Hits and gains come from each user's best five rows only; the ideal gain from the number of good rows."""
-    rows = view(f"SELECT u, i, CASE WHEN rating >= 4 THEN 1 ELSE 0 END AS good, round(mu + bu + bi, 9) AS p FROM ({portable._BIAS}) t")
-    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("p"), "i"))).where("k <= 5")
-    gain: Callable[[Column], Column] = lambda k: F.log(F.lit(2.0)) / F.log(k + 1.0)
-    top = best.groupBy("u").agg(F.sum("good").cast("double").alias("hits"), F.sum(F.when(F.col("good") == 1, gain(F.col("k"))).otherwise(0.0)).alias("dcg"))
-    rel = rows.groupBy("u").agg(F.sum("good").alias("rel")).where("rel > 0")
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(5), F.col("rel")).cast("int")), F.lit(0.0), lambda a, k: a + gain(k))
-    m = rel.join(top, "u").withColumn("idcg", ideal)
-    return m.agg(F.round(F.avg(F.col("hits") / 5), 9).alias("prec"), F.round(F.avg(F.col("hits") / F.col("rel")), 9).alias("rec"), F.round(F.avg(F.col("dcg") / F.col("idcg")), 9).alias("ndcg"), F.count("*").alias("users"))
-
-
-_FORMS: dict[str, Callable[[View], DataFrame]] = {
-    f.__name__: f for f in (average_precision, best_f1_threshold, roc_curve, pr_curve, reliability_ece, spearman_label, id_reindex, vocab_encode_oov, split_per_user, split_stratified, split_by_group, top_outputs_share, ranking_metrics_at_k)
-} | {"roc_auc": lambda view: _auc(view, []), "auc_by_kind": lambda view: _auc(view, ["kind"])}
-
-
-def queries(in_spark: Callable[[str], Callable[[SparkSession, str], DataFrame]]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The queries, given the function that makes one of SQL with {views} and {tables}."""
-
-    def bound(form: Callable[[View], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: form(lambda sql: in_spark(sql if "SELECT" in sql else f"SELECT * FROM {sql}")(spark, sf_dir))
-
-    return {name: bound(form) for name, form in _FORMS.items()}
+FORMS: dict[str, Callable[[View], DataFrame]] = {
+    f.__name__: f for f in (average_precision, best_f1_threshold, reliability_ece, spearman_label, id_reindex, vocab_encode_oov, split_per_user, split_stratified, split_by_group, top_outputs_share)
+} | {"roc_auc": lambda view: _auc(view, [])}

@@ -50,13 +50,13 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     size = rows.groupBy("label").agg((F.count("*") - 1).alias("others"))
     both = matching.with_sides(_knn("cosine")(spark, sf_dir).select("i", "j", "rank"), rows, "vec_id").where(F.col("a.label") == F.col("b.label"))
-    found = both.groupBy("i").agg(F.count("*").alias("hit"), F.sum((F.col("rank") == 1).cast("int")).alias("first"))
-    return rows.where("vec_id % 50 = 0").join(F.broadcast(size), "label").select(F.col("vec_id").alias("i"), "others").join(found, "i", "left").fillna(0, ["hit", "first"])
+    found = both.groupBy("i").agg(F.count("*").alias("hit"), F.sum((F.col("rank") == 1).cast("int")).alias("first"), F.sum((F.col("rank") <= 5).cast("int")).alias("five"))
+    return rows.where("vec_id % 50 = 0").join(F.broadcast(size), "label").select(F.col("vec_id").alias("i"), "others").join(found, "i", "left").fillna(0, ["hit", "first", "five"])
 
 
 def candidate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.col("hit") / F.least(F.col("others"), F.lit(10))
-    return _hits(spark, sf_dir).where("others > 0").agg(F.round(F.avg(share), 9).alias("recall"), F.round(F.avg("first"), 9).alias("hit_at_1"), F.count("*").alias("queries"))
+    return _hits(spark, sf_dir).where("others > 0").agg(F.round(F.avg(share), 9).alias("recall"), F.round(F.avg("first"), 9).alias("hit_at_1"), F.round(F.avg(F.col("five") / 5), 9).alias("precision_at_5"), F.count("*").alias("queries"))
 
 
 def missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,14 +64,6 @@ def missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("i", "others", "hit", (F.col("others") - F.col("hit")).alias("missed"))
 
 
-def fusion_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean agreement at a fused score of 0.5 or more for 21 weights of two scores."""
-    both = matching.with_sides(_knn("cosine")(spark, sf_dir).select("i", "j", "sim"), table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
-    rows = both.select("sim", (1 / (1 + F.abs(F.col("i") - F.col("j")))).alias("near"), (F.col("a.label") == F.col("b.label")).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("w20"))
-    fused = F.round(F.col("w20") / 20 * F.col("sim") + (1 - F.col("w20") / 20) * F.col("near"), 9)
-    return rows.groupBy("w20").agg(F.sum((fused >= 0.25).cast("int")).alias("kept"), F.sum(F.when(fused >= 0.25, F.col("y")).otherwise(0)).alias("hits"))
-
-
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 95 % interval of the Brier score of scored rows."""
     from quern.plans.registry import in_spark
@@ -133,11 +125,11 @@ def pca_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(round(share, 3)).alias("share"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (hamming_knn, candidate_union, symmetric_closure, pair_scores, pair_features, candidate_recall, missed_pairs, fusion_sweep, bootstrap_interval, pca_whiten)} | {"fm_auc": _classifier(_fm), "mlp_auc": _classifier(_mlp), "gbt_auc": _classifier(_gbt)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (hamming_knn, candidate_union, symmetric_closure, pair_scores, pair_features, candidate_recall, missed_pairs, bootstrap_interval, pca_whiten)} | {"fm_auc": _classifier(_fm), "mlp_auc": _classifier(_mlp), "gbt_auc": _classifier(_gbt)}
 
 _NN = f"({_knn_sql('cosine')})"
-_HITS = f"""SELECT e.vec_id AS i, c.n - 1 AS others, coalesce(h.hit, 0) AS hit, coalesce(h.first, 0) AS first FROM {{embeddings}} e JOIN (SELECT label, count(*) AS n FROM {{embeddings}} GROUP BY label) c ON c.label = e.label
-    LEFT JOIN (SELECT n.i, count(*) AS hit, sum((n.rank = 1)::INT)::BIGINT AS first FROM {_NN} n JOIN {{embeddings}} a ON a.vec_id = n.i JOIN {{embeddings}} b ON b.vec_id = n.j AND b.label = a.label GROUP BY n.i) h ON h.i = e.vec_id WHERE e.vec_id % 50 = 0"""
+_HITS = f"""SELECT e.vec_id AS i, c.n - 1 AS others, coalesce(h.hit, 0) AS hit, coalesce(h.first, 0) AS first, coalesce(h.five, 0) AS five FROM {{embeddings}} e JOIN (SELECT label, count(*) AS n FROM {{embeddings}} GROUP BY label) c ON c.label = e.label
+    LEFT JOIN (SELECT n.i, count(*) AS hit, sum((n.rank = 1)::INT)::BIGINT AS first, sum((n.rank <= 5)::INT)::BIGINT AS five FROM {_NN} n JOIN {{embeddings}} a ON a.vec_id = n.i JOIN {{embeddings}} b ON b.vec_id = n.j AND b.label = a.label GROUP BY n.i) h ON h.i = e.vec_id WHERE e.vec_id % 50 = 0"""
 _DRAWN = " + ".join(f"(u >= {c!r})::INT" for c in scores.POISSON_STEPS)
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,8 +139,7 @@ ORACLE_SQL: dict[str, str] = {
     "symmetric_closure": f"SELECT i, j FROM {_NN} x UNION SELECT j, i FROM {_NN} z",
     "pair_scores": f"SELECT p.i, p.j, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS dot, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM ({_knn_sql('dot')}) p JOIN {{embeddings}} a ON a.vec_id = p.i JOIN {{embeddings}} b ON b.vec_id = p.j",
     "pair_features": f"SELECT p.i, p.j, round(least(length(a.text), length(b.text))::DOUBLE / greatest(length(a.text), length(b.text), 1), 9) AS len_ratio, coalesce((a.text = b.text)::INT, 0) AS hash_eq, coalesce((a.source = b.source)::INT, 0) AS same_source, coalesce((a.lang = b.lang)::INT, 0) AS same_lang FROM {_NN} p JOIN {{documents}} a ON a.doc_id = p.i JOIN {{documents}} b ON b.doc_id = p.j",
-    "candidate_recall": f"SELECT round(avg(hit::DOUBLE / least(others, 10)), 9) AS recall, round(avg(first), 9) AS hit_at_1, count(*) AS queries FROM ({_HITS}) h WHERE others > 0",
+    "candidate_recall": f"SELECT round(avg(hit::DOUBLE / least(others, 10)), 9) AS recall, round(avg(first), 9) AS hit_at_1, round(avg(five / 5), 9) AS precision_at_5, count(*) AS queries FROM ({_HITS}) h WHERE others > 0",
     "missed_pairs": f"SELECT i, others, hit, others - hit AS missed FROM ({_HITS}) h",
-    "fusion_sweep": f"SELECT w20, sum((f >= 0.25)::INT)::BIGINT AS kept, sum(CASE WHEN f >= 0.25 THEN y ELSE 0 END)::BIGINT AS hits FROM (SELECT w20::INT AS w20, (a.label = b.label)::INT AS y, round(w20 / 20.0::DOUBLE * sim + (1 - w20 / 20.0::DOUBLE) * (1.0::DOUBLE / (1 + abs(i - j))), 9) AS f FROM {_NN} p JOIN {{embeddings}} a ON a.vec_id = p.i JOIN {{embeddings}} b ON b.vec_id = p.j, range(0, 21) r(w20)) t GROUP BY w20",
     "bootstrap_interval": f"SELECT round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM (SELECT r, sum(w * (y - s) * (y - s)) / sum(w) AS v FROM (SELECT r, y, s, {_DRAWN} AS w FROM (SELECT r, y, s, ('0x' || substr(md5(id || '-' || r), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM {{scored}} x, range(1, 301) q(r)) a) b GROUP BY r) c",
 }

@@ -40,7 +40,7 @@ def _mi(x: str) -> str:
 
 _SPLIT_USER = """SELECT u, i, CASE WHEN k <= n_test THEN 'test' WHEN k <= n_test + n_val THEN 'val' ELSE 'train' END AS split FROM (
     SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY md5(concat(CAST(u AS STRING), '-', CAST(i AS STRING)))) AS k,
-    greatest(1, CAST(floor(0.1e0 * COUNT(*) OVER (PARTITION BY u) + 0.5e0) AS INT)) AS n_test, greatest(1, CAST(floor(0.1e0 * COUNT(*) OVER (PARTITION BY u) + 0.5e0) AS INT)) AS n_val FROM {ratings}) t"""
+    greatest(1, CAST(round_even(0.1e0 * COUNT(*) OVER (PARTITION BY u), 0) AS INT)) AS n_test, greatest(1, CAST(round_even(0.1e0 * COUNT(*) OVER (PARTITION BY u), 0) AS INT)) AS n_val FROM {ratings}) t"""
 _BIAS = """SELECT r.u, r.i, r.rating, g.mu, coalesce(bu.b, 0e0) AS bu, coalesce(bi.b, 0e0) AS bi FROM {ratings} r CROSS JOIN (SELECT AVG(rating) AS mu FROM {ratings}) g
     LEFT JOIN (SELECT i, SUM(rating - mu) / (COUNT(*) + 10e0) AS b FROM {ratings} CROSS JOIN (SELECT AVG(rating) AS mu FROM {ratings}) m GROUP BY i) bi ON bi.i = r.i
     LEFT JOIN (SELECT u, SUM(rating - mu) / (COUNT(*) + 10e0) AS b FROM {ratings} CROSS JOIN (SELECT AVG(rating) AS mu FROM {ratings}) m GROUP BY u) bu ON bu.u = r.u"""
@@ -68,12 +68,11 @@ QUERIES = {
         rank() OVER (ORDER BY y) + (COUNT(*) OVER (PARTITION BY y) - 1) / 2e0 AS ry FROM {ctr} WHERE x1 IS NOT NULL) t""",
     "pearson_ranking": "SELECT f AS feature, round(abs(r), 9) AS strength FROM (SELECT 'x1' AS f, corr(x1, y) AS r FROM {ctr} UNION ALL SELECT 'x2', corr(x2, y) FROM {ctr}) t",
     "mutual_information": f"SELECT feature, round(mi, 9) AS mi FROM ({_mi('c1')} UNION ALL {_mi('c2')}) t",
-    "interaction_information": f"SELECT 'c1:x1' AS pair, round(ab.mi - a.mi - b.mi, 9) AS gain FROM ({_mi("concat(coalesce(c1, '__MISSING__'), '|', coalesce(CAST(x1 AS STRING), '__MISSING__'))").replace("'concat(coalesce(c1, '__MISSING__'), '|', coalesce(CAST(x1 AS STRING), '__MISSING__'))'", "'c1:x1'")}) ab, ({_mi('c1')}) a, ({_mi('x1')}) b",
     "raw_cardinality": "SELECT COUNT(DISTINCT coalesce(c1, '__MISSING__')) AS c1, COUNT(DISTINCT coalesce(c2, '__MISSING__')) AS c2 FROM {ctr}",
     "mean_std_over_seeds": "SELECT lang, round(AVG(n), 9) AS mean, round(stddev_pop(n), 9) AS std FROM (SELECT lang, source, CAST(COUNT(*) AS DOUBLE) AS n FROM {listings} GROUP BY lang, source) t GROUP BY lang",
     # splits, sampling
     "split_per_user": _SPLIT_USER,
-    "split_stratified": "SELECT id, y, CASE WHEN k <= floor(0.2e0 * n + 0.5e0) THEN 'val' ELSE 'train' END AS split FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS STRING)), id) AS k, COUNT(*) OVER (PARTITION BY y) AS n FROM {ctr}) t",
+    "split_stratified": "SELECT id, y, CASE WHEN k <= round_even(0.2e0 * n, 0) THEN 'val' ELSE 'train' END AS split FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS STRING)), id) AS k, COUNT(*) OVER (PARTITION BY y) AS n FROM {ctr}) t",
     "split_by_group": """SELECT l.id, l.grp, g.split FROM {listings} l JOIN (SELECT grp, CASE WHEN k <= floor(0.6e0 * n) THEN 'train' WHEN k <= floor(0.8e0 * n) THEN 'val' ELSE 'test' END AS split FROM (
         SELECT grp, row_number() OVER (ORDER BY md5(CAST(grp AS STRING))) AS k, COUNT(*) OVER () AS n FROM (SELECT DISTINCT grp FROM {listings}) d) t) g ON g.grp = l.grp""",
     "group_sample": "SELECT id, grp FROM {listings} WHERE grp IN (SELECT grp FROM (SELECT grp, row_number() OVER (ORDER BY md5(CAST(grp AS STRING))) AS k FROM (SELECT DISTINCT grp FROM {listings}) d) t WHERE k <= 100)",
@@ -91,41 +90,22 @@ QUERIES = {
     "average_precision": f"SELECT round(SUM(CAST(pos AS DOUBLE) / total_pos * (CAST(tp AS DOUBLE) / seen)), 9) AS ap FROM ({_RUN}) t",
     "best_f1_threshold": f"SELECT s AS threshold, round(f1, 9) AS f1 FROM (SELECT s, f1, row_number() OVER (ORDER BY f1 DESC, s DESC) AS k FROM (SELECT s, 2e0 * tp / (seen + total_pos) AS f1 FROM ({_RUN}) t) u) v WHERE k = 1",
     "threshold_sweep": "SELECT th, round(CAST(SUM(CASE WHEN s >= th AND y = 1 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(1, SUM(CASE WHEN s >= th THEN 1 ELSE 0 END)), 9) AS prec, round(CAST(SUM(CASE WHEN s >= th AND y = 1 THEN 1 ELSE 0 END) AS DOUBLE) / SUM(y), 9) AS rec FROM {scored} CROSS JOIN (SELECT 0.05e0 AS th UNION ALL SELECT 0.1e0 UNION ALL SELECT 0.2e0 UNION ALL SELECT 0.4e0) g GROUP BY th",
-    "log_loss": "SELECT round(AVG(-(y * ln(p) + (1 - y) * ln(1 - p))), 9) AS loss, round(AVG((y - p) * (y - p)), 9) AS brier FROM (SELECT y, least(greatest(s, 1e-7), 1 - 1e-7) AS p FROM {scored}) t",
     "reliability_ece": "SELECT CAST(bin AS BIGINT) AS bin, COUNT(*) AS n, round(AVG(s), 9) AS conf, round(AVG(CAST(y AS DOUBLE)), 9) AS acc, round(abs(AVG(s) - AVG(CAST(y AS DOUBLE))) * COUNT(*) / MAX(total), 9) AS part FROM (SELECT s, y, ntile(10) OVER (ORDER BY s, id) AS bin, COUNT(*) OVER () AS total FROM {scored}) t GROUP BY bin",
-    "roc_curve": f"SELECT s AS threshold, round(CAST(tp AS DOUBLE) / total_pos, 9) AS tpr, round(CAST(seen - tp AS DOUBLE) / (total - total_pos), 9) AS fpr FROM ({_RUN}) t",
-    "pr_curve": f"SELECT s AS threshold, round(CAST(tp AS DOUBLE) / seen, 9) AS prec, round(CAST(tp AS DOUBLE) / total_pos, 9) AS rec FROM ({_RUN}) t",
-    "auc_by_kind": "SELECT kind, round((SUM(CASE WHEN y = 1 THEN r ELSE 0e0 END) - np * (np + 1) / 2e0) / (np * nn), 9) AS auc FROM (SELECT kind, y, rank() OVER (PARTITION BY kind ORDER BY s) + (COUNT(*) OVER (PARTITION BY kind, s) - 1) / 2e0 AS r, CAST(SUM(y) OVER (PARTITION BY kind) AS DOUBLE) AS np, CAST(COUNT(*) OVER (PARTITION BY kind) - SUM(y) OVER (PARTITION BY kind) AS DOUBLE) AS nn FROM {scored}) t WHERE np > 0 AND nn > 0 GROUP BY kind, np, nn",
     # recommender
     "popularity_topk": "SELECT i, n, round(mean, 9) AS mean, CAST(k AS BIGINT) AS k FROM (SELECT i, n, mean, row_number() OVER (ORDER BY n DESC, mean DESC, i) AS k FROM (SELECT i, COUNT(*) AS n, AVG(rating) AS mean FROM {ratings} GROUP BY i) a) t WHERE k <= 20",
     "bias_baseline": f"SELECT u, i, round(least(5e0, greatest(1e0, mu + bu + bi)), 6) AS pred FROM ({_BIAS}) t",
     "rmse_mae": f"SELECT round(sqrt(AVG((rating - p) * (rating - p))), 9) AS rmse, round(AVG(abs(rating - p)), 9) AS mae FROM (SELECT rating, least(5e0, greatest(1e0, mu + bu + bi)) AS p FROM ({_BIAS}) t) q",
     "rmse_by_bucket": f"SELECT bucket, COUNT(*) AS n, round(sqrt(AVG((rating - p) * (rating - p))), 9) AS rmse FROM (SELECT rating, least(5e0, greatest(1e0, mu + bu + bi)) AS p, CASE WHEN c < 20 THEN 'a' WHEN c < 40 THEN 'b' ELSE 'c' END AS bucket FROM (SELECT t.*, COUNT(*) OVER (PARTITION BY u) AS c FROM ({_BIAS}) t) x) q GROUP BY bucket HAVING COUNT(*) >= 20",
-    "cf_item_similarity": """SELECT i, j, n, round(sim, 6) AS sim FROM (SELECT i, j, n, sim, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS k FROM (
-        SELECT a.i AS i, b.i AS j, COUNT(*) AS n, SUM(a.d * b.d) / (sqrt(MAX(a.q) * MAX(b.q)) + 1e-8) AS sim FROM (SELECT u, i, rating - AVG(rating) OVER (PARTITION BY u) AS d, 1 AS one, SUM(rating * rating) OVER (PARTITION BY i) AS q FROM {ratings}) a
-        JOIN (SELECT u, i, rating - AVG(rating) OVER (PARTITION BY u) AS d, SUM(rating * rating) OVER (PARTITION BY i) AS q FROM {ratings}) b ON a.u = b.u AND a.i <> b.i GROUP BY a.i, b.i) s) t WHERE k <= 10""",
-    "ranking_metrics_at_k": f"""SELECT round(AVG(hits / 5e0), 9) AS prec, round(AVG(hits / rel), 9) AS rec, round(AVG(dcg / idcg), 9) AS ndcg, COUNT(*) AS users FROM (
-        SELECT u, CAST(SUM(CASE WHEN k <= 5 AND good = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS hits, CAST(SUM(good) AS DOUBLE) AS rel, SUM(CASE WHEN k <= 5 AND good = 1 THEN ln(2e0) / ln(k + 1e0) ELSE 0e0 END) AS dcg,
-        SUM(CASE WHEN ideal <= 5 AND good = 1 THEN ln(2e0) / ln(ideal + 1e0) ELSE 0e0 END) AS idcg FROM (SELECT u, good, row_number() OVER (PARTITION BY u ORDER BY round(mu + bu + bi, 9) DESC, i) AS k, row_number() OVER (PARTITION BY u ORDER BY good DESC, i) AS ideal
-        FROM (SELECT t.*, CASE WHEN rating >= 4 THEN 1 ELSE 0 END AS good FROM ({_BIAS}) t) g) r GROUP BY u) m WHERE rel > 0""",
     # matching: a class of equal rows stands for its pairs
     "pair_positives": "SELECT l.id, l.grp, c.k - 1 AS links FROM {listings} l JOIN (SELECT grp, COUNT(*) AS k FROM {listings} GROUP BY grp) c ON c.grp = l.grp",
     "match_lists": "SELECT l.id, c.n, c.first_match, c.last_match FROM {listings} l JOIN (SELECT grp, COUNT(*) AS n, MIN(id) AS first_match, MAX(id) AS last_match FROM {listings} GROUP BY grp) c ON c.grp = l.grp",
-    "match_extremes": "SELECT grp, min_by(id, size * 1000000000 + id) AS shortest, max_by(id, size * 1000000000 - id) AS longest, COUNT(*) AS n FROM (SELECT grp, id, CAST(length(source) AS BIGINT) AS size FROM {listings}) t GROUP BY grp",
-    "describe_lengths": "SELECT lang, COUNT(*) AS n, round(AVG(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, MIN(n_chars) AS least, MAX(n_chars) AS most FROM {documents} GROUP BY lang",
     "confusion_metrics": """SELECT tp, fp, fn, tn, round(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 9) AS acc, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0e0), 9) AS prec, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0e0), 9) AS rec,
         round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0e0), 9) AS f1 FROM (SELECT COUNT(CASE WHEN s >= 0.1e0 AND y = 1 THEN 1 END) AS tp, COUNT(CASE WHEN s >= 0.1e0 AND y = 0 THEN 1 END) AS fp, COUNT(CASE WHEN s < 0.1e0 AND y = 1 THEN 1 END) AS fn, COUNT(CASE WHEN s < 0.1e0 AND y = 0 THEN 1 END) AS tn FROM {scored}) t""",
-    "slice_rates": "SELECT lang, COUNT(*) AS n, round(AVG(CASE WHEN k > 1 THEN 1e0 ELSE 0e0 END), 9) AS matched FROM (SELECT l.lang, c.k FROM {listings} l JOIN (SELECT grp, COUNT(*) AS k FROM {listings} GROUP BY grp) c ON c.grp = l.grp) t GROUP BY lang HAVING COUNT(*) >= 20",
     "first_row_per_key": "SELECT grp, id, title FROM (SELECT grp, id, title, row_number() OVER (PARTITION BY grp ORDER BY id) AS k FROM {listings}) t WHERE k = 1",
-    "error_categories": "SELECT label, COUNT(*) AS n FROM (SELECT CASE WHEN y = 1 AND s >= 0.1e0 THEN 'hit' WHEN y = 0 AND s < 0.1e0 THEN 'clean' WHEN y = 1 AND s >= 0.05e0 THEN 'near miss' WHEN y = 1 THEN 'far miss' WHEN s >= 0.4e0 THEN 'loud alarm' ELSE 'alarm' END AS label FROM {scored}) t GROUP BY label",
-    "lang_bucket": "SELECT bucket, COUNT(*) AS n FROM (SELECT CASE WHEN lower(title) LIKE '%the %' OR lower(title) LIKE '% of %' THEN 'en' WHEN lower(title) LIKE '% und %' OR lower(title) LIKE '% der %' THEN 'de' WHEN lower(title) LIKE '% les %' OR lower(title) LIKE '% le %' THEN 'fr' ELSE 'other' END AS bucket FROM {listings}) t GROUP BY bucket",
-    "rank_decay": "SELECT k, round(AVG(good), 9) AS prec FROM (SELECT CASE WHEN rating >= 4 THEN 1e0 ELSE 0e0 END AS good, CAST(row_number() OVER (PARTITION BY u ORDER BY rating DESC, i) AS BIGINT) AS k FROM {ratings}) t WHERE k <= 10 GROUP BY k",
     # events, dialogue
     "sessionize_events": """SELECT user_id, CAST(session AS BIGINT) AS session, COUNT(*) AS n FROM (SELECT user_id, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
         SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '1' HOUR THEN 1 ELSE 0 END AS fresh FROM {events}) a) b GROUP BY user_id, session""",
-    "session_by_change": "SELECT conv_id, turn, SUM(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) * 1e0 AS part FROM (SELECT conv_id, turn, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS fresh FROM {conversations}) t",
     "speaker_index": "SELECT conv_id, turn, CAST((dense_rank() OVER (PARTITION BY conv_id ORDER BY seen) - 1) % 2 AS BIGINT) AS speaker FROM (SELECT conv_id, turn, MIN(turn) OVER (PARTITION BY conv_id, role) AS seen FROM {turns}) t",
-    "conversation_stats": "SELECT COUNT(*) AS convs, round(AVG(n), 9) AS mean_turns, MAX(n) AS most, round(AVG(chars), 9) AS mean_chars FROM (SELECT conv_id, COUNT(*) AS n, SUM(length(text)) * 1e0 AS chars FROM {turns} GROUP BY conv_id) t",
     "top_outputs_share": "SELECT round(SUM(CASE WHEN k <= 5 THEN n ELSE 0 END) / CAST(SUM(n) AS DOUBLE), 9) AS share FROM (SELECT n, row_number() OVER (ORDER BY n DESC, t) AS k FROM (SELECT text AS t, COUNT(*) AS n FROM {turns} WHERE role = 'assistant' GROUP BY text) a) b",
     "length_buckets": "SELECT bucket, COUNT(*) AS n FROM (SELECT CASE WHEN length(text) < 100 THEN '0-99' WHEN length(text) < 500 THEN '100-499' ELSE '500+' END AS bucket FROM {turns}) t GROUP BY bucket HAVING COUNT(*) >= 5",
     "union_labelled": "SELECT id, 'user' AS part FROM {pairs} UNION ALL SELECT doc_id, 'doc' FROM {documents}",

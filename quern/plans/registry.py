@@ -7,28 +7,85 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import generation, ordered, pairs, portable, shaped
+from quern.plans import dialect, dialogue, generation, ordered, pairs, portable, products, recommend, shaped
+from quern.session import ensure_checkpoint_dir
 from quern.sources.tables import table
 
 
+VIEWS = {**portable.VIEWS, **recommend.VIEWS, **products.VIEWS, **dialogue.VIEWS}
+STAGED = {*products.STAGED, *dialogue.STAGED}
+
+
+def _names(sql: str) -> set[str]:
+    return set(re.findall(r"\{(\w+)\}", sql))
+
+
 def expand(sql: str) -> str:
-    """SQL in which {view} is written out and only {table} is left."""
-    while views := set(re.findall(r"\{(\w+)\}", sql)) & portable.VIEWS.keys():
+    """SQL in which {view} is written out; {table} and the views that are computed once are left."""
+    while views := (_names(sql) & VIEWS.keys()) - STAGED:
         for v in views:
-            sql = sql.replace(f"{{{v}}}", f"({portable.VIEWS[v]})")
+            sql = sql.replace(f"{{{v}}}", f"({VIEWS[v]})")
     return sql
 
 
-def in_spark(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+def in_spark(sql: str) -> Callable[..., DataFrame]:
     full = expand(sql)
-    names = sorted(set(re.findall(r"\{(\w+)\}", full)))
-    return lambda spark, sf_dir: spark.sql(full, **{n: table(spark, sf_dir, n) for n in names})
+    text, names = dialect.spelled(full, dialect.SPARK), sorted(_names(full))
+
+    def run(spark: SparkSession, sf_dir: str, staged: dict[str, DataFrame] | None = None) -> DataFrame:
+        staged = {} if staged is None else staged
+
+        def source(name: str) -> DataFrame:
+            if name not in STAGED:
+                return table(spark, sf_dir, name)
+            if name not in staged:
+                ensure_checkpoint_dir(spark)
+                staged[name] = in_spark(VIEWS[name])(spark, sf_dir, staged).checkpoint()
+            return staged[name]
+
+        return spark.sql(text, **{n: source(n) for n in names})
+
+    return run
 
 
 def in_duckdb(sql: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", expand(sql))
+    """The SQL for DuckDB; views that are computed once come first, as common tables."""
+    full, parts = expand(sql), {}
+
+    def need(text: str) -> None:
+        for name in sorted(_names(text) & STAGED):
+            if name not in parts:
+                own = expand(VIEWS[name])
+                need(own)
+                parts[name] = own
+
+    need(full)
+    head = ", ".join(f"{n} AS MATERIALIZED ({v})" for n, v in parts.items())
+    if head:
+        start = re.match(r"\s*WITH (RECURSIVE )?", full)
+        full = f"WITH {start.group(1) or ''}{head}, {full[start.end():]}" if start else f"WITH {head} {full}"
+    return re.sub(r"\{(\w+)\}", r"\1", dialect.spelled(full, dialect.DUCKDB))
 
 
 FLAGSHIP = "retrieval_f1_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: in_spark(v) for k, v in portable.QUERIES.items()}, **ordered.queries(in_spark), **shaped.QUERIES, **generation.QUERIES, **pairs.QUERIES}
-ORACLE_SQL: dict[str, str] = {**{k: in_duckdb(v) for k, v in portable.QUERIES.items()}, **{k: in_duckdb(v) for k, v in {**shaped.ORACLE_SQL, **generation.ORACLE_SQL, **pairs.ORACLE_SQL}.items()}}
+_SQL = {**portable.QUERIES, **recommend.QUERIES, **products.QUERIES, **dialogue.QUERIES}
+_FORMS = {**ordered.FORMS, **recommend.FORMS, **products.FORMS, **dialogue.FORMS}
+_FORM_SQL = {**shaped.ORACLE_SQL, **generation.ORACLE_SQL, **pairs.ORACLE_SQL, **recommend.FORM_SQL, **products.FORM_SQL, **dialogue.FORM_SQL}
+
+
+def _bound(form: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        staged: dict[str, DataFrame] = {}
+        return form(lambda sql: in_spark(sql if "SELECT" in sql else f"SELECT * FROM {sql} t")(spark, sf_dir, staged))
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{k: in_spark(v) for k, v in _SQL.items()},
+    **{k: _bound(v) for k, v in _FORMS.items()},
+    **shaped.QUERIES,
+    **generation.QUERIES,
+    **pairs.QUERIES,
+}
+ORACLE_SQL: dict[str, str] = {k: in_duckdb(v) for k, v in {**_SQL, **_FORM_SQL}.items()}

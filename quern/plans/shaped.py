@@ -176,9 +176,8 @@ idx AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight F
 
 ORACLE_SQL: dict[str, str] = {
     "retrieval_f1_topk": f"""WITH nn AS ({_knn_sql('cosine')}), k AS (SELECT nn.i, count(*) AS n, sum((a.label = b.label)::INT) AS hit FROM nn JOIN {{embeddings}} a ON a.vec_id = nn.i JOIN {{embeddings}} b ON b.vec_id = nn.j WHERE sim >= 0.3 GROUP BY nn.i),
-        r AS (SELECT coalesce(n, 0) AS n, coalesce(hit, 0)::DOUBLE AS hit, others FROM {{embeddings}} e JOIN (SELECT label, count(*) - 1 AS others FROM {{embeddings}} GROUP BY label) c ON c.label = e.label LEFT JOIN k ON k.i = e.vec_id WHERE e.vec_id % 50 = 0),
-        m AS (SELECT n, hit, CASE WHEN n > 0 THEN hit / n ELSE 0 END AS p, CASE WHEN others > 0 THEN hit / others ELSE 0 END AS r FROM r)
-        SELECT round(avg(p), 9) AS prec, round(avg(r), 9) AS rec, round(avg(CASE WHEN hit > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 9) AS f1, sum(n)::BIGINT AS kept FROM m""",
+        r AS (SELECT coalesce(k.n, 0) AS n, coalesce(hit, 0)::DOUBLE AS hit, c.n AS own FROM {{embeddings}} e JOIN (SELECT label, count(*) AS n FROM {{embeddings}} GROUP BY label) c ON c.label = e.label LEFT JOIN k ON k.i = e.vec_id WHERE e.vec_id % 50 = 0)
+        SELECT round(avg((1 + hit) / (1 + n)), 9) AS prec, round(avg((1 + hit) / own), 9) AS rec, round(avg(2 * (1 + hit) / (1 + n + own)), 9) AS f1, sum(n)::BIGINT AS kept FROM r""",
     **{f"knn_{m}": _knn_sql(m) for m in similarity.METRICS},
     "tfidf_word": f"{_TFIDF} SELECT id, term, round(weight, 6) AS weight FROM idx",
     "tfidf_topk": f"{_TFIDF}, s AS (SELECT a.id AS q, b.id AS id, round(sum(a.weight * b.weight), 6) AS score FROM idx a JOIN idx b ON a.term = b.term AND a.id <> b.id WHERE a.id % 50 = 0 GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INT AS rank FROM s) t WHERE rank <= 5",

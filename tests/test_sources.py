@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quern.sources import readers
@@ -26,3 +27,95 @@ def test_aligned_and_keys(spark, tmp_path):
     names = spark.createDataFrame([("/x/Train.csv",), ("/x/valid_1.csv",), ("/x/test",), ("/x/latest.csv",)], "p string").select(readers.split_of_file(F.col("p")).alias("s"))
     assert [r.s for r in names.collect()] == ["train", "val", "test", None]
     assert readers.resolve_pair(["id", "english_text", "hi"], ("en", "english"), ("hi",)) == ("english_text", "hi")
+
+
+def test_zip_members_and_search(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("in/train.csv", 'label,"text, long"\n1,"a\nb"\n0,c\n')
+    rows = readers.read_zip_member(spark, str(tmp_path / "d.zip"), "train.csv")
+    assert rows.columns == ["label", "text, long"] and sorted(tuple(r) for r in rows.collect()) == [("0", "c"), ("1", "a\nb")]
+    there = {"/x/d.zip", "/y/train.csv", "/y/test.csv"}
+    assert readers.find_source([None, "/z", "/y", "/x/d.zip"], there.__contains__) == "/y"
+    assert readers.find_source(["/q", "/x/d.zip"], there.__contains__) == "/x/d.zip"
+    with pytest.raises(FileNotFoundError):
+        readers.find_source([None, "/q"], there.__contains__)
+
+
+def test_listings(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("posting_id,image,image_phash,title,label_group\np1,a.jpg,00ff,Red bag,7\n")
+    r = readers.read_listings(spark, str(tmp_path / "l.csv"), "/img/").first()
+    assert (r.path, r.label_group) == ("/img/a.jpg", 7)
+
+
+def test_pairs_of_all_layouts(spark, tmp_path):
+    files = {
+        "named.csv": 'english_sentence,hindi_sentence,id\n"a, b",x,1\n',
+        "long.csv": "English words/sentences,Hindi words/sentences\na,x\n",
+        "unknown.csv": "id,one,two\n1,a,x\n",
+        "tab.txt": "a\tx\tby someone\nblank\t \nalone\n",
+        "nested.jsonl": '{"translation": {"en": "a", "hi": "x"}}\n',
+        "list.json": '{"data": [{"en": "a", "hi": "x"}]}',
+        "array.json": '[{"english": "a",\n "hindi": "x"}]',
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_text(content)
+    spark.createDataFrame([("a", "x")], "en string, hi string").write.parquet(str(tmp_path / "p.parquet"))
+    for name in [*files, "p.parquet"]:
+        got = [tuple(r) for r in readers.read_pairs(spark, str(tmp_path / name), ("en", "english"), ("hi", "hindi")).collect()]
+        assert got == [("a, b" if name == "named.csv" else "a", "x")], name
+    with pytest.raises(ValueError):
+        readers.read_pairs(spark, str(tmp_path / "x.doc"), ("en",), ("hi",))
+
+
+def test_folders_skip_what_cannot_be_read(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "train_en_hi.csv").write_text("en,hi\na,x\n")
+    (tmp_path / "val.csv").write_text("only\n1\n")
+    (tmp_path / "notes.md").write_text("no")
+    rows, skipped = readers.read_folder(spark, str(tmp_path), lambda s, p: readers.read_pairs(s, p, ("en",), ("hi",)), (".csv",))
+    assert [tuple(r) for r in rows.collect()] == [("a", "x", "train")]
+    assert [(p.rsplit("/", 1)[1], why) for p, why in skipped] == [("val.csv", "ValueError")]
+    assert readers.infer_languages(["data/README", "data/en_fr_train.csv"]) == ("en", "fr") and readers.infer_languages(["a_b"]) == ("en", "hi")
+
+
+def test_document_store_and_lookup(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "4.json").write_text('{"10": {"x": ["ten", 1]}, "2": "two", "title": "T", "wikiDocumentIdx": 77}')
+    (tmp_path / "docs" / "5.json").write_text('{"intro": "hello", "cast": ["a", "b"], "doc_id": "4.0"}')
+    (tmp_path / "docs" / "6.json").write_text('{"n": 1}')
+    got = {r.key: (r.full, r.sections) for r in readers.read_documents(spark, str(tmp_path / "docs")).collect()}
+    assert got == {"4": ("two ten", {"10": "ten", "2": "two"}), "77": ("two ten", {"10": "ten", "2": "two"}), "5": ("hello a b 4.0", {})}
+    known = spark.createDataFrame([("4.0", "four"), ("4", "other"), (None, "none")], "k string, text string")
+    rows = spark.createDataFrame([(1, " 4 ", None), (2, "4", "own"), (3, "9", None), (4, None, None)], "id long, k string, text string")
+    assert {r.id: r.text for r in readers.lookup(rows, known, "k", "text").collect()} == {1: "four", 2: "own", 3: None, 4: None}
+    assert [r.key for r in readers.lookup_misses(rows, known, "k").collect()] == ["9"]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "n long, s string")
+    assert readers.markdown_table(df) == "| n | s |\n| --- | --- |\n| 1 | a |"
+    made = []
+    for _ in range(2):
+        rows = readers.kept(spark, str(tmp_path), "key", lambda: made.append(1) or df)
+        assert rows.count() == 1
+    assert len(made) == 1
+
+
+def test_sequences(spark):
+    from quern.functions import sequences
+
+    row = spark.createDataFrame([(["a", ".", "b", "!", "c"], '{"x": ["p", {"y": "q"}], "n": 3}', {"0": "s one", "1": ""}, "2020-01-01 00:00:00", "2020-01-01 01:00:01", "bad")], "w array<string>, j string, m map<string, string>, a string, b string, c string")
+    r = row.select(
+        sequences.sentences(F.col("w")).alias("s"),
+        sequences.padded(F.col("w"), 5).alias("p"),
+        sequences.until_end(sequences.padded(F.col("w"), 5)).alias("u"),
+        sequences.flat_text(F.col("j")).alias("f"),
+        sequences.section_text(F.col("m"), F.lit(0), F.lit("full text"), 5).alias("s0"),
+        sequences.section_text(F.col("m"), F.lit(1), F.lit("full text"), 1).alias("s1"),
+        sequences.gap_seconds(F.col("a"), F.col("b")).alias("g"),
+        sequences.gap_seconds(F.col("a"), F.col("c")).alias("g0"),
+    ).first()
+    assert r.s == [["a", "."], ["b", "!"], ["c"]] and r.p == ["<s>", "a", ".", "b", "</s>"] and r.u == ["a", ".", "b"]
+    assert (r.f, r.s0, r.s1, r.g, r.g0) == ("p q", ["s", "one"], ["full"], 3601, None)
