@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 STEPS = 16
 
 
-def most_frequent(counts: DataFrame, key: str, count: str, bound: int):
-    """A pandas frame of the rows (key, count) with the largest counts: `bound` at most, and all above some count.
+def frequent_rows(counts: DataFrame, count: str, bound: int) -> DataFrame:
+    """The rows with the largest counts: `bound` at most, and all above some count.
 
-    A histogram of the counts on a logarithmic scale (a few hundred rows) gives the least count to collect.
+    A histogram of the counts on a logarithmic scale (a few hundred rows) gives the least count.
     """
     step = F.floor(F.log2(F.col(count).cast("double")) * STEPS)
     rows = sorted(((r[0], r[1]) for r in counts.groupBy(step.alias("s")).agg(F.count("*")).collect()), reverse=True)
@@ -20,5 +20,9 @@ def most_frequent(counts: DataFrame, key: str, count: str, bound: int):
         if total + n > bound:
             break
         total, least = total + n, s
-    picked = counts.select(key, count).where(step >= F.lit(least)) if least is not None else counts.select(key, count).limit(0)
-    return picked.toPandas()
+    return counts.where(step >= F.lit(least)) if least is not None else counts.limit(0)
+
+
+def most_frequent(counts: DataFrame, key: str, count: str, bound: int):
+    """A pandas frame of frequent_rows: key and count."""
+    return frequent_rows(counts, count, bound).select(key, count).toPandas()

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -218,12 +219,55 @@ def test_class_factor_sums_to_one_and_helps(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     model, counts = maxent_lm.train(df.where(~maxent_lm.held_out()))
     rows = maxent_lm.score(df, model, counts).collect()
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
-    z = maxent_lm._logits(model.weights, model.bias, np.array([[1, maxent_lm.WORD_ROWS + 2, 2 * maxent_lm.WORD_ROWS + 3]]))
-    total = sum(10 ** maxent_lm.class_scores(model.weights, model.bias, np.array([[1, maxent_lm.WORD_ROWS + 2, 2 * maxent_lm.WORD_ROWS + 3]]), np.array([k]))[0] for k in range(z.shape[1]))
+    assert sum(r.score for r in rows) > 0.5 * sum(r.base_score for r in rows)
+    at = np.array([[1, model.size + 2, 2 * model.size + 3]])
+    total = sum(10 ** maxent_lm.class_scores(model.weights, model.bias, at, np.array([k]))[0] for k in range(maxent_lm.CLASSES))
     assert abs(total - 1) < 1e-5
 
 
+def test_word_factor_sums_to_one_and_sees_the_word_before(spark):
+    docs = [(i, "big dog. old cat. " * 10 if i % 2 else "big cat. old dog. tiny fox. " * 10) for i in range(70)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model, counts = maxent_lm.train(df)
+    words = counts.toPandas()
+    for g in range(maxent_lm.GROUPS):
+        for x in words.itertuples():
+            text = model.hot == np.uint64(x.word % 2**64)
+            own = dict(zip(x.groups, x.counts, strict=True)).get(g, 0)
+            assert model.hot_count[text][0] == x.n and model.hot_groups[text, g][0] == own
+        unknown = 10 ** model.within(np.zeros(maxent_lm.CLASSES), np.zeros(maxent_lm.CLASSES), np.arange(maxent_lm.CLASSES), np.full(maxent_lm.CLASSES, g))
+        assert (unknown > 0).all()
+    # over all words of a class, the closed form adds up to one with the share of the unknown
+    k = int(np.argmax(model.class_distinct))
+    g = int(np.argmax(model.group_total[k]))
+    inside = [x for x in words.itertuples() if model.class_distinct[k] and _class_of(model, x, docs) == k]
+    total = sum(10 ** model.within(np.array([x.n]), np.array([dict(zip(x.groups, x.counts, strict=True)).get(g, 0)]), np.array([k]), np.array([g]))[0] for x in inside)
+    total += 10 ** model.within(np.array([0]), np.array([0]), np.array([k]), np.array([g]))[0]
+    assert len(inside) == model.class_distinct[k] and abs(total - 1) < 1e-9
+
+
+def _class_of(model, row, docs):
+    words = sorted({w for _, t in docs for w in t.split()})
+    data = "\n".join(words).encode()
+    t = maxent_lm.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    at = np.flatnonzero(t.words == np.uint64(row.word % 2**64))
+    return int(maxent_lm.classes(t, model.class_of)[at[0]])
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = []
+    for parts in (1, 4, 40):
+        df = docs.repartition(parts)
+        model, counts = maxent_lm.train(df.where(~maxent_lm.held_out()))
+        got.append({r.doc_id: (r.score, r.base_score, r.n_tokens) for r in maxent_lm.score(df, model, counts).collect()})
+    for other in got[1:]:
+        assert all(np.isclose(got[0][d][0], other[d][0], rtol=1e-4) and np.isclose(got[0][d][1], other[d][1]) for d in got[0])
+    held = [d for d in got[0] if zlib.crc32(str(d).encode()) % 7 == 2]
+    tokens = sum(got[0][d][2] for d in held)
+    assert sum(got[0][d][0] for d in held) / tokens > sum(got[0][d][1] for d in held) / tokens + 0.1
+
+
 def test_base_scores_with_few_hot_words(spark, monkeypatch):
     monkeypatch.setattr(maxent_lm, "HOT", 2)
     docs = [(i, " ".join(f"w{j % (i + 2)}" for j in range(20))) for i in range(40)]
