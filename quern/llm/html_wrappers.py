@@ -5,7 +5,8 @@ into nested sibling lists. Repeated neighbours become repeated groups. The pages
 another with the host's wrapper: siblings that only one side has become optional, runs become repeated groups, and
 texts that differ become text slots, while equal ones stay part of the template. Every sibling counts the pages that
 have it. Wrappers are folded within each batch
-first, then by salted host, then by host, so that a hot host's pages never meet in one task.
+first (in the order of their digests), then by salted host, then by host, so that a hot host's pages never meet in one task.
+Long sibling lists are aligned between the siblings that both have once, in order, so that wide pages take no square of time.
 
 A host with varied markup outgrows MAX_NODES. Its wrapper then drops rare siblings by the frequent-items rule of Misra and
 Gries (all supports fall by the same number), which keeps every sibling that a quarter of the pages have, in whatever
@@ -13,11 +14,17 @@ order pages are folded. Another pass over the pages of such hosts counts the exa
 all its pages agree, so that template text is told exactly. Siblings without a place in the wrapper are judged as in the
 wrapper of their page alone.
 
-Every slot of a wrapper is main text or not: inside article, main or content elements and outside menus, headers,
-footers, sidebars, notices, adverts, forms and comments. A host's pages without such an element take every slot outside
-those parts that is neither a list of links nor template text: a text that is the same on all pages that have its slot, where
-these are MIN_TEMPLATE_PAGES at least and most of the host's pages. Extraction aligns each page with its host's wrapper
-and joins the texts of the main slots; what it leaves out as template text equals the template's.
+Which slots are main text is the wrapper's decision first. Every slot counts the characters of its texts. From the root down,
+the region moves into the element that holds REGION_PERCENT of the host's varying, unlinked text, while there is one that
+isn't repeated and has elements of its own; it stops at an element that calls itself article or content. Pages of a host
+with MIN_TEMPLATE_PAGES whose texts vary take the slots of that region, and varying headings outside it.
+
+Inside the region, and on hosts with fewer or equal pages, what parts of the page are called decides the rest: text inside
+article or main elements, else inside content elements, else every slot that is neither in a list of links nor template
+text (a text that is the same on all pages that have its slot, where these are MIN_TEMPLATE_PAGES at least and most of the
+host's pages); never text of menus, headers, footers, sidebars, notices, adverts, forms and comments. A page without text in
+the region is read by those rules alone. Extraction aligns each page with its host's wrapper and joins the texts of the main
+slots; what it leaves out as template text equals the template's.
 
 Defined results: null or empty html, and pages without main text, give an empty text; character references are decoded
 as HTML does; a line break is white space inside a block; html cut off at any place is closed there; texts nested deeper
@@ -50,6 +57,9 @@ SALTS = 32
 #: Fewer pages with a slot don't tell template text from other text.
 MIN_TEMPLATE_PAGES = 4
 BROADCAST_BYTES = 64 << 20
+REGION_PERCENT = 80
+#: Sibling lists whose lengths' product is larger are cut at the siblings that both have once.
+WIDE = 1 << 20
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -201,8 +211,9 @@ def parse(html: str) -> _Node:
     return root
 
 
-# A wrapper is a list of siblings: [kind, label, flags, kids, text, support]; kind "e" (element), "#" (slot, whose text is
-# kept while all pages agree, else None) or "g" (group). Flags: 1 optional, 2 repeated. Support: the pages that have it.
+# A wrapper is a list of siblings: [kind, label, flags, kids, text, support, chars]; kind "e" (element), "#" (slot, whose text
+# is kept while all pages agree, else None) or "g" (group). Flags: 1 optional, 2 repeated. Support: the pages that have it.
+# Chars: those of all texts of a slot.
 
 
 def _key(w: list):
@@ -213,7 +224,48 @@ def _merge(a: list, b: list, one_page: bool) -> list:
     """The alignment of two matching siblings."""
     text = a[4] if a[4] == b[4] else None
     support = max(a[5], b[5]) if one_page else a[5] + b[5]
-    return [a[0], a[1], a[2] | b[2], align(a[3], b[3], one_page) if a[3] or b[3] else [], text, support]
+    return [a[0], a[1], a[2] | b[2], align(a[3], b[3], one_page) if a[3] or b[3] else [], text, support, a[6] + b[6]]
+
+
+def _once_in_both(a: list, b: list) -> list[tuple[int, int]]:
+    """The places of keys that both lists have once, in the order of both: the longest such sequence."""
+    from bisect import bisect_left
+
+    na, nb = Counter(a), Counter(b)
+    at = {k: i for i, k in enumerate(b) if nb[k] == 1 and na[k] == 1}
+    pairs = [(i, at[k]) for i, k in enumerate(a) if k in at]
+    tails, last, back = [], [], [-1] * len(pairs)
+    for x, (_, j) in enumerate(pairs):
+        d = bisect_left(tails, j)
+        back[x] = last[d - 1] if d else -1
+        tails[d : d + 1], last[d : d + 1] = [j], [x]
+    out, x = [], last[-1] if last else -1
+    while x >= 0:
+        out.append(pairs[x])
+        x = back[x]
+    return out[::-1]
+
+
+def _steps(a: list, b: list) -> Iterator[tuple[bool, int, int, int, int]]:
+    """(equal, ranges of a and b) that cover both key lists in order."""
+    if len(a) * len(b) <= WIDE:
+        for op, i, j, k, n in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            yield op == "equal", i, j, k, n
+        return
+    i = k = 0
+    for x, y in [*_once_in_both(a, b), (len(a), len(b))]:
+        if (x - i) * (y - k) <= WIDE:
+            yield from ((e, i + p, i + q, k + r, k + t) for e, p, q, r, t in _steps(a[i:x], b[k:y]))
+        else:  # no sibling of these runs is in both once
+            same = 0
+            while same < min(x - i, y - k) and a[i + same] == b[k + same]:
+                same += 1
+            if same:
+                yield True, i, i + same, k, k + same
+            yield False, i + same, x, k + same, y
+        if x < len(a):
+            yield True, x, x + 1, y, y + 1
+        i, k = x + 1, y + 1
 
 
 def align(a: list, b: list, one_page: bool = False) -> list:
@@ -222,8 +274,8 @@ def align(a: list, b: list, one_page: bool = False) -> list:
     if ka == kb:
         return [_merge(x, y, one_page) for x, y in zip(a, b, strict=True)]
     out = []
-    for op, i, j, k, n in SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
-        if op == "equal":
+    for equal, i, j, k, n in _steps(ka, kb):
+        if equal:
             out += [_merge(x, y, one_page) for x, y in zip(a[i:j], b[k:n], strict=True)]
         else:
             out += [[w[0], w[1], w[2] | 1, *w[3:]] for w in chain(a[i:j], b[k:n])]
@@ -245,7 +297,7 @@ def fold_repeats(row: list) -> list:
             body = row[i : i + period]
             for j in range(1, n):
                 body = align(body, row[i + j * period : i + (j + 1) * period], one_page=True)
-            out.append([*body[0][:2], body[0][2] | 2, *body[0][3:]] if period == 1 else ["g", "", 2, body, None, 1])
+            out.append([*body[0][:2], body[0][2] | 2, *body[0][3:]] if period == 1 else ["g", "", 2, body, None, 1, 0])
             i += n * period
         row = out
     return row
@@ -253,7 +305,7 @@ def fold_repeats(row: list) -> list:
 
 def skeleton(nodes: list[_Node]) -> list:
     """The wrapper of one page."""
-    return fold_repeats([["#", n.label, 0, [], told_apart(n.text), 1] if n.text is not None else ["e", n.label, 0, skeleton(n.kids), None, 1] for n in nodes])
+    return fold_repeats([["#", n.label, 0, [], told_apart(n.text), 1, len(n.text)] if n.text is not None else ["e", n.label, 0, skeleton(n.kids), None, 1, 0] for n in nodes])
 
 
 def count(row: list) -> int:
@@ -290,7 +342,7 @@ def drop_rare(row: list, most: int) -> list:
 
 
 def _lower(row: list, by: int, in_group: bool) -> list:
-    return [[*w[:3], _lower(w[3], by, w[0] == "g"), w[4], w[5] if in_group else w[5] - by] for w in row if in_group or w[5] > by]
+    return [[*w[:3], _lower(w[3], by, w[0] == "g"), w[4], w[5] if in_group else w[5] - by, w[6]] for w in row if in_group or w[5] > by]
 
 
 def slots(row: list) -> Iterator[list]:
@@ -315,23 +367,59 @@ def _part(label: str) -> tuple[bool, bool, bool]:
     return False, not other and bool(words & {"content", "article", "post", "entry", "story", "main"}), other
 
 
-def _judge(row: list, inside: int, other: bool, in_list: bool, least: float) -> list:
-    """The wrapper with, for each slot, the ways in which it is main text: 1 in an article, 2 in content, 4 elsewhere.
+def _mass(w: list, least: float) -> int:
+    """The characters of a sibling's varying, unlinked text outside parts that are no article's."""
+    if w[0] == "#":
+        return 0 if w[1] == "@" or (w[4] is not None and w[5] >= least) else w[6]
+    if w[0] == "e" and _part(w[1])[2]:
+        return 0
+    return sum(_mass(k, least) for k in w[3])
+
+
+def region(row: list, least: float) -> list | None:
+    """The element that holds the host's main text, as far down as its text is REGION_PERCENT of its siblings' too."""
+    found = None
+    while True:
+        masses = [_mass(w, least) for w in row]
+        best = max(range(len(row)), key=masses.__getitem__, default=-1)
+        if best < 0 or not masses[best] or 100 * masses[best] < REGION_PERCENT * sum(masses):
+            return found
+        w = row[best]
+        if w[0] != "e" or w[2] & 2 or all(k[0] == "#" for k in w[3]):
+            return found
+        found, row = w, w[3]
+        article, content, _ = _part(w[1])
+        if article or content:
+            return found
+
 
-    A slot's text stays if it is template text, which `least` pages have. Elements tell whether they are in a list of links.
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+
+
+def _judge(row: list, inside: int, other: bool, in_list: bool, least: float, main: list | None = None, within: bool = False, heading: bool = False) -> list:
+    """The wrapper with, for each slot, the ways in which it is main text: 1 in an article, 2 in content, 4 elsewhere; and 8
+    in the region `main`, or in a heading whose text varies.
+
+    A slot's text stays if it is template text, which `least` pages have. Elements tell whether they are in a list of links
+    (1), and whether they are in the region (8).
     """
     out = []
-    for kind, label, flags, kids, text, support in row:
+    for w in row:
+        kind, label, flags, kids, text, support, _ = w
+        here = within or w is main
         if kind == "e":
+            name = label.split("|")[0]
             article, content, no = _part(label)
-            no = no or (label.split("|")[0] == "header" and not inside & 1)
+            no = no or (name == "header" and not inside & 1)
             linked = in_list or (not inside and bool(flags & 2) and _all_linked(kids))
-            out.append([kind, label, flags, _judge(kids, inside | (1 if article else 0) | (2 if content else 0), other or no, linked, least), None, linked])
+            inner = _judge(kids, inside | (1 if article else 0) | (2 if content else 0), other or no, linked, least, main, here, name in HEADINGS)
+            out.append([kind, label, flags, inner, None, (1 if linked else 0) | (8 if here else 0)])
         elif kind == "g":
-            out.append([kind, label, flags, _judge(kids, inside, other, in_list or (not inside and _all_linked(kids)), least), None, 0])
+            out.append([kind, label, flags, _judge(kids, inside, other, in_list or (not inside and _all_linked(kids)), least, main, here, heading), None, 0])
         else:
+            template = text if support >= least else None
             ways = 0 if other else (1 if inside & 1 else 0) | (2 if inside & 2 else 0) | (0 if in_list else 4)
-            out.append([kind, label, flags, [], text if support >= least else None, ways])
+            out.append([kind, label, flags, [], template, ways | (8 if here or (main is not None and heading and template is None) else 0)])
     return out
 
 
@@ -363,37 +451,39 @@ class Wrapper:
 
     def __init__(self, pages: int, row: list, varied: bool):
         least = max(MIN_TEMPLATE_PAGES, pages // 2 + 1) if varied or _varies(row) else float("inf")
-        self.row = _flat(_judge(row, 0, False, False, least), itertools.count())
+        self.main = region(row, least) if least < float("inf") and pages >= MIN_TEMPLATE_PAGES else None
+        self.row = _flat(_judge(row, 0, False, False, least, self.main), itertools.count())
         self.slots = [w[4] for w in slots(row)]
 
     def texts(self, root: _Node) -> list[str]:
         """The main text blocks of a page, in page order."""
         found: list[tuple[int, str, int]] = []
-        self._walk(root.kids, self.row, 0, False, False, found)
-        for way in (1, 2, 4):
-            got = [t for ways, t, _ in found if ways & way]
-            if got:
-                return got
+        self._walk(root.kids, self.row, 0, False, 0, found)
+        for need in (8, 0) if self.main is not None else (0,):
+            for way in (1, 2, 4):
+                got = [t for ways, t, _ in found if ways & way and ways & need == need]
+                if got:
+                    return got
         return []
 
     def tally(self, root: _Node) -> dict[int, bool]:
         """For each slot that a page has: whether all its texts there are the wrapper's."""
         found: list[tuple[int, str, int]] = []
-        self._walk(root.kids, self.row, 0, False, False, found)
+        self._walk(root.kids, self.row, 0, False, 0, found)
         out: dict[int, bool] = {}
         for _, text, slot in found:
             if slot >= 0:
                 out[slot] = out.get(slot, True) and self.slots[slot] == told_apart(text)
         return out
 
-    def _walk(self, nodes: list[_Node], row: list, inside: int, other: bool, in_list: bool, found: list) -> None:
+    def _walk(self, nodes: list[_Node], row: list, inside: int, other: bool, state: int, found: list) -> None:
         at, own = 0, None
         for n in nodes:
             if spots := row[1].get(n.label):
                 at = next((i for i in spots if i >= at), spots[0])
                 place = row[0][at]
             else:
-                own = own or _flat(_judge(skeleton(nodes), inside, other, in_list, float("inf")), itertools.repeat(-1))
+                own = own or _flat(_judge(skeleton(nodes), inside, other, bool(state & 1), float("inf"), None, bool(state & 8)), itertools.repeat(-1))
                 place = own[0][own[1][n.label][0]]
             if n.text is not None:
                 found.append((place[1] & ~4 if place[3] is not None and place[3] == told_apart(n.text) else place[1], n.text, place[4]))
@@ -413,8 +503,10 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, html) -> (host, wrapper), one row for each host of a batch."""
     for b in batches:
         out: dict = {}
-        for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            out[host] = infer(out.get(host), one_page(html.as_py() or ""))
+        hosts, pages = b.column(0).to_pylist(), b.column(1)
+        digest = [blake2b((h.as_buffer() if h.is_valid else b""), digest_size=8).digest() for h in pages]
+        for i in sorted(range(len(hosts)), key=lambda i: (digest[i], i)):
+            out[hosts[i]] = infer(out.get(hosts[i]), one_page(pages[i].as_py() or ""))
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([json.dumps(w) for w in out.values()], pa.string())], names=["host", "wrapper"])
 
 

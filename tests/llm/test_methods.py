@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -314,6 +315,47 @@ def extracted(spark, pages):
     return [r.text for r in html_wrappers.extract(df, html_wrappers.infer_wrappers(df)).orderBy("page_id").collect()]
 
 
+def test_slots_decide_without_names(spark):
+    """No element and no class says what it is: an empty wrapper keeps the changing advert and notice, the host's leaves them."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice("amber birch cedar delta ember fjord".split()) + str(rng.randrange(99)) for _ in range(n))
+    made = []
+    for _ in range(12):
+        title, body = words(5), [words(rng.randrange(20, 60)) for _ in range(rng.randrange(2, 6))]
+        page = f"<div class=a1><div>{words(4)}</div><div>{words(3)}</div></div><div class=b2><h1>{title}</h1></div><div class=c3><div class=d4>"
+        page += "".join(f"<p>{b}</p>" for b in body) + f"</div></div><div class=e5><div>Sent {words(2)}</div><div>All rights</div></div>"
+        made.append((page, "\n".join([title, *body])))
+    pages, want = zip(*made, strict=True)
+    assert extracted(spark, pages) == list(want)
+    bare = html_wrappers.load("")
+    assert all("\n".join(bare.texts(html_wrappers.parse(p))) != w for p, w in made)
+    for seed in range(6):  # whatever the order of the pages
+        order = random.Random(seed).sample(range(12), 12)
+        wrapper = None
+        for i in order:
+            wrapper = html_wrappers.infer(wrapper, html_wrappers.one_page(pages[i]))
+        whole = html_wrappers.Wrapper(wrapper[0], wrapper[1], wrapper[4])
+        assert ["\n".join(whole.texts(html_wrappers.parse(p))) for p in pages] == list(want)
+
+
+def test_a_named_article_inside_the_region_counts(spark):
+    pages = [f"<div><div>share {i}</div><article><h1>t{i}</h1><p>{'long text ' * (i + 3)}</p></article><div>note {i}</div></div><footer>f{i}</footer>" for i in range(6)]
+    assert extracted(spark, pages) == [f"t{i}\n{('long text ' * (i + 3)).strip()}" for i in range(6)]
+
+
+def test_wide_pages_align_in_little_time():
+    rng = random.Random(2)
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [[["e", f"x|{name(i)}", 0, [], None, 1, 0] for i in sorted(rng.sample(range(60000), 20000))] for _ in range(2)]
+    started = time.time()
+    both = html_wrappers.align(*rows)
+    assert time.time() - started < 10
+    labels = [w[1] for w in both]
+    assert len(labels) == len(set(labels)) == len({w[1] for r in rows for w in r})
+    same = [["e", "x|a", 0, [], None, 1, 0]] * 3000
+    assert len(html_wrappers.align(same[:2900], same)) == 3000
+
+
 def test_text_of_few_pages_is_no_template(spark):
     pages = [f"<div>Sold by us</div><h1>t{i}</h1>" + ("<blockquote>said once</blockquote>" if i == 2 else "") + ("<h3>on three</h3>" if i < 3 else "") + ("<h2>on four</h2>" if i > 3 else "") for i in range(8)]
     want = [[f"t{i}", *["said once"] * (i == 2), *["on three"] * (i < 3), *["on four"] * (i > 3)] for i in range(8)]
