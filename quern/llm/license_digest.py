@@ -18,7 +18,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.text_stats import LOWER, UPPER
+from quern.llm.text_stats import kept_apart, LOWER, UPPER
 
 #: Public license texts and the usual one-line notices.
 _PERMISSION = (
@@ -102,7 +102,6 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("copyright owners", "copyright holders"),
     ("per cent", "percent"),
-    ("merchantability", "merchantability"),
     ("organisation", "organization"),
     ("favour", "favor"),
     ("honour", "honor"),
@@ -117,11 +116,10 @@ def canonical(text: Column) -> Column:
     """The canonical form of a whole text."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), _COPYRIGHT_LINE, "")
     plain = F.regexp_replace(F.translate(plain, UPPER, LOWER), _BREAKS, " ")
-    padded = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.replace(F.trim(plain), F.lit(" "), F.lit("  ")), F.lit(" "))  # each word between blanks of its own
     for other, usual in SPELLINGS:
-        if other != usual:
-            padded = F.replace(padded, F.lit(f" {other} "), F.lit(f" {usual} "))
-    return F.trim(padded)
+        padded = F.replace(padded, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {usual.replace(' ', '  ')} "))
+    return F.trim(F.replace(padded, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -140,6 +138,7 @@ def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> D
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), known: dict[str, str] | None = None) -> DataFrame:
     """The columns `keep` of df with digest (of the canonical whole text), n_canonical (its code points) and license."""
+    df, keep = kept_apart(df, keep, ("digest", "n_canonical", "license", "__c", "__d"))
     rows = df.select(*keep, canonical(F.col(text)).alias("__c"))
     rows = rows.select(*keep, F.length("__c").cast("long").alias("n_canonical"), F.sha2(F.col("__c"), 256).alias("digest"))
     table = known_digests(df.sparkSession, known).select(F.col("digest").alias("__d"), F.col("license").alias("license"))

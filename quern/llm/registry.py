@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -156,21 +158,41 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _canonical_text(text: str) -> str:
+    """The canonical form in plain Python, for the digests in the SQL."""
+    kept = re.sub(license_digest._COPYRIGHT_LINE, "", text)
+    words = re.sub(license_digest._BREAKS, " ", kept.translate({c: c + 32 for c in range(65, 91)})).split(" ")
+    words, phrases = [w for w in words if w], {tuple(a.split(" ")): b.split(" ") for a, b in license_digest.SPELLINGS}
+    for size, old, new in ((len(k), list(k), v) for k, v in phrases.items()):
+        out, i = [], 0
+        while i < len(words):
+            hit = words[i : i + size] == old
+            out += new if hit else [words[i]]
+            i += size if hit else 1
+        words = out
+    return " ".join(words)
+
+
 def _canonical_sql(text: str) -> str:
     pattern, breaks = license_digest._COPYRIGHT_LINE, license_digest._BREAKS
     out = f"regexp_replace(coalesce({text}, ''), {_sql_text(pattern)}, '', 'g')"
     out = f"regexp_replace(translate({out}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_sql_text(breaks)}, ' ', 'g')"
-    out = f"' ' || trim({out}) || ' '"
+    out = f"' ' || replace(trim({out}), ' ', '  ') || ' '"
     for other, usual in license_digest.SPELLINGS:
-        if other != usual:
-            out = f"replace({out}, ' {other} ', ' {usual} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {other.replace(' ', '  ')} ', ' {usual.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
+
+
+def _known_rows() -> str:
+    least: dict[str, str] = {}
+    for name, body in license_digest.known_texts():
+        digest = hashlib.sha256(_canonical_text(body).encode()).hexdigest()
+        least[digest] = min(name, least.get(digest, name))
+    return ", ".join(f"('{d}', {_sql_text(n)})" for d, n in least.items())
 
 
 _OP8 = f"""
-WITH known(license, body) AS (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in license_digest.KNOWN.items())}),
-k AS (SELECT sha256({_canonical_sql("body")}) AS digest, min(license) AS license FROM known GROUP BY 1),
-d AS (SELECT doc_id, {_canonical_sql("text")} AS c FROM documents)
+WITH k(digest, license) AS (VALUES {_known_rows()}), d AS (SELECT doc_id, {_canonical_sql("text")} AS c FROM documents)
 SELECT doc_id, length(c)::BIGINT AS n_canonical, sha256(c) AS digest, CASE WHEN c <> '' THEN k.license END AS license FROM d LEFT JOIN k ON k.digest = sha256(c)
 """
 

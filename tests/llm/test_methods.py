@@ -422,6 +422,27 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: "0BSD"}
 
 
+def test_spellings_of_neighbouring_words(spark):
+    rows = [("Licence licence, LICENCES x", "license license licenses x"), ("sub license sub-license non infringement", "sublicense sublicense noninfringement"), ("copyright owner copyright owners per cent favour", "copyright holder copyright holders percent favor"), ("sublicence", "sublicence")]
+    got = spark.createDataFrame(rows, "t string, want string").select("want", license_digest.canonical(F.col("t")).alias("c")).collect()
+    assert [r.c for r in got] == [r.want for r in got]
+
+
+def test_licenses_as_sql_finds_them(spark, tmp_path):
+    import duckdb
+
+    from quern.llm.registry import ORACLE_SQL, QUERIES
+
+    known = license_digest.known_texts()
+    rows = [(i, body.upper() if i % 2 else f"Copyright (c) {i} Someone\n{body}") for i, (_, body) in enumerate(known)] + [(-1, "plain"), (-2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {tuple(r) for r in con.sql(f"SELECT doc_id, n_canonical, digest, license FROM ({ORACLE_SQL['op8_license_digest']})").fetchall()}
+    got = {(r.doc_id, r.n_canonical, r.digest, r.license) for r in QUERIES["op8_license_digest"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(r[3] is not None for r in got) > 0.9 * len(known)
+
+
 def test_whole_license_texts(spark):
     folder = Path(license_digest.__file__).parent / "licenses"
     rows = [(p.stem, p.read_text()) for p in folder.glob("*.txt")]
