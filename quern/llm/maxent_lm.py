@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.bounded import frequent_rows
+from quern.llm.text_stats import kept_apart
 from quern.llm.wordhash import BLANK_WORDS, chunks, mix
 from quern.llm.workers import released
 from quern.session import ensure_checkpoint_dir
@@ -83,8 +84,12 @@ def classes(t: Tokens, class_of: np.ndarray) -> np.ndarray:
 
 def _before(t: Tokens, values: np.ndarray, k: int, start) -> np.ndarray:
     """For each token the value of the token k places before it in its text, or `start`."""
-    pos = np.arange(len(values)) - np.repeat(t.at[:-1], np.diff(t.at))
-    return np.where(pos >= k, np.roll(values, k), start)
+    out = np.empty_like(values)
+    out[:k], out[k:] = start, values[:-k] if k < len(values) else values[:0]
+    for j in range(k):
+        at = t.at[:-1] + j
+        out[at[at < t.at[1:]]] = start
+    return out
 
 
 def groups(t: Tokens) -> np.ndarray:
@@ -136,7 +141,7 @@ class Gradient:
             p /= -p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] += 1
             flat = r.ravel()
-            order = np.argsort(flat, kind="stable")
+            order = np.argsort(flat.astype(np.uint16) if len(self.met) <= 1 << 16 else flat, kind="stable")  # 16 bits sort fast
             ordered = flat[order]
             first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
             touched = ordered[first]
@@ -208,11 +213,8 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
                 after.append(groups(t).astype(np.uint8))
             if words:
                 w, e, g = (np.concatenate(x) for x in (words, endings, after))
-                order = np.argsort(w, kind="stable")
-                order = order[np.argsort(g[order], kind="stable")]
-                w, e, g = w[order], e[order], g[order]
-                first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])]))
-                n = np.diff(np.append(first, len(w)))
+                key = mix(w + g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([_signed(w[first]), pa.array(e[first]), pa.array(g[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "ending", "g", "n"])
 
     rows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(released(run), "word long, ending int, g int, n long")
@@ -308,6 +310,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     sent = spark.sparkContext.broadcast(model)
+    docs, keep = kept_apart(docs, keep, ("n_tokens", "n_known", "base_score", "score", "base", "__row", "__tail", "__label", "__group", "__known", "__base", "__within", "__text"))
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(_SCORED).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
