@@ -49,6 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.text_stats import kept_apart
 from quern.llm.workers import released
 from quern.session import ensure_checkpoint_dir
 
@@ -589,6 +590,7 @@ def host_column(url: str):
 
 def extract(pages: DataFrame, wrappers: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns `keep` of pages with text and n_chars."""
+    pages, keep = kept_apart(pages, keep, ("text", "n_chars", "__host", "__html", "__wrapper", "__salt"))
     rows = pages.select(*keep, host_column(url).alias("__host"), F.col(html).cast("string").alias("__html"))
     joined = _beside(rows, wrappers)
     joined = joined.select(*keep, "__html", "__wrapper")

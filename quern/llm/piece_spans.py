@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.text_stats import kept_apart
 from quern.llm.workers import released
 
 SPACE = "▁".encode()
@@ -247,6 +248,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str,
     """
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
+    df, keep = kept_apart(df, keep, (*outputs, "__text"))
     fields = [df.schema[c] for c in keep]
     schema = T.StructType([*fields, *(T.StructField(o, _KINDS[o][0]) for o in outputs)])
 

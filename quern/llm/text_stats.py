@@ -53,6 +53,18 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def kept_apart(df: DataFrame, keep: tuple[str, ...], taken: tuple[str, ...]) -> tuple[DataFrame, tuple[str, ...]]:
+    """df and the names under which the columns `keep` come out: a column whose name an operator takes for a result or for
+    itself (letters of either case) comes out under that name made longer by underscores."""
+    own, names = df, []
+    used = {t.lower() for t in taken}
+    for c in keep:
+        name = free_name([*own.columns, *taken], c) if c.lower() in used else c
+        own = own.withColumn(name, F.col(f"`{c}`")) if name != c else own
+        names.append(name)
+    return own, tuple(names)
+
+
 def with_words(df: DataFrame, text: str) -> DataFrame:
     """(__row, __text, __words): all columns of df as one struct, so that no name can clash, the text (never null) and
     its words."""

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.text_stats import lower_ascii
+from quern.llm.text_stats import kept_apart, lower_ascii
 
 MAX_KEYS = 2_000_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -159,7 +159,9 @@ def judge(df: DataFrame, url: str, allow: set[str], block: set[str], blocked_hos
     """
     cascades = build(df, url, {"allow": set(allow) - set(block), "block": set(block), "hosts": set(blocked_hosts)})
     shapes = shapes_of({*allow, *block, *blocked_hosts})
-    staged = with_keys(df, url, shapes) if shapes else with_keys(df, url, [(1, 0)])
+    df, keep = kept_apart(df, keep, ("host", "path", "rule", "verdict", "__host", "__path", "__labels", "__keys", "__named", "__rule", "__url"))
+    df = df.select(*keep, F.col(f"`{url}`").alias("__url"))
+    staged = with_keys(df, "__url", shapes or [(1, 0)])
     named = F.transform(
         "__keys",
         lambda k: F.struct(k["size"].alias("size"), k["labels"].alias("labels"), k["key"].alias("key"), cascades["allow"].column(k["key"]).alias("allow"), cascades["block"].column(k["key"]).alias("block"), cascades["hosts"].column(k["key"]).alias("spam")),

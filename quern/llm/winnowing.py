@@ -188,21 +188,22 @@ def _merged(parts: list[DataFrame], names: list[str], text: str, out: str) -> Da
 
     from pyspark.sql import Window
 
+    key, no, w, s, i = (free_name([*names, out], n) for n in ("__key", "__no", "__w", "__s", "__i"))
     keyed = []
     for p in parts:
-        p = p.withColumn("__key", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])), 256))
-        keyed.append(p.withColumn("__no", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1)))))
+        p = p.withColumn(key, F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])), 256))
+        keyed.append(p.withColumn(no, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))))
     both = reduce(DataFrame.unionByName, keyed)
     firsts = [F.first(F.col(f"`{c}`")).alias(c) for c in names]
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col(f"{out}.starts").alias("s"), F.col(f"{out}.ends").alias("e")))))
-    rows = both.groupBy("__key", "__no").agg(*firsts, F.max(f"{out}.n_words").alias("__w"), spans.alias("__s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{out}.items")))).alias("__i"))
+    rows = both.groupBy(key, no).agg(*firsts, F.max(f"{out}.n_words").alias(w), spans.alias(s), F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{out}.items")))).alias(i))
     joined = F.aggregate(
-        "__s",
+        s,
         F.array().cast("array<struct<s:bigint,e:bigint>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1).e >= x.s), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1).s.alias("s"), F.greatest(F.element_at(acc, -1).e, x.e).alias("e"))))).otherwise(F.concat(acc, F.array(F.struct(x.s.alias("s"), x.e.alias("e"))))),
     )
-    rows = rows.withColumn("__s", F.when(F.size("__s") > 0, joined).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>")))
-    return rows.select(*[F.col(f"`{c}`") for c in names], F.struct(F.col("__w").alias("n_words"), F.col("__s.s").alias("starts"), F.col("__s.e").alias("ends"), F.col("__i").alias("items")).alias(out))
+    rows = rows.withColumn(s, F.when(F.size(s) > 0, joined).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>")))
+    return rows.select(*[F.col(f"`{c}`") for c in names], F.struct(F.col(w).alias("n_words"), F.col(f"{s}.s").alias("starts"), F.col(f"{s}.e").alias("ends"), F.col(i).alias("items")).alias(out))
 
 
 def hit_words(out: str = "hits"):

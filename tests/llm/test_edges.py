@@ -107,3 +107,24 @@ def test_chat(spark):
     got = {r.conv_id: ([(t.role, t.text) for t in r.back], r.loss) for r in done.select("conv_id", chat_parts.read_back(F.col("p")).alias("back"), chat_parts.masked_text(F.col("p"), F.col("mask")).alias("loss")).collect()}
     assert got == {1: ([("user", "a"), ("", ""), ("assistant", "b"), ("assistant", "b")], "bb"), None: ([("assistant", "<turn:x>\\")], "<turn:x>\\"), 2: ([("user", "")], "")}
     assert chat_parts.format_conversations(messages.limit(0)).count() == 0
+
+
+def test_kept_columns_may_have_any_name(spark):
+    """A kept column with the name of a result or a helper comes out under that name with underscores behind."""
+    df = spark.createDataFrame([(1, "some text", "k", "mine", 9)], "doc_id long, text string, __text string, Digest string, n_tokens int")
+    got = license_digest.scan(df, keep=("doc_id", "text", "Digest")).first()
+    assert got["Digest_"] == "mine" and got["text"] == "some text" and len(got["digest"]) == 64
+    got = piece_spans.encode(df, model_path(), keep=("n_tokens", "__text", "text")).first()
+    assert (got["n_tokens_"], got["__text_"], got["n_tokens"] == len(got["ids"])) == (9, "k", True)
+    model, counts = maxent_lm.train(df)
+    got = maxent_lm.score(df.withColumnRenamed("Digest", "score"), model, counts, keep=("n_tokens", "score", "__text")).first()
+    assert (got["n_tokens_"], got["score_"], got["__text_"], got["n_tokens"]) == (9, "mine", "k", 3)
+    pages = spark.createDataFrame([("http://a.b/", "<p>x</p>", "mine", "h", 1)], "url string, html string, text string, __html string, host int")
+    got = html_wrappers.extract(pages, html_wrappers.infer_wrappers(pages), keep=("text", "__html", "url")).first()
+    assert (got["text"], got["text_"], got["__html_"]) == ("x", "mine", "h")
+    got = url_cascade.judge(pages, "url", {"b/"}, set(), keep=("host", "url")).first()
+    assert (got["host"], got["host_"], got["rule"], got["url"]) == ("a.b", 1, "b/", "http://a.b/")
+    docs = spark.createDataFrame([(1, "a b c d", "x", 5)], "doc_id long, text string, __key string, __w int")
+    bench = spark.createDataFrame([(1, "a b"), (2, "c d")], "item_id long, text string")
+    got = winnowing.mark(docs, bench, block_bytes=2).first()
+    assert (got["__key"], got["__w"], got["hits"]["items"], got["hits"]["starts"], got["hits"]["ends"]) == ("x", 5, ["1", "2"], [0], [4])
