@@ -1,4 +1,4 @@
-"""Connected components by hash-to-min label propagation, cut at each round by a checkpoint."""
+"""Connected components without driver-side data: alternating star contractions, cut at each round by a checkpoint."""
 
 from __future__ import annotations
 
@@ -8,16 +8,35 @@ from pyspark.sql import functions as F
 from quern.session import ensure_checkpoint_dir
 
 
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One contraction: every node's neighbours are linked to the smallest of them.
+
+    large: neighbours greater than the node; otherwise the node and those smaller than it.
+    """
+    near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    met = near.join(least, "u")
+    out = met.where("v > u") if large else met
+    out = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return (out if large else out.union(least.select("u", F.col("m").alias("v")))).where("u <> v").distinct()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v): every node of the edges (u, v) that isn't its component's smallest, with that smallest node.
+
+    Each round at least squares what a node reaches, so that the rounds grow with the logarithm of the longest path.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges, seen = edges.select("u", "v").where("u <> v"), None
+    while True:
+        edges = _star(_star(edges, True), False).checkpoint()
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == seen:
+            return edges
+        seen = now
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): nodes (id) under edges (i, j); a component is named by its smallest id."""
-    ensure_checkpoint_dir(nodes.sparkSession)
-    both = edges.select("i", "j").union(edges.select("j", "i")).where("i <> j").distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("component"))
-    while True:
-        least = both.join(labels.withColumnRenamed("id", "j"), "j").groupBy("i").agg(F.min("component").alias("m"))
-        near = labels.join(least, labels.id == least.i, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
-        heads = near.select(F.col("id").alias("component"), F.col("component").alias("head"))
-        new = near.join(heads, "component").select("id", F.col("head").alias("component"), "old").checkpoint()
-        labels = new.select("id", "component")
-        if not new.where("component <> old").limit(1).count():
-            return labels
+    found = contracted(edges.select(F.col("i").alias("u"), F.col("j").alias("v")))
+    return nodes.select("id").join(found.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))

@@ -1,6 +1,6 @@
 """Exact k-nearest-neighbour joins on vectors.
 
-The query side is read in blocks of a bounded number of rows; each block is sent to the executors, which multiply it
+The query side is read in blocks of a bounded number of rows and bytes; each block is sent to the executors, which multiply it
 with their own rows and keep the best k of each query and batch. Only those meet in the shuffle.
 """
 
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
 METRICS = ("cosine", "dot", "l2")
 
 
@@ -33,8 +33,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine"
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    total = queries.count()
-    blocks = max(1, -(-total // block_rows))
+    total, size = queries.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
+    blocks = max(1, -(-total // max(1, min(block_rows, BLOCK_BYTES // (8 * max(1, size))))))
     parts = []
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(id_column), F.lit(blocks)) == b)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows (query, term, weight) that may be broadcast, some tens of MB; beyond that, queries and index are joined by term.
+BROADCAST_ROWS = 500_000
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -21,7 +25,9 @@ def tfidf(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def retrieve(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(q, id, score, rank): the k best rows of a TF-IDF index for each query by shared terms."""
-    scores = queries.select(F.col("id").alias("q"), "term", F.col("weight").alias("wq")).join(index, "term").where("q <> id").groupBy("q", "id").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
+    small = queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then the index needs no shuffle by term
+    asked = queries.select(F.col("id").alias("q"), "term", F.col("weight").alias("wq"))
+    scores = index.join(F.broadcast(asked) if small else asked, "term").where("q <> id").groupBy("q", "id").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -31,11 +37,23 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def clipped_sums(pairs: DataFrame, hyp: str, ref: str, sizes: tuple[int, ...], id_column: str = "id") -> DataFrame:
+    """(id, m<n>, h<n>, r<n> for each n): n-gram multiset overlap of hypothesis and reference, and their n-grams.
+
+    The n-grams of both sides meet in one aggregation by id, n and n-gram; pairs without any stay.
+    """
+    rows = pairs.select(F.col(id_column).alias("id"), tokens(F.col(hyp)).alias("h"), tokens(F.col(ref)).alias("r"))
+
+    def tagged(n: int, side: str) -> Column:
+        return F.transform(ngrams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(int(side == "h")).alias("own")))
+
+    both = [tagged(n, side) for n in sizes for side in "hr"]
+    each = rows.select("id", F.explode_outer(F.concat(*both)).alias("x")).select("id", "x.n", "x.g", "x.own")
+    counts = each.groupBy("id", "n", "g").agg(F.sum("own").alias("h"), F.sum(1 - F.col("own")).alias("r"))
+    of = lambda n, c: F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0)).cast("long")
+    return counts.groupBy("id").agg(*[of(n, c).alias(f"{name}{n}") for n in sizes for name, c in (("m", F.least("h", "r")), ("h", F.col("h")), ("r", F.col("r")))])
+
+
 def clipped_matches(pairs: DataFrame, hyp: str, ref: str, n: int, id_column: str = "id") -> DataFrame:
     """(id, matched, hyp_total, ref_total): n-gram multiset overlap of hypothesis and reference."""
-    staged = pairs.select(F.col(id_column).alias("id"), tokens(F.col(hyp)).alias("__h"), tokens(F.col(ref)).alias("__r"))
-    h = staged.select("id", F.explode(ngrams(F.col("__h"), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("h"))
-    r = staged.select("id", F.explode(ngrams(F.col("__r"), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("r"))
-    both = h.join(r, ["id", "g"]).groupBy("id").agg(F.sum(F.least("h", "r")).alias("matched"))
-    sizes = staged.select("id", F.greatest(F.size("__h") - n + 1, F.lit(0)).cast("long").alias("hyp_total"), F.greatest(F.size("__r") - n + 1, F.lit(0)).cast("long").alias("ref_total"))
-    return sizes.join(both, "id", "left").fillna(0, ["matched"])
+    return clipped_sums(pairs, hyp, ref, (n,), id_column).select("id", F.col(f"m{n}").alias("matched"), F.col(f"h{n}").alias("hyp_total"), F.col(f"r{n}").alias("ref_total"))

@@ -22,6 +22,9 @@ SPARK = {
     "bits": "bit_count({0} ^ {1})",
     "dot": "aggregate(zip_with({0}, {1}, (x_, y_) -> CAST(x_ AS DOUBLE) * CAST(y_ AS DOUBLE)), 0e0, (s_, z_) -> s_ + z_)",
     "quantile": "percentile({0}, {1})",
+    "last": "element_at({0}, nullif(size({0}), 0))",
+    "couples": "CASE WHEN size({0}) > 1 THEN transform(sequence(1, size({0}) - 1), k_ -> named_struct('a', element_at({0}, k_), 'b', element_at({0}, k_ + 1))) END",
+    "part": "slice({0}, ({1} - 1) * 16 + 1, 16)",
     "pairs": "CASE WHEN size({0}) > 1 THEN transform(sequence(1, size({0}) - 1), k_ -> concat(element_at({0}, k_), ' ', element_at({0}, k_ + 1))) ELSE CAST(array() AS ARRAY<STRING>) END",
     "grams": "flatten(transform(sequence(2, least(5, length({0}))), n_ -> transform(sequence(1, length({0}) - n_ + 1), k_ -> substr({0}, k_, n_))))",
     "strip": r"regexp_replace({0}, '[^\\pL\\pN\\s]', '')",
@@ -42,6 +45,9 @@ DUCKDB = {
     "bits": "bit_count(xor({0}, {1}))",
     "dot": "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))",
     "quantile": "quantile_cont({0}, {1})",
+    "last": "{0}[len({0})]",
+    "couples": "[{{'a': {0}[k_], 'b': {0}[k_ + 1]}} for k_ in range(1, len({0}))]",
+    "part": "{0}[({1} - 1) * 16 + 1:{1} * 16]",
     "pairs": "[{0}[k_] || ' ' || {0}[k_ + 1] for k_ in range(1, len({0}))]",
     "grams": "flatten([[substr({0}, k_, n_) for k_ in range(1, length({0}) - n_ + 2)] for n_ in range(2, least(5, length({0})) + 1)])",
     "strip": r"regexp_replace({0}, '[^\pL\pN\s]', '', 'g')",

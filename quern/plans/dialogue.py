@@ -64,6 +64,15 @@ QUERIES = {
         LEFT JOIN (SELECT w, COUNT(*) AS k FROM {{query_words}} q GROUP BY w) c ON c.w = r.w CROSS JOIN ({_TOKENS_ALL}) t""",
     "length_penalty": "SELECT id, round(power((5e0 + @size(tw)) / 6, 0.7e0), 9) AS penalty FROM {pair_words} p",
     "length_filter": "SELECT id FROM {pair_words} p WHERE @size(sw) BETWEEN 1 AND 200 AND @size(tw) BETWEEN 1 AND 200",
+    # the most likely words whose shares add up to nine tenths, of the twenty most frequent ones
+    "nucleus_filter": """SELECT w, k, round(share, 9) AS share FROM (SELECT w, k, k * 1e0 / SUM(k) OVER () AS share, SUM(k) OVER (ORDER BY k DESC, w ROWS UNBOUNDED PRECEDING) * 1e0 / SUM(k) OVER () - k * 1e0 / SUM(k) OVER () AS before
+        FROM (SELECT w, COUNT(*) AS k FROM {reply_words} r GROUP BY w ORDER BY k DESC, w LIMIT 20) t) q WHERE before < 0.9e0""",
+    # words that would repeat a word pair of the reply, after its last word
+    "banned_words": """SELECT p.id, b.w2 AS w FROM (SELECT id, @last(tw) AS last FROM {pair_words} p) p JOIN (SELECT DISTINCT id, w1, w2 FROM (SELECT id, x.a AS w1, x.b AS w2 FROM (SELECT id, @each(@couples(tw)) AS x FROM {pair_words} p) q) r) b
+        ON b.id = p.id AND b.w1 = p.last""",
+    # dots of all pairs of four parts of each vector, the lower triangle in rows
+    "dot_interaction": """SELECT vec_id, round(@dot(@part(v, 2), @part(v, 1)), 5) + 0e0 AS d21, round(@dot(@part(v, 3), @part(v, 1)), 5) + 0e0 AS d31, round(@dot(@part(v, 3), @part(v, 2)), 5) + 0e0 AS d32,
+        round(@dot(@part(v, 4), @part(v, 1)), 5) + 0e0 AS d41, round(@dot(@part(v, 4), @part(v, 2)), 5) + 0e0 AS d42, round(@dot(@part(v, 4), @part(v, 3)), 5) + 0e0 AS d43 FROM (SELECT vec_id, embedding AS v FROM {embeddings} e) q""",
     "prefix_filter": "SELECT p_partkey, p_name FROM {part} p WHERE p_name LIKE 'red%' OR p_name LIKE '%bolt' OR p_type LIKE '%ECON%'",
     # a new session where the kind of event changes or an hour passes
     "session_by_change": """SELECT event_id, user_id, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) * 1e0 AS part FROM (

@@ -41,11 +41,8 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gram_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = None
-    for n in (1, 2, 3, 4):
-        m = text.clipped_matches(_pairs(spark, sf_dir), "src", "tgt", n).select("id", F.col("matched").alias(f"m{n}"), F.col("hyp_total").alias(f"t{n}"), *([F.col("ref_total").alias("ref")] if n == 1 else []))
-        rows = m if rows is None else rows.join(m, "id")
-    return rows
+    sums = text.clipped_sums(_pairs(spark, sf_dir), "src", "tgt", (1, 2, 3, 4))
+    return sums.select("id", *[F.col(f"m{n}") for n in (1, 2, 3, 4)], *[F.col(f"h{n}").alias(f"t{n}") for n in (1, 2, 3, 4)], F.col("r1").alias("ref"))
 
 
 def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:

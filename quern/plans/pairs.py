@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import matching, scores, similarity
+from quern.operators import approximate, matching, scores, similarity, whitening
 from quern.plans.shaped import _knn, _knn_sql
 from quern.sources.tables import table
 
@@ -51,7 +52,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = rows.groupBy("label").agg((F.count("*") - 1).alias("others"))
     both = matching.with_sides(_knn("cosine")(spark, sf_dir).select("i", "j", "rank"), rows, "vec_id").where(F.col("a.label") == F.col("b.label"))
     found = both.groupBy("i").agg(F.count("*").alias("hit"), F.sum((F.col("rank") == 1).cast("int")).alias("first"), F.sum((F.col("rank") <= 5).cast("int")).alias("five"))
-    return rows.where("vec_id % 50 = 0").join(F.broadcast(size), "label").select(F.col("vec_id").alias("i"), "others").join(found, "i", "left").fillna(0, ["hit", "first", "five"])
+    return rows.where("vec_id % 50 = 0").join(size, "label").select(F.col("vec_id").alias("i"), "others").join(found, "i", "left").fillna(0, ["hit", "first", "five"])
 
 
 def candidate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,17 +116,36 @@ def _gbt():
 
 
 def pca_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the variance that the first eight components of the centred vectors explain."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector
+    """The vectors on eight whitened components of unit length; the components are fitted on the training rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows, rows.where("vec_id % 5 <> 0"), "embedding", 8).select("vec_id", F.transform("white", lambda x: F.round(x, 5)).alias("white"))
 
-    rows = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(rows).transform(rows)
-    share = float(sum(PCA(k=8, inputCol="c", outputCol="p").fit(centred).explainedVariance))
-    return spark.range(1).select(F.lit(round(share, 3)).alias("share"))
 
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the exact ten neighbours among those in the nearest cells of a clustered index, for each query row."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    near = approximate.ivf_join(rows.where("vec_id % 50 = 0"), rows, 10)
+    both = _knn("cosine")(spark, sf_dir).select("i", "j").join(near.select("i", "j", F.lit(1).alias("found")), ["i", "j"], "left")
+    return both.groupBy("i").agg(F.round(F.avg(F.coalesce("found", F.lit(0))), 9).alias("recall"))
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (hamming_knn, candidate_union, symmetric_closure, pair_scores, pair_features, candidate_recall, missed_pairs, bootstrap_interval, pca_whiten)} | {"fm_auc": _classifier(_fm), "mlp_auc": _classifier(_mlp), "gbt_auc": _classifier(_gbt)}
+
+def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean and spread of the validation log loss over two splits for each strength of the penalty, best first."""
+    from pyspark.ml.classification import LogisticRegression
+
+    rows, out = _tabular(spark, sf_dir).where("split = 'train'").select("y", "features", F.rand(5).alias("r")), []
+    for strength in (0.0, 0.01, 0.1):
+        for seed in (0, 1):
+            held = (F.col("r") >= 0.4 * seed) & (F.col("r") < 0.4 * seed + 0.2)
+            model = LogisticRegression(labelCol="y", maxIter=10, regParam=strength).fit(rows.where(~held))
+            p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-12)), F.lit(1 - 1e-12))
+            loss = model.transform(rows.where(held)).agg(F.avg(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)))).first()[0]
+            out.append((strength, float(loss)))
+    frame = spark.createDataFrame(out, "strength double, loss double")
+    return frame.groupBy("strength").agg(F.round(F.avg("loss"), 6).alias("mean"), F.round(F.stddev_pop("loss"), 6).alias("std")).orderBy("mean", "strength")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (hamming_knn, candidate_union, symmetric_closure, pair_scores, pair_features, candidate_recall, missed_pairs, bootstrap_interval, pca_whiten, ann_recall, model_grid)} | {"fm_auc": _classifier(_fm), "mlp_auc": _classifier(_mlp), "gbt_auc": _classifier(_gbt)}
 
 _NN = f"({_knn_sql('cosine')})"
 _HITS = f"""SELECT e.vec_id AS i, c.n - 1 AS others, coalesce(h.hit, 0) AS hit, coalesce(h.first, 0) AS first, coalesce(h.five, 0) AS five FROM {{embeddings}} e JOIN (SELECT label, count(*) AS n FROM {{embeddings}} GROUP BY label) c ON c.label = e.label

@@ -33,8 +33,9 @@ _RUN = f"SELECT s, pos, n, SUM(pos) OVER (ORDER BY s DESC) AS tp, SUM(n) OVER (O
 def _mi(x: str) -> str:
     """Mutual information (nats) of a column with the label, corrected for sample size and not below 0."""
     return f"""SELECT '{x}' AS feature, greatest(0e0, SUM(p * ln(p / (px * py))) - (MAX(kx) - 1) * (MAX(ky) - 1) / (2e0 * MAX(n))) AS mi FROM (
-        SELECT CAST(c AS DOUBLE) / n AS p, CAST(SUM(c) OVER (PARTITION BY x) AS DOUBLE) / n AS px, CAST(SUM(c) OVER (PARTITION BY y) AS DOUBLE) / n AS py, n, kx, ky FROM (
+        SELECT CAST(c AS DOUBLE) / n AS p, CAST(SUM(c) OVER (PARTITION BY x) AS DOUBLE) / n AS px, CAST(cy AS DOUBLE) / n AS py, n, kx, ky FROM (
         SELECT x, y, COUNT(*) AS c FROM (SELECT coalesce(CAST({x} AS STRING), '__MISSING__') AS x, y FROM {{ctr}}) a GROUP BY x, y) b
+        JOIN (SELECT y AS own, COUNT(*) AS cy FROM {{ctr}} GROUP BY y) m ON m.own = b.y
         CROSS JOIN (SELECT COUNT(*) AS n, COUNT(DISTINCT coalesce(CAST({x} AS STRING), '__MISSING__')) AS kx, COUNT(DISTINCT y) AS ky FROM {{ctr}}) t) q"""
 
 
@@ -75,10 +76,10 @@ QUERIES = {
     "split_stratified": "SELECT id, y, CASE WHEN k <= round_even(0.2e0 * n, 0) THEN 'val' ELSE 'train' END AS split FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS STRING)), id) AS k, COUNT(*) OVER (PARTITION BY y) AS n FROM {ctr}) t",
     "split_by_group": """SELECT l.id, l.grp, g.split FROM {listings} l JOIN (SELECT grp, CASE WHEN k <= floor(0.6e0 * n) THEN 'train' WHEN k <= floor(0.8e0 * n) THEN 'val' ELSE 'test' END AS split FROM (
         SELECT grp, row_number() OVER (ORDER BY md5(CAST(grp AS STRING))) AS k, COUNT(*) OVER () AS n FROM (SELECT DISTINCT grp FROM {listings}) d) t) g ON g.grp = l.grp""",
-    "group_sample": "SELECT id, grp FROM {listings} WHERE grp IN (SELECT grp FROM (SELECT grp, row_number() OVER (ORDER BY md5(CAST(grp AS STRING))) AS k FROM (SELECT DISTINCT grp FROM {listings}) d) t WHERE k <= 100)",
+    "group_sample": "SELECT id, grp FROM {listings} WHERE grp IN (SELECT grp FROM (SELECT DISTINCT grp FROM {listings}) d ORDER BY md5(CAST(grp AS STRING)) LIMIT 100)",
     "leakage_guard": "SELECT id, src, tgt FROM (SELECT id, src, tgt, substr(md5(CAST(id AS STRING)), 1, 1) AS h FROM {pairs}) a WHERE h < 'd' AND NOT EXISTS (SELECT 1 FROM (SELECT src, tgt, substr(md5(CAST(id AS STRING)), 1, 1) AS h FROM {pairs}) b WHERE b.h >= 'd' AND b.src = a.src AND b.tgt = a.tgt)",
     "dedupe_pairs_first": "SELECT id, src, tgt FROM (SELECT id, src, tgt, row_number() OVER (PARTITION BY lower(src), lower(tgt) ORDER BY id) AS k FROM {pairs}) t WHERE k = 1",
-    "row_sample": "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS STRING)), id) AS k FROM {listings}) t WHERE k <= 50",
+    "row_sample": "SELECT id FROM {listings} ORDER BY md5(CAST(id AS STRING)), id LIMIT 50",
     # encoding
     "id_reindex": "SELECT r.u, CAST(m.code AS BIGINT) AS code, r.i, r.rating FROM {ratings} r JOIN (SELECT u, row_number() OVER (ORDER BY u) - 1 AS code FROM (SELECT DISTINCT u FROM {ratings}) d) m ON m.u = r.u",
     "impute_standardize": """SELECT id, round((v - m) / (s + 1e-6), 6) AS z, missing FROM (SELECT c.id, sign(coalesce(c.x1, t.med)) * ln(1 + abs(coalesce(c.x1, t.med))) AS v, CASE WHEN c.x1 IS NULL THEN 1 ELSE 0 END AS missing FROM {ctr} c CROSS JOIN (SELECT CAST(median(x1) AS DOUBLE) AS med FROM {ctr} WHERE split = 'train') t) a
@@ -92,7 +93,7 @@ QUERIES = {
     "threshold_sweep": "SELECT th, round(CAST(SUM(CASE WHEN s >= th AND y = 1 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(1, SUM(CASE WHEN s >= th THEN 1 ELSE 0 END)), 9) AS prec, round(CAST(SUM(CASE WHEN s >= th AND y = 1 THEN 1 ELSE 0 END) AS DOUBLE) / SUM(y), 9) AS rec FROM {scored} CROSS JOIN (SELECT 0.05e0 AS th UNION ALL SELECT 0.1e0 UNION ALL SELECT 0.2e0 UNION ALL SELECT 0.4e0) g GROUP BY th",
     "reliability_ece": "SELECT CAST(bin AS BIGINT) AS bin, COUNT(*) AS n, round(AVG(s), 9) AS conf, round(AVG(CAST(y AS DOUBLE)), 9) AS acc, round(abs(AVG(s) - AVG(CAST(y AS DOUBLE))) * COUNT(*) / MAX(total), 9) AS part FROM (SELECT s, y, ntile(10) OVER (ORDER BY s, id) AS bin, COUNT(*) OVER () AS total FROM {scored}) t GROUP BY bin",
     # recommender
-    "popularity_topk": "SELECT i, n, round(mean, 9) AS mean, CAST(k AS BIGINT) AS k FROM (SELECT i, n, mean, row_number() OVER (ORDER BY n DESC, mean DESC, i) AS k FROM (SELECT i, COUNT(*) AS n, AVG(rating) AS mean FROM {ratings} GROUP BY i) a) t WHERE k <= 20",
+    "popularity_topk": "SELECT i, n, round(mean, 9) AS mean, CAST(k AS BIGINT) AS k FROM (SELECT i, n, mean, row_number() OVER (ORDER BY n DESC, mean DESC, i) AS k FROM (SELECT i, COUNT(*) AS n, AVG(rating) AS mean FROM {ratings} GROUP BY i ORDER BY n DESC, mean DESC, i LIMIT 20) a) t",
     "bias_baseline": f"SELECT u, i, round(least(5e0, greatest(1e0, mu + bu + bi)), 6) AS pred FROM ({_BIAS}) t",
     "rmse_mae": f"SELECT round(sqrt(AVG((rating - p) * (rating - p))), 9) AS rmse, round(AVG(abs(rating - p)), 9) AS mae FROM (SELECT rating, least(5e0, greatest(1e0, mu + bu + bi)) AS p FROM ({_BIAS}) t) q",
     "rmse_by_bucket": f"SELECT bucket, COUNT(*) AS n, round(sqrt(AVG((rating - p) * (rating - p))), 9) AS rmse FROM (SELECT rating, least(5e0, greatest(1e0, mu + bu + bi)) AS p, CASE WHEN c < 20 THEN 'a' WHEN c < 40 THEN 'b' ELSE 'c' END AS bucket FROM (SELECT t.*, COUNT(*) OVER (PARTITION BY u) AS c FROM ({_BIAS}) t) x) q GROUP BY bucket HAVING COUNT(*) >= 20",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import graph, similarity, text
+from quern.session import ensure_checkpoint_dir
 from quern.sources.tables import table
 from quern.streaming import sessions
 
@@ -34,7 +35,8 @@ def tfidf_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = text.tfidf(_titles(spark, sf_dir), "id", "title")
+    ensure_checkpoint_dir(spark)
+    index = text.tfidf(_titles(spark, sf_dir), "id", "title").checkpoint()
     return text.retrieve(index.where("id % 50 = 0"), index, 5)
 
 

@@ -26,7 +26,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "que
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineages: spark.checkpoint.dir, or a folder of our own only where that is unset."""
+    """The shared folder for cut lineages: spark.checkpoint.dir. Only a local session may do without: it gets a folder of its
+    own; on a cluster a machine's folder would be lost with it."""
     jsc = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -35,6 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     own = tempfile.mkdtemp(prefix="quern-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own

@@ -38,3 +38,35 @@ def test_sessions_on_a_stream(spark, tmp_path):
     query = sessions.session_counts(stream).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted((r.user_id, r.n) for r in spark.table("closed").collect())[:2] == [(1, 1), (1, 2)]
+
+
+def test_whitened_components_are_uncorrelated(spark):
+    from quern.operators import whitening
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) + 3
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(400, None)], "vec_id long, embedding array<double>")
+    got = whitening.whiten(rows, rows, "embedding", 3).orderBy("vec_id").collect()
+    assert got[-1].white is None and np.allclose([np.linalg.norm(r.white) for r in got[:-1]], 1)
+    c = np.cov(x.T, ddof=0)
+    w, v = np.linalg.eigh(c)
+    want = (x - x.mean(0)) @ (v[:, ::-1][:, :3] / np.sqrt(w[::-1][:3]))
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(np.abs(want), np.abs([r.white for r in got[:-1]]), atol=1e-6)
+
+
+def test_clustered_index_finds_most_neighbours(spark):
+    from quern.plans.registry import QUERIES
+
+    recall = [r.recall for r in QUERIES["ann_recall"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(recall) == 10 and np.mean(recall) >= 0.6
+
+
+def test_generated_tables(spark):
+    from quern.sources import synthetic
+
+    made = synthetic.ratings(spark, 20, 30, 1000)
+    assert made.count() == 1000 and made.where("rating NOT BETWEEN 1 AND 5 OR user_id >= 20 OR item_id >= 30").count() == 0
+    assert made.repartition(7).exceptAll(synthetic.ratings(spark, 20, 30, 1000)).count() == 0
+    sizes = {r["count"] for r in synthetic.listings(spark, 50).groupBy("label_group").count().collect()}
+    assert sizes <= {1, 2, 3, 4, 5} and len(sizes) > 2

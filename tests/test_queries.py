@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in "lineitem orders customer events documents embeddings labels conversations benchmark".split():
+    for t in "lineitem orders customer part supplier events documents embeddings labels conversations benchmark".split():
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 

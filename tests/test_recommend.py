@@ -79,4 +79,3 @@ def test_learned_scores_beat_chance(spark):
         assert 0.4 < QUERIES[name](spark, SF).first().auc <= 1
     spread = in_spark("SELECT stddev_pop(rating) AS s FROM {ratings} t")(spark, SF).first().s
     assert QUERIES["als_rmse"](spark, SF).first().rmse < 1.5 * spread
-    assert 0 < QUERIES["pca_whiten"](spark, SF).first().share <= 1
