@@ -1,39 +1,5 @@
-"""Connected components of an edge table, without driver-side data: alternating star contractions."""
+"""Connected components of an edge table, without driver-side data: the library's alternating star contractions."""
 
-from __future__ import annotations
+from quern.operators.graph import contracted as components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quern.session import ensure_checkpoint_dir
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction: every node's neighbours are linked to the smallest of them.
-
-    large: neighbours greater than the node; otherwise the node and those smaller than it.
-    """
-    if large:
-        near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    met = near.join(least, "u")
-    if large:
-        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): every node of the edges that isn't its component's smallest, with that smallest node."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.select("u", "v").where("u <> v")
-    seen = None
-    while True:
-        edges = _star(_star(edges, True), False).checkpoint()
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(now) == seen:
-            return edges
-        seen = tuple(now)
+__all__ = ["components"]

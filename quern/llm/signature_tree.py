@@ -16,7 +16,7 @@ words). Two texts link when 100 * |intersection| >= 75 * |union|.
 
 Large buckets are split in blocks. The first rounds look inside blocks only and link each class with its best earlier
 partner, which contracts groups of near copies in a number of pairs linear in their size; the last round traverses all
-pairs of blocks, for classes of different components only, so that no link between components is lost.
+pairs of blocks that can hold classes of different components, so that no link between components is lost.
 
 Defined results: null or blank text has an empty set and links with nothing; rows without id too (their component is
 null); repeated rows get one component; other columns never matter; an empty table gives no rows.
@@ -389,23 +389,51 @@ def _tree_join(spanning: bool):
     return run
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (bucket, m, ck, comp) with their block `side` and the blocks that it meets, `others`; members is read twice.
+
+    In a bucket of more than BLOCK classes, a component of more than BLOCK has blocks of its own, which don't meet each
+    other; all other classes share blocks that meet all. So a large group of near copies, once it is one component, costs as
+    many rows as it has classes times the few blocks of the rest.
+    """
+    least = members.where(F.col("m") <= BLOCK).withColumn("side", F.lit(0).cast("long")).withColumn("others", F.array("side"))
+    large = members.where(F.col("m") > BLOCK)
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = large.groupBy("bucket", "m", "comp").agg(F.count("*").alias("c"))
+    own = own.select("bucket", "m", "comp", "c", blocks("c").alias("k"))
+    plan = own.groupBy("bucket", "m").agg(
+        F.collect_list(F.when(F.col("c") > BLOCK, F.struct("comp", "k"))).alias("big"),  # m / BLOCK rows at most
+        F.sum(F.when(F.col("c") <= BLOCK, F.col("c")).otherwise(0)).alias("rest"),
+    )
+    number = lambda comp, k: F.xxhash64(comp, k)
+    shared = F.when(F.col("rest") > 0, F.transform(F.sequence(F.lit(0), blocks("rest") - 1), lambda k: F.struct(F.lit(None).cast("long").alias("comp"), number(F.lit("rest"), k).alias("side"))))
+    alone = F.flatten(F.transform("big", lambda b: F.transform(F.sequence(F.lit(0), b.k - 1), lambda k: F.struct(b.comp.alias("comp"), number(b.comp, k).alias("side")))))
+    empty = F.array().cast("array<struct<comp:bigint,side:bigint>>")
+    plan = plan.withColumn("sides", F.concat(alone, F.coalesce(shared, empty))).withColumn("share", F.explode(F.sequence(F.lit(0), blocks("m") - 1)))
+    rows = large.withColumn("share", F.pmod(F.xxhash64("ck"), blocks("m")).cast("int")).join(plan.drop("m"), ["bucket", "share"])
+    mine = F.filter("big", lambda b: b.comp == F.col("comp"))
+    turn = lambda n: F.pmod(F.xxhash64("ck", "bucket"), n).cast("int")
+    side = F.when(F.size(mine) > 0, number(F.col("comp"), turn(F.get(mine, F.lit(0)).k))).otherwise(number(F.lit("rest"), turn(F.greatest(blocks("rest"), F.lit(1)))))
+    others = F.transform(F.filter("sides", lambda s: F.coalesce(s.comp != F.col("comp"), F.lit(True))), lambda s: s.side)
+    return least.unionByName(rows.select("bucket", "m", "ck", "comp", side.alias("side"), others.alias("others")))
+
+
 def candidates(members: DataFrame, classes: DataFrame, spanning: bool) -> DataFrame:
     """Distinct candidate pairs (a, b) of classes of different components; members: bucket, m, ck, comp.
 
     spanning: inside blocks only, a few pairs for each class; otherwise all pairs of blocks. A class's buckets, as many as
     its prefix has shingles at most, are gathered in order, so that each row knows the earlier ones.
     """
-    gathered = members.groupBy("ck").agg(F.min("comp").alias("comp"), F.array_sort(F.collect_list(F.struct("bucket", "m"))).alias("own"))
-    gathered = gathered.join(classes.select("ck", "n", "bits"), "ck")
-    rows = gathered.select("ck", "n", "bits", "comp", F.col("own.bucket").alias("all"), F.posexplode("own").alias("i", "x"))
-    rows = rows.select("ck", "n", "bits", "comp", "x.bucket", "x.m", F.slice("all", F.lit(1), F.col("i")).alias("before"))
-    count = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("ck", "bucket"), F.greatest(count, F.lit(1))).cast("int"))
     if spanning:
-        rows = rows.withColumn("grp", F.xxhash64("bucket", "side", "side"))
+        count = F.greatest(F.ceil(F.col("m") / BLOCK), F.lit(1))
+        members = members.withColumn("side", F.pmod(F.xxhash64("ck", "bucket"), count)).withColumn("others", F.array("side"))
     else:
-        other = F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1))
-        rows = rows.withColumn("other", other).withColumn("grp", F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")))
+        members = _blocks(members.checkpoint())
+    gathered = members.groupBy("ck").agg(F.min("comp").alias("comp"), F.array_sort(F.collect_list(F.struct("bucket", "side", "others"))).alias("own"))
+    gathered = gathered.join(classes.select("ck", "n", "bits"), "ck")
+    rows = gathered.select("ck", "n", "bits", "comp", F.col("own.bucket").alias("all"), F.posexplode("own").alias("i", "x"))
+    rows = rows.select("ck", "n", "bits", "comp", "x.bucket", "x.side", F.explode("x.others").alias("other"), F.slice("all", F.lit(1), F.col("i")).alias("before"))
+    rows = rows.withColumn("grp", F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")))
     rows = rows.select("grp", "side", "ck", "n", "bits", "comp", "before").repartition("grp").sortWithinPartitions("grp", "n", "ck")
     return rows.mapInArrow(released(_tree_join(spanning)), "a long, b long").distinct()
 
