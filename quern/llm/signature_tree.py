@@ -441,8 +441,19 @@ def candidates(members: DataFrame, classes: DataFrame, spanning: bool) -> DataFr
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
     """The pairs (u, v) that link, checked on the full sets. classes: ck, rep (one document's id).
 
+    The first 16 bits of each shingle are compared first, a quarter of the bytes: they can only show more in common than
+    there is, so that what they rule out doesn't link. The full sets of the other pairs decide.
+    """
+    left = _compared(pairs, docs, classes, text, np.uint16).select(F.col("u").alias("a"), F.col("v").alias("b")).checkpoint()
+    return _compared(left, docs, classes, text, np.uint64)
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, kind: type) -> DataFrame:
+    """The pairs (u, v) whose sets, cut to `kind`, have enough in common.
+
     The sets of a pair meet under its first class; a class of many pairs is spread over shares of ROOT_SHARE.
     """
+    cut = np.uint64(64 - 8 * np.dtype(kind).itemsize)
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / ROOT_SHARE).cast("int").alias("shares"))
     salted = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
     wanted = salted.select(F.col("b").alias("ck"), F.col("a").alias("root"), "share").union(shares.select(F.col("a").alias("ck"), F.col("a").alias("root"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")))
@@ -457,7 +468,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str) ->
             for u, ck, own, part in zip(shingle_sets(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if digest(u) != ck:  # another row with the same id
                     continue
-                raw = u.tobytes()
+                raw = (u >> cut).astype(kind).tobytes()  # stays in order
                 for r, s in zip(own, part, strict=True):
                     roots.append(r)
                     shares.append(s)
@@ -477,13 +488,13 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str) ->
         for b in batches:
             u, v = [], []
             for root, share, ck, raw in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                got = np.frombuffer(raw.as_py(), np.uint64)
+                got = np.frombuffer(raw.as_py(), kind)
                 if ck == root:
                     key, base = (root, share), got
                 elif key == (root, share):
                     i = np.searchsorted(base, got)
                     i[i == len(base)] = 0
-                    both = int((base[i] == got).sum())
+                    both = min(int((base[i] == got).sum()), len(base))
                     if 100 * both >= PERCENT * (len(base) + len(got) - both):
                         u.append(root)
                         v.append(ck)
