@@ -148,7 +148,7 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
                 yield pa.RecordBatch.from_arrays([_longs(u), pa.array(n.astype(np.int64))], names=["tok", "n"])
 
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.col(text).cast("string").alias("t"))
-    rows = part.mapInArrow(released(run), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = part.mapInArrow(released(run), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).checkpoint()
     top = most_frequent(rows, "tok", "n", MAX_FREQUENT)
     tok, n = top["tok"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(tok)
