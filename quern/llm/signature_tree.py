@@ -4,9 +4,11 @@ A text's set holds the 64-bit hashes of its distinct 5-word shingles (a text of
 words). Two texts link when 100 * |intersection| >= 75 * |union|.
 
 1. Texts with equal sets form one class, keyed by a digest; from here on only classes matter.
-2. Two linked sets share one of their first n - ceil(0.75 n) + 1 shingles in any common order, so classes that share
-   such a shingle meet in a bucket. The order puts frequent shingles (found in a sample of the documents; any order is
-   right) last, so that common passages make no large buckets. Buckets with the same members are kept once.
+2. Two linked sets share one of their first n - ceil(0.75 n) + 1 shingles in any common order, which for the smaller set
+   is even one of its first n - ceil(1.5 n / 1.75) + 1, as at least 0.75 / 1.75 of both sizes is common. So classes that
+   share a shingle of such prefixes meet in a bucket, if one of them has it in the shorter prefix. The order puts frequent
+   shingles (found in a sample of the documents; any order is right) last, so that common passages make no large buckets.
+   Buckets with the same members are kept once.
 3. In each bucket a signature tree is built: its leaves hold classes, nodes the OR of their token bitmaps, their range
    of set sizes and their largest number of bitmap collisions. A dual traversal drops node pairs whose sizes can't link
    or whose largest possible overlap is too small, down to pairs of classes. A pair is looked at in the first of its
@@ -118,6 +120,11 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def short_prefix(n: int) -> int:
+    """The prefix of the smaller (or equal) set of a linked pair that meets the other one's prefix."""
+    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+
+
 def _longs(u: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(u).view(np.int64))
 
@@ -171,7 +178,10 @@ def prefix_of(u: np.ndarray, tok: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(tok, ck): the prefix of every class, once for each task it occurs in."""
+    """(tok, ck): the prefix of every class, once for each task it occurs in.
+
+    The lowest bit of tok says whether the shingle is of the short prefix; the other bits name the shingle.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +194,7 @@ def prefix_rows(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarr
                 if len(u) and key not in seen:
                     seen.add(key)
                     p = prefix_of(u, tok, count)
-                    toks.append(p)
+                    toks.append(p & ~np.uint64(1) | (np.arange(len(p)) < short_prefix(len(u))).astype(np.uint64))
                     cks.append(np.full(len(p), key, np.int64))
             if toks:
                 yield pa.RecordBatch.from_arrays([_longs(np.concatenate(toks)), pa.array(np.concatenate(cks))], names=["tok", "ck"])
@@ -193,13 +203,15 @@ def prefix_rows(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarr
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, m, ck): the classes that share a shingle, once for each distinct set of members."""
+    """(bucket, m, ck): the classes that share a shingle which is of the short prefix of one of them, once for each distinct
+    set of members."""
     from pyspark.sql import Window
 
-    own = Window.partitionBy("tok")
-    rows = rows.repartition("tok").dropDuplicates(["tok", "ck"])
-    rows = rows.select("ck", F.count("*").over(own).alias("m"), F.bit_xor(F.xxhash64("ck")).over(own).alias("x"), F.min("ck").over(own).alias("lo"), F.max("ck").over(own).alias("hi"))
-    return rows.where("m > 1").select(F.xxhash64("m", "x", "lo", "hi").alias("bucket"), "m", "ck").distinct()
+    name, own = F.shiftright("tok", 1), Window.partitionBy("name")
+    rows = rows.repartition(name).select(name.alias("name"), F.col("tok").bitwiseAND(1).alias("short"), "ck")
+    rows = rows.groupBy("name", "ck").agg(F.max("short").alias("short"))
+    rows = rows.select("ck", F.max("short").over(own).alias("short"), F.count("*").over(own).alias("m"), F.bit_xor(F.xxhash64("ck")).over(own).alias("x"), F.min("ck").over(own).alias("lo"), F.max("ck").over(own).alias("hi"))
+    return rows.where("m > 1 and short = 1").select(F.xxhash64("m", "x", "lo", "hi").alias("bucket"), "m", "ck").distinct()
 
 
 class _Tree:

@@ -61,6 +61,23 @@ def test_join_equals_brute_force(spark, monkeypatch, block):
     assert got == brute_components(texts)
 
 
+def test_linked_sets_meet_in_a_short_prefix():
+    """The smaller set's short prefix and the other one's prefix share a shingle, in orders with and without frequent ones."""
+    rng = np.random.default_rng(5)
+    for case in range(4000):
+        n = int(rng.integers(1, 80))
+        base = rng.integers(0, 1 << 63, 2 * n + 4, dtype=np.uint64) << np.uint64(1)
+        a, b = base[:n], np.concatenate([base[int(rng.integers(0, n)) : n], base[n : n + int(rng.integers(0, n // 3 + 2))]])
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if 100 * both < signature_tree.PERCENT * (len(a) + len(b) - both):
+            continue
+        often = np.unique(base[: int(rng.integers(0, n)) if case % 2 else 0])
+        count = rng.integers(2, 5, len(often))
+        small, large = (signature_tree.prefix_of(u, often, count) for u in sorted((a, b), key=len))
+        assert np.isin(small[: signature_tree.short_prefix(min(len(a), len(b)))], large).any()
+
+
 def test_traversal_keeps_every_link():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)
