@@ -9,16 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_parts, html_wrappers, license_digest, maxent_lm, piece_spans, quality_rules, rule_ensemble, signature_tree, url_cascade, winnowing
+from quern.llm import chat_parts, filter_audit, html_wrappers, license_digest, maxent_lm, piece_spans, quality_rules, rule_ensemble, signature_tree, token_alignment, token_counts, url_cascade, winnowing
 from quern.session import ensure_checkpoint_dir
 from quern.sources.tables import table
 
 
-def model_path() -> str:
-    """Where the public tokenizer's model lies on this machine."""
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where a public tokenizer's file lies on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,23 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOKEN_LIMIT = 512
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, model_path("byte_bpe_50k.json"), TOKEN_LIMIT)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(docs, model_path("byte_bpe_50k.json"), model_path())
+
+
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _STOP = ", ".join(f"'{w}'" for w in sorted({*quality_rules.ts.STOP_WORDS, *(w.capitalize() for w in quality_rules.ts.STOP_WORDS)}))
 _REMOVE = "regexp_replace(coalesce(text, ''), '{}', '', 'g')"
@@ -221,6 +238,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM c GROUP BY conv_id
 """
 
+#: Each order of filters is applied step by step to the counts of failed sets; nothing here inverts joint sums.
+_OP12 = r"""
+WITH ids AS (SELECT coalesce(text, '') AS t, min(doc_id) AS least FROM documents GROUP BY ALL),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 5 * length(d.t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > least THEN 'E' ELSE '' END) AS fails
+    FROM d JOIN ids ON ids.t = d.t LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(string_split('A,B,C,D,E', ',')) AS v),
+o AS (SELECT a.v || b.v || c.v || d.v || e.v AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+s AS (SELECT part, filter_order, step, filter_order[step] AS letter, filter_order[1:step - 1] AS earlier, fails, n, good, toxic FROM c, o, (SELECT unnest(range(1, 6)) AS step)),
+g AS (SELECT *, contains(fails, letter) AS fails_here, earlier <> '' AND regexp_matches(fails, '[' || earlier || 'x]') AS gone FROM s),
+r AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT fails_here), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails_here AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails_here AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = letter), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails_here AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails_here AND NOT gone), 0)::BIGINT AS toxic_lost FROM g GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_wrappers": op1_html_wrappers,
     "op2_quality_rules": op2_quality_rules,
@@ -232,6 +270,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_digest": op8_license_digest,
     "op9_winnowing": op9_winnowing,
     "op10_chat_parts": op10_chat_parts,
+    "op11_token_counts": op11_token_counts,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_html_wrappers": _OP1,
@@ -240,4 +281,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_license_digest": _OP8,
     "op9_winnowing": _OP9,
     "op10_chat_parts": _OP10,
+    "op12_filter_audit": _OP12,
 }

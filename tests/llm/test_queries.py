@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in "documents pages benchmark conversations".split():
+    for t in "documents pages benchmark conversations labels".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert differ(QUERIES[name](spark, SF).toPandas(), con.sql(ORACLE_SQL[name]).df()) == ""
 
