@@ -67,3 +67,15 @@ def bootstrap(df: DataFrame, key: Column, metric: Callable[[Column], Column], re
     drawn = drawn.withColumn("_weight", poisson_weight(F.concat_ws("-", key.cast("string"), F.col("_replicate").cast("string"))))
     each = drawn.groupBy("_replicate").agg(metric(F.col("_weight")).alias("_value"))
     return each.agg(F.percentile("_value", F.lit(0.025)).alias("low"), F.percentile("_value", F.lit(0.975)).alias("high"))
+
+
+def auc_by(rows: DataFrame, key: str) -> DataFrame:
+    """(key, auc) of rows (key, y, score, n counts): the share of pairs of a positive and a negative in the right order, ties
+    half. Scores are summed first; the running sum of a key's distinct scores is cut into ranges (operators/ordering.py).
+    Null where a key has one label only."""
+    from quern.operators.ordering import numbered
+
+    sums = rows.groupBy(key, "score").agg(F.sum(F.col("n") * F.col("y")).alias("pos"), F.sum(F.col("n") * (1 - F.col("y"))).alias("neg"))
+    run = numbered(sums, [key], [F.col("score")], ("pos", "neg"))
+    below = F.col("_run_neg") - F.col("neg") / 2
+    return run.groupBy(key).agg((F.sum(F.col("pos") * below) / F.nullif(F.max("_all_pos") * F.max("_all_neg"), F.lit(0.0))).alias("auc"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import dialect, dialogue, generation, ordered, pairs, portable, products, recommend, shaped
+from quern.plans import dialect, dialogue, generation, learning, ordered, pairs, portable, products, recommend, shaped
 from quern.session import ensure_checkpoint_dir
 from quern.sources.tables import table
 
@@ -87,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **shaped.QUERIES,
     **generation.QUERIES,
     **pairs.QUERIES,
+    **learning.QUERIES,
 }
 ORACLE_SQL: dict[str, str] = {k: in_duckdb(v) for k, v in {**_SQL, **_FORM_SQL}.items()}
