@@ -19,7 +19,6 @@ import base64
 import heapq
 import json
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,8 +36,8 @@ from quern.llm.workers import released
 #: The piece pattern of the public byte-level vocabularies, and what it is on ASCII texts.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\r0-9A-Za-z]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-#: Pieces whose counts a worker keeps, and the longest of them.
-CACHED, CACHED_CHARS = 1 << 17, 64
+#: Pieces whose counts a worker keeps, in a younger and an older half of so many, and the longest of them.
+HALF_CACHE, CACHED_CHARS = 3 << 16, 64
 #: Longer texts are read piece by piece instead of as one list of pieces.
 LIST_CHARS = 1 << 20
 
@@ -50,6 +49,13 @@ def byte_letters() -> list[str]:
     return [chr(b if b in prints else next(others)) for b in range(256)]
 
 
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a .json vocabulary cuts texts by PIECES and merges bytes, without a normaliser or chance."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    usual = not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    return bool(usual and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges"))
+
+
 def read_vocabulary(path: str) -> dict:
     """What counting needs of a byte-level .json or of a .tiktoken file: `bytes`, the symbol of each byte; `pairs`, rank and
     symbol of each mergeable (left, right); `specials`; `whole`, pieces that are one token as they are; the raw .json."""
@@ -60,12 +66,11 @@ def read_vocabulary(path: str) -> dict:
         pairs = {(ranks[t[:i]], ranks[t[i:]]): (r, r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         return {"bytes": [ranks[bytes([b])] for b in range(256)], "pairs": pairs, "specials": [], "whole": ranks, "json": None}
     spec = json.loads(raw)
-    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
-    if model["type"] != "BPE" or not plain or model.get("dropout") or model.get("ignore_merges"):
+    if not plain_byte_level(spec):
         raise ValueError("not a plain byte-level vocabulary")
+    model = spec["model"]
     vocab, letters = model["vocab"], byte_letters()
-    added = [a for a in spec.get("added_tokens", [])]
+    added = list(spec.get("added_tokens", []))
     if any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added) or any(c not in vocab for c in letters):
         raise ValueError("added tokens that take their neighbours, or bytes without a symbol")
     pairs = {}
@@ -75,18 +80,17 @@ def read_vocabulary(path: str) -> dict:
     return {"bytes": [vocab[c] for c in letters], "pairs": pairs, "specials": [a["content"] for a in added], "whole": {}, "json": raw.decode()}
 
 
-@lru_cache(maxsize=1)
-def _unsure() -> re.Pattern:
-    """Characters that this Python's Unicode tables leave open."""
-    ranges, start = [], None
-    for c in range(sys.maxunicode + 2):
-        open_here = c <= sys.maxunicode and unicodedata.category(chr(c)) in ("Cn", "Co", "Cs")
-        if open_here and start is None:
-            start = c
-        elif not open_here and start is not None:
-            ranges.append((start, c - 1))
-            start = None
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+_KNOWN_CHARACTERS: set[str] = set()
+
+
+def unsure(text: str) -> bool:
+    """Whether the text has characters that this Python's Unicode tables leave open. Those once looked up are remembered."""
+    new = set(text) - _KNOWN_CHARACTERS
+    if not new:
+        return False
+    known = {c for c in new if unicodedata.category(c) not in ("Cn", "Co", "Cs")}
+    _KNOWN_CHARACTERS.update(known)
+    return len(known) < len(new)
 
 
 class Counter(dict):
@@ -98,12 +102,14 @@ class Counter(dict):
         found = sorted(vocabulary["specials"], key=len, reverse=True) if specials else []
         self.specials = re.compile("|".join(map(re.escape, found))) if found else None
         self.ascii, self.any = re.compile(ASCII_PIECES), regex.compile(PIECES)
-        self.json, self.library = vocabulary["json"], None
+        self.json, self.library, self.older = vocabulary["json"], None, {}
 
     def __missing__(self, piece: str) -> int:
-        n = self.merged(piece.encode())
+        """The count from the older half of the cache, or by merging; the younger half takes it, and is the older one next."""
+        n = self.older.get(piece) or self.merged(piece.encode())
         if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED:
+            if len(self) >= HALF_CACHE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = n
         return n
@@ -147,7 +153,7 @@ class Counter(dict):
     def _plain(self, text: str) -> int:
         """Tokens of a text without special strings."""
         pattern = self.ascii if text.isascii() else self.any
-        if pattern is self.any and self.json and _unsure().search(text):
+        if pattern is self.any and self.json and unsure(text):
             return self._by_library(text)
         if len(text) > LIST_CHARS:
             return sum(self[m.group()] for m in pattern.finditer(text))
@@ -170,6 +176,25 @@ class Counter(dict):
         return n + self._plain(text[at:] if at else text)
 
 
+@lru_cache(maxsize=4)
+def follows_ranks(path: str) -> bool:
+    """Whether a .json vocabulary gives the same ids when merging whatever adjacent pair makes the token of the least id.
+
+    So it is if ids follow the merges' order and every token comes whole out of its own bytes: where two neighbours make a
+    token, nothing has crossed its ends, so they stand as in that token alone, where the next merge is the listed one.
+    """
+    with open(path, "rb") as f:
+        spec = json.load(f)
+    if not plain_byte_level(spec):
+        return False
+    vocabulary = read_vocabulary(path)
+    made = [symbol for _, symbol in sorted(vocabulary["pairs"].values())]
+    counter, value = Counter(vocabulary, specials=False), {c: b for b, c in enumerate(byte_letters())}
+    added = {a["content"] for a in spec.get("added_tokens", [])}
+    tokens = [t for t in spec["model"]["vocab"] if t not in added]
+    return made == sorted(set(made)) and max(vocabulary["bytes"]) < made[0] and all(counter.merged(bytes(value[c] for c in t)) == 1 for t in tokens)
+
+
 _COUNTERS: dict = {}
 
 
