@@ -91,3 +91,33 @@ def document(raw: pd.Series) -> pd.DataFrame:
 def gap_seconds(a: Column, b: Column) -> Column:
     """Seconds between two timestamps in text; null where one can't be read."""
     return F.abs(F.unix_timestamp(F.try_to_timestamp(a)) - F.unix_timestamp(F.try_to_timestamp(b)))
+
+
+class FlatValues:
+    """A table function: (place, path, value) of every string, number and boolean inside a JSON text, in order.
+
+    Steps of a path are joined by dots, list places count from 0. Null and text that isn't JSON give no rows; an empty
+    list or object gives none either. Depth is bounded by the JSON reader alone: the walk keeps a stack of its own.
+    """
+
+    def eval(self, raw: str):
+        try:
+            stack = [("", json.loads(raw))] if raw is not None else []
+        except (ValueError, RecursionError):
+            return
+        place = 0
+        while stack:
+            path, value = stack.pop()
+            if isinstance(value, (dict, list)):
+                inner = list(value.items() if isinstance(value, dict) else enumerate(value))
+                stack += [(f"{path}.{k}" if path else str(k), v) for k, v in reversed(inner)]
+            elif value is not None:
+                yield place, path, value if isinstance(value, str) else json.dumps(value)
+                place += 1
+
+
+def register(spark) -> None:
+    """Makes flat_values(json) known to a session's SQL, for lateral joins."""
+    from pyspark.sql.functions import udtf
+
+    spark.udtf.register("flat_values", udtf(FlatValues, returnType="place long, path string, value string"))

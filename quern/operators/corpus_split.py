@@ -43,3 +43,20 @@ def split_corpus(pairs: DataFrame, max_len: int = 30, shares: dict[str, float] |
     for p in PARTS:
         clean = clean if p in left or "train" not in left else _carve(clean, p, shares[p])
     return clean
+
+
+def conversation_split(conversations: DataFrame, shares: tuple[float, float] = (0.1, 0.1), seed: int = 0) -> DataFrame:
+    """(conv_id, split) of conversations (conv_id, split): the given splits where every conversation has one of train, val and
+    test; else all are split anew, the first of a hash order to test, the next to val (floors of the shares).
+
+    One aggregate decides, and each branch joins its rows with that one-row answer: a branch that doesn't hold has no rows
+    from there on. Rows that repeat an id count apiece.
+    """
+    known = F.coalesce(F.col("split").isin("train", *PARTS), F.lit(False))
+    given = conversations.agg(F.coalesce(F.bool_and(known), F.lit(True)).alias("_given"))
+    when = lambda answer: conversations.join(F.broadcast(given.where(F.col("_given") == answer)), F.lit(True), "left_semi")
+    marked = when(False).select("conv_id", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("conv_id").cast("string"))).alias("_h"))
+    placed = numbered(marked, [], [F.col("_h"), F.col("conv_id")])
+    val, test = (F.floor(s * F.col("_n")) for s in shares)
+    anew = placed.select("conv_id", F.when(F.col("_row") <= test, "test").when(F.col("_row") <= test + val, "val").otherwise("train").alias("split"))
+    return when(True).select("conv_id", "split").unionByName(anew)

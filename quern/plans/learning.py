@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import beam, click, factors, selection, similarity, skipgram, text
+from quern.functions import sequences
+from quern.operators import beam, click, corpus_split, factors, selection, similarity, skipgram, text
 from quern.operators.scores import auc_by
 from quern.sources.tables import table
+from quern.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,4 +95,38 @@ def beam_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.search(prompts, follow, beam=4, max_len=6, no_repeat=2, min_len=2).select("id", F.array_join("tokens", " ").alias("reply"), F.round("score", 6).alias("score"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (biased_factors, click_models, click_selection, skipgram_neighbours, beam_replies)}
+def conversation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits of all conversations where none, only some, and all of them have one."""
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    own = F.when(F.col("conv_id") % 5 == 0, "val").when(F.col("conv_id") % 5 == 1, "test").otherwise("train")
+    cases = {"none": F.lit(None).cast("string"), "some": F.when(F.col("conv_id") % 7 != 0, own), "all": own}
+    parts = [corpus_split.conversation_split(ids.select("conv_id", c.alias("split"))).select(F.lit(name).alias("given"), "conv_id", "split") for name, c in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def stream_change_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of all events that end by another kind of event or by an hour's gap."""
+    found = changes.change_sessions(table(spark, sf_dir, "events"))
+    return found.select("user_id", "part", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "kind", "n")
+
+
+def flat_event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string and number inside the events' properties with its path, by a lateral join with a table function."""
+    sequences.register(spark)
+    table(spark, sf_dir, "events").select("event_id", "props").createOrReplaceTempView("quern_events")
+    return spark.sql("SELECT event_id, place, path, value FROM quern_events, LATERAL flat_values(props)")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (biased_factors, click_models, click_selection, skipgram_neighbours, beam_replies, conversation_split, stream_change_sessions, flat_event_values)}
+
+_OWN = "CASE WHEN conv_id % 5 = 0 THEN 'val' WHEN conv_id % 5 = 1 THEN 'test' ELSE 'train' END"
+ORACLE_SQL: dict[str, str] = {
+    "conversation_split": f"""WITH c AS (SELECT DISTINCT conv_id FROM {{conversations}}),
+        r AS (SELECT conv_id, row_number() OVER (ORDER BY md5('0-' || conv_id), conv_id) AS k, count(*) OVER () AS n FROM c),
+        a AS (SELECT conv_id, CASE WHEN k <= floor(n * 0.1::DOUBLE) THEN 'test' WHEN k <= 2 * floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM r)
+        SELECT 'none' AS given, conv_id, split FROM a UNION ALL SELECT 'some' AS given, conv_id, split FROM a UNION ALL SELECT 'all' AS given, conv_id, {_OWN} AS split FROM c""",
+    "stream_change_sessions": """WITH l AS (SELECT *, lag(event_type) OVER w AS before, lag(ts) OVER w AS prev FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        p AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> event_type OR ts > prev + INTERVAL '1' HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM l)
+        SELECT user_id, part, min(ts) AS start, max(ts) AS end, any_value(event_type) AS kind, count(*) AS n FROM p GROUP BY user_id, part""",
+    "flat_event_values": "SELECT event_id, 0::BIGINT AS place, 'k' AS path, json_extract_string(props, '$.k') AS value FROM {events} WHERE props IS NOT NULL",
+}

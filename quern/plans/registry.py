@@ -70,7 +70,7 @@ def in_duckdb(sql: str) -> str:
 FLAGSHIP = "retrieval_f1_topk"
 _SQL = {**portable.QUERIES, **recommend.QUERIES, **products.QUERIES, **dialogue.QUERIES}
 _FORMS = {**ordered.FORMS, **recommend.FORMS, **products.FORMS, **dialogue.FORMS}
-_FORM_SQL = {**shaped.ORACLE_SQL, **generation.ORACLE_SQL, **pairs.ORACLE_SQL, **recommend.FORM_SQL, **products.FORM_SQL, **dialogue.FORM_SQL}
+_FORM_SQL = {**shaped.ORACLE_SQL, **generation.ORACLE_SQL, **pairs.ORACLE_SQL, **recommend.FORM_SQL, **products.FORM_SQL, **dialogue.FORM_SQL, **learning.ORACLE_SQL}
 
 
 def _bound(form: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -74,12 +74,78 @@ def test_folders_skip_what_cannot_be_read(spark, tmp_path):
     (tmp_path / "sub" / "train_en_hi.csv").write_text("en,hi\na,x\n")
     (tmp_path / "val.csv").write_text("only\n1\n")
     (tmp_path / "notes.md").write_text("no")
-    rows, skipped = readers.read_folder(spark, str(tmp_path), lambda s, p: readers.read_pairs(s, p, ("en",), ("hi",)), (".csv",))
-    assert [tuple(r) for r in rows.collect()] == [("a", "x", "train")]
-    assert [(p.rsplit("/", 1)[1], why) for p, why in skipped] == [("val.csv", "ValueError")]
+    (tmp_path / "sub" / "broken.json").write_text('{"a": ')
+    (tmp_path / "sub" / "empty.csv").write_text("")
+    (tmp_path / "test_long.tsv").write_text("english words\thindi words\tid\n" + "a\tx\t1\n" * 40)
+    for limit in (1 << 20, 100):
+        rows, report = readers.read_folder(spark, str(tmp_path), ("en", "english"), ("hi", "hindi"), whole_bytes=limit)
+        assert sorted(tuple(r)[1:] for r in rows.collect()) == sorted([("a", "x", "train")] + [("a", "x", "test")] * 40)
+        got = sorted((r.path.rsplit("/", 1)[1], r.rows, r.problem) for r in report.collect())
+        assert got == [("broken.json", 0, "JSONDecodeError"), ("test_long.tsv", 40, None), ("train_en_hi.csv", 1, None), ("val.csv", 0, "ValueError")]
     assert readers.infer_languages(["data/README", "data/en_fr_train.csv"]) == ("en", "fr") and readers.infer_languages(["a_b"]) == ("en", "hi")
 
 
+def test_folders_of_all_layouts_in_one_job(spark, tmp_path):
+    import json
+
+    layouts = [("named.csv", 'english_sentence,hindi_sentence,id\n"a, ""b""",x,1\n'), ("unknown.csv", "id,one,two\n1,a,x\n"), ("tab.txt", "a\tx\tby someone\nblank\t \nalone\n"), ("nested.jsonl", '{"translation": {"en": "a", "hi": "x"}}\n\n'), ("list.json", '{"data": [{"en": "a", "hi": "x"}]}'), ("array.json", '[{"english": "a",\n "hindi": "x"}]')]
+    for k in range(60):
+        for name, content in layouts:
+            (tmp_path / f"{k}_{name}").write_text(content)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("folder", "one job")
+    rows, report = readers.read_folder(spark, str(tmp_path), ("en", "english"), ("hi", "hindi"))
+    jobs = len(tracker.getJobIdsForGroup("folder"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 3  # listing, reading, and whether there are large files
+    assert rows.count() == 360 and {(r.src, r.tgt) for r in rows.collect()} == {("a", "x"), ('a, "b"', "x")}
+    assert report.where("problem IS NULL AND rows = 1").count() == 360
+    assert json.dumps(sorted(rows.columns)) == '["path", "split", "src", "tgt"]'
+
+
+def test_rows_written_are_read_back(spark, tmp_path):
+    rows = [(1, 'a "b", c\nd'), (2, None), (3, ""), (4, "漢 é")]
+    df = spark.createDataFrame(rows, "n long, s string")
+    for kind in ("csv", "json"):
+        readers.write_rows(df, str(tmp_path / kind), kind)
+        assert sorted(tuple(r) for r in readers.read_back(spark, str(tmp_path / kind), kind, "n long, s string").collect()) == rows
+    with pytest.raises(ValueError):
+        readers.write_rows(df, str(tmp_path / "x"), "xml")
+
+
+def test_columns_are_chosen_by_their_names():
+    pick = readers.resolve_pair
+    assert pick(["hindi", "english", "en"], ("en", "english"), ("hi", "hindi")) == ("en", "hindi")
+    assert pick(["Englisch", "EnglishText", "Hindi line"], ("en", "english"), ("hi", "hindi")) == ("EnglishText", "Hindi line")
+    assert pick(["sentence", "then"], ("en",), ("hi",)) == ("sentence", "then")
+    with pytest.raises(ValueError):
+        pick(["sentence", "then", "this"], ("en",), ("hi",))
+    assert readers.text_pair(["id", "Unnamed: 0", "p", "q"], ("en",), ("hi",)) == ("p", "q")
+    assert readers.infer_languages(["x/train.csv", "x/fr-hi.test.tsv", "en_de.csv"]) == ("fr", "hi")
+
+
+def test_flat_values_in_sql(spark):
+    from quern.functions import sequences
+
+    sequences.register(spark)
+    spark.createDataFrame([(1, '{"a": [1, "x", {"b": "y"}], "c": {}, "d": null, "e": true}'), (2, "no json"), (3, None), (4, '"z"'), (5, "[" * 20_000)], "id long, j string").createOrReplaceTempView("nested")
+    got = [tuple(r) for r in spark.sql("SELECT id, place, path, value FROM nested, LATERAL flat_values(j) ORDER BY id, place").collect()]
+    assert got == [(1, 0, "a.0", "1"), (1, 1, "a.1", "x"), (1, 2, "a.2.b", "y"), (1, 3, "e", "true"), (4, 0, "", "z")]
+
+
+def test_conversation_split(spark):
+    from quern.operators.corpus_split import conversation_split
+
+    ids = [(i,) for i in range(25)]
+    given = spark.createDataFrame([(i, ["train", "val", "test"][i % 3]) for (i,) in ids], "conv_id long, split string")
+    assert sorted(map(tuple, conversation_split(given).collect())) == sorted(map(tuple, given.collect()))
+    for broken in ("NULL", "'other'"):
+        some = given.selectExpr("conv_id", f"if(conv_id = 7, {broken}, split) AS split")
+        got = conversation_split(some).groupBy("split").count().collect()
+        assert {r.split: r["count"] for r in got} == {"test": 2, "val": 2, "train": 21}
+    assert conversation_split(given.limit(0)).count() == 0
+
+
 def test_document_store_and_lookup(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "4.json").write_text('{"10": {"x": ["ten", 1]}, "2": "two", "title": "T", "wikiDocumentIdx": 77}')
