@@ -6,11 +6,13 @@ with their own rows and keep the best k of each query and batch. Only those meet
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,57 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine"
     return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def sparse_join(queries: DataFrame, base: DataFrame, k: int, id_column: str = "id", vector: str = "vector", block_bytes: int = BLOCK_BYTES, digits: int = 6) -> DataFrame:
+    """(i, j, sim, rank): the k rows of base with the largest products of sparse vectors (array<struct<term long, weight
+    double>>, each term once) for each query, itself and rows without a positive product excluded; ties by id.
+
+    A block of queries is one table of its terms by queries, of block_bytes at most, which tasks multiply with their own rows;
+    only the best k of each query and batch are shuffled. Frequent terms are columns like all others, never a join key.
+    """
+    spark = queries.sparkSession
+    sized = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()
+    blocks = max(1, math.ceil(math.sqrt(8 * sized[0] * sized[1] / block_bytes)))  # terms and queries of a block shrink alike
+    parts = []
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(id_column), F.lit(blocks)) == b)
+        flat = part.select(F.col(id_column).alias("id"), F.explode(vector).alias("x")).select("id", "x.term", "x.weight").toPandas()
+        if not len(flat):
+            continue
+        ids, column = np.unique(flat["id"].to_numpy(np.int64), return_inverse=True)
+        terms, row = np.unique(flat["term"].to_numpy(np.int64), return_inverse=True)
+        weights = np.zeros((len(terms) + 1, len(ids)))  # the last row is for terms that no query has
+        np.add.at(weights, (row, column), flat["weight"].to_numpy(float))
+        sent = spark.sparkContext.broadcast((ids, terms, weights))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, terms, weights = sent.value
+            for batch in batches:
+                own, lists = batch.column(0).to_numpy(), batch.column(1)
+                cuts = lists.offsets.to_numpy()
+                held = lists.values
+                term, weight = held.field("term").to_numpy(), held.field("weight").to_numpy()
+                place = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+                place = np.where(terms[place] == term, place, len(terms))
+                for lo in range(0, len(own), 256):
+                    hi = min(lo + 256, len(own))
+                    sim = np.zeros((len(ids), hi - lo))
+                    for r in range(lo, hi):
+                        mine = slice(cuts[r], cuts[r + 1])
+                        sim[:, r - lo] = weight[mine] @ weights[place[mine]]
+                    sim = np.round(sim, digits)
+                    sim[(ids[:, None] == own[None, lo:hi]) | (sim <= 0)] = -np.inf
+                    order = np.lexsort((np.broadcast_to(own[lo:hi], sim.shape), -sim), axis=1)[:, :k]
+                    i, s = np.repeat(ids, order.shape[1]), np.take_along_axis(sim, order, 1).ravel()
+                    keep = np.isfinite(s)
+                    yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(own[lo:hi][order].ravel()[keep]), pa.array(s[keep])], names=["i", "j", "sim"])
+
+        parts.append(base.where(F.col(vector).isNotNull()).select(F.col(id_column).cast("long"), vector).mapInArrow(run, "i long, j long, sim double"))
+    if not parts:
+        return spark.createDataFrame([], "i long, j long, sim double, rank int")
+    best = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
+    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def retrieval_f1(neighbours: DataFrame, labels: DataFrame, threshold: float, id_column: str = "vec_id", label: str = "label", asked: DataFrame | None = None) -> DataFrame:
     """One row: mean precision, recall and F1 of the kept neighbours against rows of the same label, over the rows asked
     (else all). A row itself counts as a hit, as kept and as one of its label's rows."""

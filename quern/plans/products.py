@@ -9,20 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import titles
-from quern.operators import graph
+from quern.operators import graph, matching, similarity
 
 View = Callable[[str], DataFrame]
 
 TOP, MAX_SIZE = 10, 60
 
 
-def _tfidf(terms: str, least: int = 1) -> str:
-    """(id, term, weight) of rows (id, term): sublinear frequency, smoothed idf of terms in `least` rows or more, unit length."""
-    tf = f"SELECT id, term, COUNT(*) AS tf FROM {terms} w GROUP BY id, term"
-    raw = f"""SELECT f.id, f.term, (1 + ln(f.tf)) * (ln((1e0 + n.rows_) / (1e0 + d.df)) + 1) AS w FROM ({tf}) f
-        JOIN (SELECT term, COUNT(*) AS df FROM ({tf}) g GROUP BY term HAVING COUNT(*) >= {least}) d ON d.term = f.term
+def _tfidf(counts: str, least: int = 1) -> str:
+    """(id, term, weight) of counts (id, term, tf): sublinear frequency, smoothed idf of terms in `least` rows or more, unit length."""
+    raw = f"""SELECT f.id, f.term, (1 + ln(f.tf)) * (ln((1e0 + n.rows_) / (1e0 + d.df)) + 1) AS w FROM {counts} f
+        JOIN (SELECT term, COUNT(*) AS df FROM {counts} g GROUP BY term HAVING COUNT(*) >= {least}) d ON d.term = f.term
         CROSS JOIN (SELECT COUNT(*) AS rows_ FROM {{products}} p) n"""
-    return f"SELECT r.id, r.term, r.w / s.size AS weight FROM ({raw}) r JOIN (SELECT id, sqrt(SUM(w * w)) AS size FROM ({raw}) q GROUP BY id) s ON s.id = r.id"
+    return f"SELECT id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY id)) AS weight FROM ({raw}) r"
 
 
 def _nearest(pairs: str) -> str:
@@ -43,9 +42,10 @@ VIEWS = {
     "pair_terms": """SELECT id, term FROM {word_terms} a UNION ALL SELECT id, @each(w) AS term FROM (SELECT id, @pairs(w) AS w FROM
         (SELECT id, @findall(title, '[A-Za-z0-9_][A-Za-z0-9_]+') AS w FROM {products} p) q) r""",
     "char_terms": "SELECT id, @each(g) AS term FROM (SELECT id, @grams(p) AS g FROM (SELECT id, concat(' ', w, ' ') AS p FROM (SELECT id, @each(w) AS w FROM (SELECT id, @split(norm) AS w FROM {product_words} p) q) r) s) t",
-    "word_weights": _tfidf("{word_terms}"),
-    "pair_weights": _tfidf("{pair_terms}", 2),
-    "char_weights": _tfidf("{char_terms}"),
+    **{f"{kind}_counts": f"SELECT id, term, COUNT(*) AS tf FROM {{{kind}_terms}} w GROUP BY id, term" for kind in ("word", "pair", "char")},
+    "word_weights": _tfidf("{word_counts}"),
+    "pair_weights": _tfidf("{pair_counts}", 2),
+    "char_weights": _tfidf("{char_counts}"),
     "text_nearest": _nearest("SELECT a.id AS i, b.id AS j, round(SUM(a.weight * b.weight), 6) AS sim FROM {char_weights} a JOIN {char_weights} b ON b.term = a.term AND b.id <> a.id WHERE a.id % 50 = 0 GROUP BY a.id, b.id"),
     "hash_nearest": _nearest(
         "SELECT a.id AS i, b.id AS j, 1 - (@bits(a.b1, b.b1) + @bits(a.b2, b.b2)) / 32e0 AS sim FROM {product_words} a JOIN {product_words} b ON b.id <> a.id WHERE a.id % 50 = 0"
@@ -81,7 +81,7 @@ VIEWS = {
 }
 
 #: Views that a query computes once, however often it reads them.
-STAGED = ("product_words", "word_weights", "pair_weights", "char_weights", "text_nearest", "hash_nearest", "product_candidates", "product_features", "benchmark_pairs", "benchmark_scores")
+STAGED = ("product_words", "word_counts", "pair_counts", "char_counts", "word_weights", "pair_weights", "char_weights", "text_nearest", "hash_nearest", "product_candidates", "product_features", "benchmark_pairs", "benchmark_scores")
 
 
 def _at_threshold(t: str) -> str:
@@ -208,6 +208,21 @@ def hashed_char_ngrams(view: View) -> DataFrame:
     return view("{products}").select("id", g.alias("g")).groupBy("id", cell.alias("cell")).agg(F.count("*").alias("n"))
 
 
+def text_nearest(view: View) -> DataFrame:
+    """The view of that name, from the products' weights as sparse vectors: no join by term."""
+    rows = view("SELECT id, term, weight FROM {char_weights} w").groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("term"), "weight")).alias("vector"))
+    return similarity.sparse_join(rows.where("id % 50 = 0"), rows, TOP, "id", "vector").select("i", "j", "sim", F.col("rank").alias("k"))
+
+
+def hash_nearest(view: View) -> DataFrame:
+    """The view of that name: the cosine of two hashes as vectors of signs is 1 less a 32nd of their distance."""
+    rows = view("SELECT id, phash FROM {products} p").select("id", matching.hash_bits(F.col("phash")).alias("bits"))
+    return similarity.knn_join(rows.where("id % 50 = 0"), rows, TOP, "cosine", "id", "bits").select("i", "j", "sim", F.col("rank").alias("k"))
+
+
+#: How Spark makes views whose SQL is for the check only.
+SPARK_VIEWS: dict[str, Callable[[View], DataFrame]] = {"text_nearest": text_nearest, "hash_nearest": hash_nearest}
+
 FORMS: dict[str, Callable[[View], DataFrame]] = {
     "title_normalize": title_normalize,
     "number_tokens": number_tokens,

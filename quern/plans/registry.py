@@ -40,7 +40,9 @@ def in_spark(sql: str) -> Callable[..., DataFrame]:
                 return table(spark, sf_dir, name)
             if name not in staged:
                 ensure_checkpoint_dir(spark)
-                staged[name] = in_spark(VIEWS[name])(spark, sf_dir, staged).checkpoint()
+                made = products.SPARK_VIEWS.get(name)
+                rows = made(lambda sql: in_spark(sql)(spark, sf_dir, staged)) if made else in_spark(VIEWS[name])(spark, sf_dir, staged)
+                staged[name] = rows.checkpoint()
             return staged[name]
 
         return spark.sql(text, **{n: source(n) for n in names})
