@@ -43,7 +43,8 @@ def _log_loss(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, np.nd
 
 
 class Logistic:
-    """A weight for each number and one for each category. The shared feature -1 holds the bias and the numbers' weights."""
+    """A weight for each number and one for each category. The shared feature -1 holds the bias and the numbers' weights. A
+    setting's `mask` (a factor a number) takes numbers out, so that candidates may differ by what they see."""
 
     shared = (-1,)
 
@@ -52,9 +53,13 @@ class Logistic:
         return [np.zeros(1 + setting["numbers"] if f < 0 else 1) for f in features]
 
     @staticmethod
-    def scores(block: rounds.Block, setting: dict) -> np.ndarray:
+    def numbers(block: rounds.Block, setting: dict) -> np.ndarray:
+        return block.dense[:, 1:] * np.asarray(setting.get("mask", 1.0))
+
+    @classmethod
+    def scores(cls, block: rounds.Block, setting: dict) -> np.ndarray:
         dense, cats = block.vectors[0], np.array([v[0] for v in block.vectors])
-        return dense[0] + block.dense[:, 1:] @ dense[1:] + cats[block.fixed()].sum(1)
+        return dense[0] + cls.numbers(block, setting) @ dense[1:] + cats[block.fixed()].sum(1)
 
     @classmethod
     def local(cls, block: rounds.Block, setting: dict, number: int):
@@ -66,7 +71,7 @@ class Logistic:
         sums = np.bincount(at.ravel(), np.repeat(g, width), minlength=k)
         mass = np.bincount(at.ravel(), np.repeat(block.n, width), minlength=k)
         mass[0] = block.n.sum()
-        return loss, [np.concatenate([[g.sum()], block.dense[:, 1:].T @ g]), *sums[1:, None]], mass
+        return loss, [np.concatenate([[g.sum()], cls.numbers(block, setting).T @ g]), *sums[1:, None]], mass
 
 
 class Network:

@@ -9,6 +9,7 @@ _SQUASH = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' '{g}))"
 _SCRIPTS = "[฀-๿぀-ヿ一-鿿؀-ۿ가-힯]"
 
 SPARK = {
+    "type": "CASE typeof({0}) WHEN 'string' THEN 'text' WHEN 'double' THEN 'real' ELSE 'whole' END",
     "size": "size({0})",
     "distinct": "array_distinct({0})",
     "common": "size(array_intersect({0}, {1}))",
@@ -32,6 +33,7 @@ SPARK = {
     "latin": f"regexp_replace({{0}}, '{_SCRIPTS}', '')",
 }
 DUCKDB = {
+    "type": "CASE typeof({0}) WHEN 'VARCHAR' THEN 'text' WHEN 'DOUBLE' THEN 'real' ELSE 'whole' END",
     "size": "len({0})",
     "distinct": "list_distinct({0})",
     "common": "len(list_intersect({0}, {1}))",

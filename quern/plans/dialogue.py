@@ -64,9 +64,6 @@ QUERIES = {
         LEFT JOIN (SELECT w, COUNT(*) AS k FROM {{query_words}} q GROUP BY w) c ON c.w = r.w CROSS JOIN ({_TOKENS_ALL}) t""",
     "length_penalty": "SELECT id, round(power((5e0 + @size(tw)) / 6, 0.7e0), 9) AS penalty FROM {pair_words} p",
     "length_filter": "SELECT id FROM {pair_words} p WHERE @size(sw) BETWEEN 1 AND 200 AND @size(tw) BETWEEN 1 AND 200",
-    # the most likely words whose shares add up to nine tenths, of the twenty most frequent ones
-    "nucleus_filter": """SELECT w, k, round(share, 9) AS share FROM (SELECT w, k, k * 1e0 / SUM(k) OVER () AS share, SUM(k) OVER (ORDER BY k DESC, w ROWS UNBOUNDED PRECEDING) * 1e0 / SUM(k) OVER () - k * 1e0 / SUM(k) OVER () AS before
-        FROM (SELECT w, COUNT(*) AS k FROM {reply_words} r GROUP BY w ORDER BY k DESC, w LIMIT 20) t) q WHERE before < 0.9e0""",
     # words that would repeat a word pair of the reply, after its last word
     "banned_words": """SELECT p.id, b.w2 AS w FROM (SELECT id, @last(tw) AS last FROM {pair_words} p) p JOIN (SELECT DISTINCT id, w1, w2 FROM (SELECT id, x.a AS w1, x.b AS w2 FROM (SELECT id, @each(@couples(tw)) AS x FROM {pair_words} p) q) r) b
         ON b.id = p.id AND b.w1 = p.last""",
@@ -85,6 +82,13 @@ QUERIES = {
 }
 
 
+def nucleus_filter(view: View) -> DataFrame:
+    """The most frequent words of all replies, as many as it takes for their shares to reach nine tenths; ties by the word."""
+    counts = view("SELECT w, COUNT(*) AS k FROM {reply_words} r GROUP BY w")
+    run = numbered(counts, [], [F.desc("k"), F.col("w")], ("k",))
+    return run.where((F.col("_run_k") - F.col("k")) / F.col("_all_k") < 0.9).select("w", "k", F.round(F.col("k") / F.col("_all_k"), 9).alias("share"))
+
+
 def roc_curve(view: View) -> DataFrame:
     """A point for each row in the order of scores; ties aren't merged."""
     run = numbered(view("SELECT id, s, y FROM {scored} t"), [], [F.desc("s"), F.col("id")], ("y",))
@@ -187,7 +191,7 @@ def unordered_dedupe(view: View) -> DataFrame:
     return parts.withColumn("k", F.row_number().over(key)).where("k = 1").select("i", "j", "part")
 
 
-FORMS: dict[str, Callable[[View], DataFrame]] = {f.__name__: f for f in (roc_curve, pr_curve, auc_by_kind, length_batches, encode_padded, key_lookup, sentence_split, extractive_baseline, scores_by_mix, mismatched_control, unordered_dedupe)}
+FORMS: dict[str, Callable[[View], DataFrame]] = {f.__name__: f for f in (nucleus_filter, roc_curve, pr_curve, auc_by_kind, length_batches, encode_padded, key_lookup, sentence_split, extractive_baseline, scores_by_mix, mismatched_control, unordered_dedupe)}
 
 _TOK = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
 _RUN = "SELECT id, s, sum(y) OVER w AS tp, count(*) OVER w AS k, sum(y) OVER () AS pos, count(*) OVER () AS n FROM {scored} t WINDOW w AS (ORDER BY s DESC, id ROWS UNBOUNDED PRECEDING)"
@@ -203,6 +207,7 @@ def _rouge(src: str, tgt: str, n: int, name: str) -> str:
 _F1 = "CASE WHEN {0}.m > 0 THEN 2.0::DOUBLE * {0}.m / ({0}.ht + {0}.rt) ELSE 0 END"
 
 FORM_SQL = {
+    "nucleus_filter": "SELECT w, k, round(k / n, 9) AS share FROM (SELECT w, k, (sum(k) OVER (ORDER BY k DESC, w ROWS UNBOUNDED PRECEDING))::DOUBLE AS run, (sum(k) OVER ())::DOUBLE AS n FROM (SELECT w, count(*) AS k FROM {reply_words} r GROUP BY w) t) q WHERE (run - k) / n < 0.9::DOUBLE",
     "roc_curve": f"SELECT id, s AS threshold, round(tp / pos, 9) AS tpr, round((k - tp) / (n - pos), 9) AS fpr FROM ({_RUN}) r",
     "pr_curve": f"SELECT id, s AS threshold, round(tp / k, 9) AS prec, round(tp / pos, 9) AS rec FROM ({_RUN}) r",
     "auc_by_kind": """SELECT kind, round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - max(np) * (max(np) + 1) / 2) / (max(np) * max(nn)), 9) AS auc FROM (SELECT kind, y,

@@ -60,6 +60,32 @@ def bleu_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("bucket", "n", F.round(scores.bleu({n: (F.col(f"m{n}"), F.col(f"t{n}")) for n in (1, 2, 3, 4)}, F.col("t1"), F.col("ref")), 6).alias("bleu"))
 
 
+def bleu_by_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus BLEU of pairs with a word that occurs once in all pairs of its side, and of those without."""
+    words = _pairs(spark, sf_dir).select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("side"), text.tokens(F.col(c)).alias("w")) for c in ("src", "tgt")])).alias("x"))
+    each = words.select("id", "x.side", F.explode("x.w").alias("w"))
+    rare = each.groupBy("side", "w").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("id").distinct().withColumn("rare", F.lit(True))
+    group = F.when(F.col("rare"), "has unknown word").otherwise("all words known").alias("words")
+    total = _gram_sums(spark, sf_dir).join(rare, "id", "left").groupBy(group).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("m1", "m2", "m3", "m4", "t1", "t2", "t3", "t4", "ref"))).where("n >= 5")
+    return total.select("words", "n", F.round(scores.bleu({n: (F.col(f"m{n}"), F.col(f"t{n}")) for n in (1, 2, 3, 4)}, F.col("t1"), F.col("ref")), 6).alias("bleu"))
+
+
+def bleu_by_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU of words and of word pairs, and mean lengths, by the share of the reply's words that the answer has too."""
+    share = F.col("m1") / F.col("t1")
+    bucket = F.when(F.col("t1") == 0, "unknown").when(share >= 0.2, "much").when(share >= 0.05, "some").otherwise("little").alias("bucket")
+    sums = _gram_sums(spark, sf_dir).groupBy(bucket).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("m1", "m2", "t1", "t2", "ref"))).where("n >= 5")
+    parts = {n: (F.col(f"m{n}"), F.col(f"t{n}")) for n in (1, 2)}
+    return sums.select("bucket", "n", F.round(scores.bleu({1: parts[1]}, F.col("t1"), F.col("ref")), 6).alias("bleu1"), F.round(scores.bleu(parts, F.col("t1"), F.col("ref")), 6).alias("bleu2"), F.round(F.col("t1") / F.col("n"), 6).alias("hyp_len"), F.round(F.col("ref") / F.col("n"), 6).alias("ref_len"))
+
+
+def grounding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean share of content words that the document has, over replies with any, and the share of all replies that have
+    at least one of the document's words."""
+    share = grounding_overlap(spark, sf_dir)
+    return share.agg(F.count("*").alias("n"), F.count("share").alias("n_content"), F.round(F.avg("share"), 9).alias("overlap"), F.round(F.avg(F.coalesce(F.col("share") > 0, F.lit(False)).cast("double")), 9).alias("doc_word_hit"))
+
+
 def retrieval_reply_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each held-out user turn (id divisible by 50) the reply to the most similar other user turn."""
     rows = _pairs(spark, sf_dir)
@@ -93,10 +119,11 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.findSynonyms(word, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (chat_tokens, english_mix, grounding_overlap, rouge_l, corpus_bleu, sentence_bleu, bleu_by_length, retrieval_reply_baseline, document_alignment, corpus_parts, word_vectors)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (chat_tokens, english_mix, grounding_overlap, rouge_l, corpus_bleu, sentence_bleu, bleu_by_length, bleu_by_unknown, bleu_by_mix, grounding_summary, retrieval_reply_baseline, document_alignment, corpus_parts, word_vectors)}
 
 _SUMS = "SELECT a.id, a.m AS m1, b.m AS m2, c.m AS m3, d.m AS m4, a.ht AS t1, b.ht AS t2, c.ht AS t3, d.ht AS t4, a.rt AS ref FROM " + " JOIN ".join(f"({_matches_sql(n)}) {x}" + ("" if x == "a" else f" ON {x}.id = a.id") for n, x in zip((1, 2, 3, 4), "abcd", strict=True))
 _BLEU = """CASE WHEN t1 = 0 OR m1 = 0 THEN 0 ELSE 100 * (CASE WHEN t1 > ref THEN 1 ELSE exp(1 - ref::DOUBLE / t1) END) * exp((ln(m1::DOUBLE / t1) + ln((m2 + 1)::DOUBLE / (t2 + 1)) + ln((m3 + 1)::DOUBLE / (t3 + 1)) + ln((m4 + 1)::DOUBLE / (t4 + 1))) / 4) END"""
+_SHORT = "100 * (CASE WHEN t1 > ref THEN 1 ELSE exp(1 - ref::DOUBLE / t1) END)"
 _TOTALS = "sum(m1) AS m1, sum(m2) AS m2, sum(m3) AS m3, sum(m4) AS m4, sum(t1) AS t1, sum(t2) AS t2, sum(t3) AS t3, sum(t4) AS t4, sum(ref) AS ref"
 _WORDS = "unnest(list_distinct({}))".format(_TOK.format("text"))
 
@@ -104,6 +131,11 @@ ORACLE_SQL: dict[str, str] = {
     "corpus_bleu": f"SELECT round({_BLEU}, 6) AS bleu, t1::BIGINT AS hyp_len, ref::BIGINT AS ref_len FROM (SELECT {_TOTALS} FROM ({_SUMS}) s) t",
     "sentence_bleu": f"SELECT id, round({_BLEU}, 6)::DOUBLE AS bleu FROM ({_SUMS}) s",
     "bleu_by_length": f"SELECT bucket, n, round({_BLEU}, 6)::DOUBLE AS bleu FROM (SELECT CASE WHEN ref < 10 THEN '0-9' WHEN ref < 20 THEN '10-19' WHEN ref < 40 THEN '20-39' ELSE '40+' END AS bucket, count(*) AS n, {_TOTALS.replace('sum(ref) AS ref', 'sum(ref) AS ref')} FROM ({_SUMS.replace('AS ref', 'AS ref')}) s GROUP BY 1 HAVING count(*) >= 5) t",
+    "bleu_by_unknown": f"""WITH w AS (SELECT id, 's' AS side, unnest({_TOK.format('src')}) AS w FROM ({_PAIRS}) p UNION ALL SELECT id, 't', unnest({_TOK.format('tgt')}) FROM ({_PAIRS}) p),
+        rare AS (SELECT DISTINCT id FROM w JOIN (SELECT side, w FROM w GROUP BY side, w HAVING count(*) = 1) o USING (side, w))
+        SELECT words, n, round({_BLEU}, 6)::DOUBLE AS bleu FROM (SELECT CASE WHEN id IN (SELECT id FROM rare) THEN 'has unknown word' ELSE 'all words known' END AS words, count(*) AS n, {_TOTALS} FROM ({_SUMS}) s GROUP BY 1 HAVING count(*) >= 5) t""",
+    "bleu_by_mix": f"""SELECT bucket, n, round(CASE WHEN t1 = 0 OR m1 = 0 THEN 0 ELSE {_SHORT} * m1 / t1 END, 6)::DOUBLE AS bleu1, round(CASE WHEN t1 = 0 OR m1 = 0 THEN 0 ELSE {_SHORT} * exp((ln(m1::DOUBLE / t1) + ln((m2 + 1)::DOUBLE / (t2 + 1))) / 2) END, 6)::DOUBLE AS bleu2,
+        round(t1::DOUBLE / n, 6) AS hyp_len, round(ref::DOUBLE / n, 6) AS ref_len FROM (SELECT CASE WHEN t1 = 0 THEN 'unknown' WHEN m1::DOUBLE / t1 >= 0.2 THEN 'much' WHEN m1::DOUBLE / t1 >= 0.05 THEN 'some' ELSE 'little' END AS bucket, count(*) AS n, {_TOTALS} FROM ({_SUMS}) s GROUP BY 1 HAVING count(*) >= 5) t""",
     "document_alignment": f"""WITH d AS (SELECT item_id::VARCHAR AS doc, {_WORDS} AS word FROM {{benchmark}}), g AS (SELECT DISTINCT source AS key, {_WORDS} AS word FROM {{documents}}),
         w AS (SELECT word, ln((SELECT count(DISTINCT doc) FROM d)::DOUBLE / count(*)) AS idf FROM d GROUP BY word), s AS (SELECT key, d.doc, round(sum(idf) / sqrt(any_value(z.words) + 1), 9) AS score FROM g JOIN d USING (word) JOIN w USING (word) JOIN (SELECT doc, count(*) AS words FROM d GROUP BY doc) z ON z.doc = d.doc WHERE idf > 0 GROUP BY key, d.doc),
         k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, doc) AS k, coalesce(lead(score) OVER (PARTITION BY key ORDER BY score DESC, doc), 0) AS second FROM s)

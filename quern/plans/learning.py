@@ -95,6 +95,55 @@ def beam_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.search(prompts, follow, beam=4, max_len=6, no_repeat=2, min_len=2).select("id", F.array_join("tokens", " ").alias("reply"), F.round("score", 6).alias("score"))
 
 
+FEATURES = "cos_word cos_pair cos_char cos_hash cos_vec ham phash_eq same_file len_ratio word_jacc num_jacc num_both num_conflict min_words".split()
+#: Named groups of pair features, each of which one candidate lacks; and some that are all that a candidate has.
+FEATURE_SETS = {
+    "all": FEATURES,
+    "without text": FEATURES[3:],
+    "without image": [f for f in FEATURES if f not in ("cos_hash", "ham", "phash_eq", "same_file")],
+    "without vectors": [f for f in FEATURES if f != "cos_vec"],
+    "without overlaps": [f for f in FEATURES if f not in ("word_jacc", "num_jacc", "len_ratio", "min_words")],
+    "without numbers": [f for f in FEATURES if not f.startswith("num_")],
+    "text only": FEATURES[:3],
+    "image only": ["cos_hash", "ham", "phash_eq", "same_file"],
+}
+
+
+def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs with their features, in parts by the first product's group, so that no group is in two parts."""
+    sql = """SELECT i * 1000000000 + j AS id, f.*, CASE WHEN h < 'a' THEN 'train' WHEN h < 'd' THEN 'val' ELSE 'test' END AS part
+        FROM {product_features} f JOIN (SELECT id AS own, substr(md5(grp), 1, 1) AS h FROM {products} p) g ON g.own = f.i"""
+    return _view(spark, sf_dir, f"SELECT * FROM ({sql}) q").checkpoint()
+
+
+def ablation_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic fusion of the pair features, fitted anew for each set of features in one training; area under the curve on
+    test pairs, against that of all features."""
+    rows = click.encoded(_featured(spark, sf_dir), FEATURES, [], 1024)
+    names = sorted(FEATURE_SETS)
+    grid = [{"numbers": len(FEATURES), "lr": 0.3, "mask": [float(f in FEATURE_SETS[n]) for f in FEATURES]} for n in names]
+    blocks, fitted, net = click.fit(rows, "logistic", grid, 8, patience=None)
+    auc = auc_by(click.scored(blocks, fitted, net, grid, "test"), "cand")
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("cand") + 1)
+    whole = auc.where(named == "all").select(F.col("auc").alias("whole"))
+    gain = F.col("auc") - F.col("whole")
+    verdict = F.when(gain < -0.002, "helps").when(gain > 0.002, "hurts").otherwise("same")
+    return auc.join(F.broadcast(whole)).select(named.alias("features"), F.round("auc", 4).alias("auc"), F.round(gain, 4).alias("gain"), verdict.alias("what_is_left_out"))
+
+
+def pair_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees on the 14 features of the training pairs, stopped on the validation pairs: figures on the test pairs."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_featured(spark, sf_dir).withColumns({f: F.col(f).cast("double") for f in FEATURES}))
+    seen = rows.where("part <> 'test'").withColumn("held", F.col("part") == "val")
+    trees = GBTClassifier(labelCol="y", maxIter=40, maxDepth=4, stepSize=0.1, seed=3, validationIndicatorCol="held", minInstancesPerNode=5).fit(seen)
+    scored = trees.transform(rows.where("part = 'test'")).select(F.lit(0).alias("cand"), "y", vector_to_array("probability")[1].alias("score"), F.lit(1.0).alias("n"))
+    return auc_by(scored, "cand").select(F.round("auc", 4).alias("auc"), F.lit(trees.getNumTrees).alias("trees"))
+
+
 def conversation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits of all conversations where none, only some, and all of them have one."""
     ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
@@ -117,7 +166,7 @@ def flat_event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT event_id, place, path, value FROM quern_events, LATERAL flat_values(props)")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (biased_factors, click_models, click_selection, skipgram_neighbours, beam_replies, conversation_split, stream_change_sessions, flat_event_values)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (biased_factors, click_models, click_selection, skipgram_neighbours, beam_replies, ablation_refit, pair_boosting, conversation_split, stream_change_sessions, flat_event_values)}
 
 _OWN = "CASE WHEN conv_id % 5 = 0 THEN 'val' WHEN conv_id % 5 = 1 THEN 'test' ELSE 'train' END"
 ORACLE_SQL: dict[str, str] = {

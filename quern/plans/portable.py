@@ -56,8 +56,7 @@ QUERIES = {
     "null_rates_train_test": """SELECT f AS feature, round(AVG(CASE WHEN split = 'train' THEN m END), 9) AS train, round(AVG(CASE WHEN split = 'test' THEN m END), 9) AS test FROM (
         SELECT split, 'x1' AS f, CASE WHEN x1 IS NULL THEN 1e0 ELSE 0e0 END AS m FROM {ctr} UNION ALL SELECT split, 'x2', CASE WHEN x2 IS NULL THEN 1e0 ELSE 0e0 END FROM {ctr}
         UNION ALL SELECT split, 'c1', CASE WHEN c1 IS NULL THEN 1e0 ELSE 0e0 END FROM {ctr} UNION ALL SELECT split, 'c2', CASE WHEN c2 IS NULL THEN 1e0 ELSE 0e0 END FROM {ctr}) t GROUP BY f""",
-    "column_profile": """SELECT 'title' AS name, COUNT(*) - COUNT(title) AS nulls, COUNT(DISTINCT title) AS uniques, MIN(title) AS example FROM {listings}
-        UNION ALL SELECT 'phash', COUNT(*) - COUNT(phash), COUNT(DISTINCT phash), MIN(phash) FROM {listings} UNION ALL SELECT 'lang', COUNT(*) - COUNT(lang), COUNT(DISTINCT lang), MIN(lang) FROM {listings}""",
+    "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS name, MAX(@type({c})) AS dtype, COUNT(*) - COUNT({c}) AS nulls, COUNT(DISTINCT {c}) AS uniques, MIN(CAST({c} AS STRING)) AS example FROM {{listings}} t" for c in ("id", "title", "phash", "grp", "lang")),
     "group_size_distribution": "SELECT n AS size, COUNT(*) AS classes FROM (SELECT grp, COUNT(*) AS n FROM {listings} GROUP BY grp) t GROUP BY n",
     "size_biased_matches": "SELECT round(SUM(n * n) / CAST(SUM(n) AS DOUBLE) - 1, 9) AS others FROM (SELECT grp, COUNT(*) AS n FROM {listings} GROUP BY grp) t",
     "multi_source_groups": "SELECT SUM(CASE WHEN k > 1 THEN 1 ELSE 0 END) * 1e0 AS several, SUM(CASE WHEN k = 1 THEN 1 ELSE 0 END) * 1e0 AS single FROM (SELECT grp, COUNT(DISTINCT source) AS k FROM {listings} GROUP BY grp) t",

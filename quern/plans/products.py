@@ -76,6 +76,10 @@ VIEWS = {
         UNION ALL SELECT t.i, t.j, 0, 'hash_hard_neg', 3 FROM {hash_nearest} t JOIN {products} a ON a.id = t.i JOIN {products} b ON b.id = t.j WHERE a.grp <> b.grp) u) v WHERE k = 1""",
     "benchmark_scores": """SELECT p.i, p.j, p.y, p.kind, round(coalesce(SUM(a.weight * b.weight), 0e0), 6) AS s FROM {benchmark_pairs} p LEFT JOIN {char_weights} a ON a.id = p.i
         LEFT JOIN {char_weights} b ON b.id = p.j AND b.term = a.term GROUP BY p.i, p.j, p.y, p.kind""",
+    # rows of a group are all for choosing thresholds (val) or all for reporting (test)
+    "product_parts": "SELECT id, grp, n, CASE WHEN substr(md5(grp), 1, 1) < '8' THEN 'val' ELSE 'test' END AS part FROM {group_sizes} g",
+    "val_pairs": "SELECT s, y FROM {benchmark_scores} b JOIN {product_parts} p ON p.id = b.i WHERE part = 'val'",
+    "test_pairs": "SELECT s, y FROM {benchmark_scores} b JOIN {product_parts} p ON p.id = b.i WHERE part = 'test'",
     "matched": "SELECT i, j FROM {product_scores} s WHERE s >= 0.8e0",
     "matched_both": "SELECT i, j FROM {matched} m UNION SELECT j, i FROM {matched} n",
 }
@@ -84,15 +88,25 @@ VIEWS = {
 STAGED = ("product_words", "word_counts", "pair_counts", "char_counts", "word_weights", "pair_weights", "char_weights", "text_nearest", "hash_nearest", "product_candidates", "product_features", "benchmark_pairs", "benchmark_scores")
 
 
-def _at_threshold(t: str) -> str:
-    """Mean F1, precision and recall at thresholds (t): a listing itself counts as a hit and as predicted."""
+def _at_threshold(t: str, asked: str = "{group_sizes}") -> str:
+    """Mean F1, precision and recall at thresholds (t) of the rows asked: a listing itself counts as a hit and as predicted."""
     return f"""SELECT t, AVG(2e0 * (1 + hit) / (1 + kept + n)) AS f1, AVG((1e0 + hit) / (1 + kept)) AS prec, AVG((1e0 + hit) / n) AS rec FROM (
         SELECT r.t, r.id, r.n, COUNT(CASE WHEN s.s >= r.t THEN 1 END) AS kept, COUNT(CASE WHEN s.s >= r.t AND s.y = 1 THEN 1 END) AS hit
-        FROM (SELECT g.id, g.n, t.t FROM {{group_sizes}} g CROSS JOIN ({t}) t WHERE g.id % 50 = 0) r LEFT JOIN {{product_scores}} s ON s.i = r.id GROUP BY r.t, r.id, r.n) q GROUP BY t"""
+        FROM (SELECT g.id, g.n, t.t FROM {asked} g CROSS JOIN ({t}) t WHERE g.id % 50 = 0) r LEFT JOIN {{product_scores}} s ON s.i = r.id GROUP BY r.t, r.id, r.n) q GROUP BY t"""
 
 
-_GRID = "SELECT round(lo + (hi - lo) * g / 79e0, 9) AS t FROM (SELECT @quantile(s, 0.2) AS lo, MAX(s) AS hi FROM {product_scores} s) b CROSS JOIN (SELECT @each(@range(0, 79)) AS g) k"
-_BEST = f"SELECT t, f1, prec, rec FROM (SELECT t, f1, prec, rec, row_number() OVER (ORDER BY round(f1, 9) DESC, t) AS k FROM ({_at_threshold(_GRID)}) a) b WHERE k = 1"
+def _grid(scores: str) -> str:
+    return f"SELECT round(lo + (hi - lo) * g / 79e0, 9) AS t FROM (SELECT @quantile(s, 0.2) AS lo, MAX(s) AS hi FROM {scores} s) b CROSS JOIN (SELECT @each(@range(0, 79)) AS g) k"
+
+
+def _best(at: str) -> str:
+    return f"SELECT t, f1, prec, rec FROM (SELECT t, f1, prec, rec, row_number() OVER (ORDER BY round(f1, 9) DESC, t) AS k FROM ({at}) a) b WHERE k = 1"
+
+
+_BEST = _best(_at_threshold(_grid("{product_scores}")))
+_VAL, _TEST = ("(SELECT id, n FROM {product_parts} p WHERE part = '" + part + "')" for part in ("val", "test"))
+_VAL_SCORES = "(SELECT s FROM {product_scores} s JOIN {product_parts} p ON p.id = s.i WHERE part = 'val')"
+_VAL_BEST = _best(_at_threshold(_grid(_VAL_SCORES), _VAL))
 
 _AUC = """(SUM(CASE WHEN y = 1 THEN r ELSE 0e0 END) - MAX(np) * (MAX(np) + 1) / 2) / (MAX(np) * MAX(nn))"""
 _KINDS = """SELECT s, y, kind FROM {benchmark_scores} b WHERE y = 0 UNION ALL SELECT p.s, p.y, k.kind FROM {benchmark_scores} p
@@ -101,9 +115,10 @@ _BY_KIND = f"""SELECT kind, COUNT(*) AS n, round({_AUC}, 9) AS auc FROM (SELECT
     CAST(SUM(y) OVER (PARTITION BY kind) AS DOUBLE) AS np, CAST(SUM(1 - y) OVER (PARTITION BY kind) AS DOUBLE) AS nn FROM ({_KINDS}) a) q WHERE np > 0 AND nn > 0 GROUP BY kind"""
 
 #: The best F1 over the curve of scores at or above each score; among equal ones the lowest score.
-_CURVE = """SELECT s AS thr, 2e0 * tp / (seen + pos) AS f1 FROM (SELECT s, SUM(p) OVER (ORDER BY s DESC) AS tp, SUM(n) OVER (ORDER BY s DESC) AS seen, SUM(p) OVER () AS pos
-    FROM (SELECT s, SUM(y) AS p, COUNT(*) AS n FROM {benchmark_scores} b GROUP BY s) c) d"""
-_PAIR_BEST = f"SELECT thr, f1 FROM (SELECT thr, f1, row_number() OVER (ORDER BY round(f1, 9) DESC, thr) AS k FROM ({_CURVE}) e) g WHERE k = 1"
+_CURVE_OF = """SELECT s AS thr, 2e0 * tp / (seen + pos) AS f1 FROM (SELECT s, SUM(p) OVER (ORDER BY s DESC) AS tp, SUM(n) OVER (ORDER BY s DESC) AS seen, SUM(p) OVER () AS pos
+    FROM (SELECT s, SUM(y) AS p, COUNT(*) AS n FROM # b GROUP BY s) c) d"""
+_PAIR_BEST, _VAL_PAIR_BEST = (f"SELECT thr, f1 FROM (SELECT thr, f1, row_number() OVER (ORDER BY round(f1, 9) DESC, thr) AS k FROM ({_CURVE_OF.replace('#', v)}) e) g WHERE k = 1" for v in ("{benchmark_scores}", "{val_pairs}"))
+_TEST_AUC = f"SELECT {_AUC} AS auc FROM (SELECT y, rank() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2e0 AS r, CAST(SUM(y) OVER () AS DOUBLE) AS np, CAST(SUM(1 - y) OVER () AS DOUBLE) AS nn FROM {{test_pairs}} t) q"
 
 _SLICES = (
     ("all true matches", "FN", "1 = 1"),
@@ -148,6 +163,11 @@ QUERIES = {
     "pair_best_threshold": f"SELECT thr, round(f1, 9) AS f1 FROM ({_PAIR_BEST}) b",
     "embedding_evaluation": f"""SELECT p.thr AS pair_thr, round(p.f1, 6) AS pair_f1, round(k.auc, 6) AS pair_auc, round(r.t, 6) AS retr_thr, round(r.f1, 6) AS retr_f1, round(r.prec, 6) AS retr_prec, round(r.rec, 6) AS retr_rec
         FROM ({_PAIR_BEST}) p CROSS JOIN ({_BEST}) r CROSS JOIN (SELECT AVG(auc) AS auc FROM ({_BY_KIND}) x) k""",
+    # thresholds from the val rows, figures of the test rows at these thresholds
+    "embedding_val_test": f"""SELECT round(v.thr, 6) AS pair_thr, round(v.f1, 6) AS pair_f1_val, round(a.auc, 6) AS pair_auc, round(t.hit * 1e0 / greatest(t.found, 1), 6) AS pair_prec, round(t.hit * 1e0 / greatest(t.pos, 1), 6) AS pair_rec,
+        round(2e0 * t.hit / greatest(t.found + t.pos, 1), 6) AS pair_f1, round(r.t, 6) AS retr_thr, round(r.f1, 6) AS retr_f1, round(r.prec, 6) AS retr_prec, round(r.rec, 6) AS retr_rec
+        FROM ({_VAL_PAIR_BEST}) v CROSS JOIN ({_TEST_AUC}) a CROSS JOIN (SELECT SUM(CASE WHEN s >= thr THEN y ELSE 0 END) AS hit, SUM(CASE WHEN s >= thr THEN 1 ELSE 0 END) AS found, SUM(y) AS pos
+        FROM {{test_pairs}} p CROSS JOIN ({_VAL_PAIR_BEST}) b) t CROSS JOIN ({_at_threshold(f"SELECT t FROM ({_VAL_BEST}) b", _TEST)}) r""",
     "fusion_sweep": """SELECT w, COUNT(CASE WHEN f >= 0.6e0 THEN 1 END) AS kept, COUNT(CASE WHEN f >= 0.6e0 AND y = 1 THEN 1 END) AS hits FROM (
         SELECT CAST(w AS BIGINT) AS w, y, round(w / 20e0 * st + (1 - w / 20e0) * si, 6) AS f FROM {product_scores} s CROSS JOIN (SELECT @each(@range(0, 20)) AS w) g) q GROUP BY w""",
     "feature_ablation": """SELECT part, round(AVG(CASE WHEN y = 1 THEN x END) - AVG(CASE WHEN y = 0 THEN x END), 6) AS gap, CASE WHEN AVG(CASE WHEN y = 1 THEN x END) - AVG(CASE WHEN y = 0 THEN x END) > 0.002e0 THEN 'helps'
@@ -164,8 +184,9 @@ QUERIES = {
     # true matches of the rows asked for that no retriever found
     "missed_matches": """SELECT a.id AS i, b.id AS j FROM {products} a JOIN {products} b ON b.grp = a.grp AND b.id <> a.id
         WHERE a.id % 50 = 0 AND NOT EXISTS (SELECT 1 FROM {product_candidates} p WHERE p.i = a.id AND p.j = b.id)""",
+    # the nearest and the farthest member of the whole group by hash, found or not
     "group_extremes": """SELECT i, min_by(j, CAST(ham AS BIGINT) * 1000000000 + j) AS nearest, max_by(j, CAST(ham AS BIGINT) * 1000000000 - j) AS farthest, MIN(ham) AS least, MAX(ham) AS most
-        FROM {product_features} f WHERE y = 1 GROUP BY i""",
+        FROM (SELECT a.id AS i, b.id AS j, @bits(a.b1, b.b1) + @bits(a.b2, b.b2) AS ham FROM {product_words} a JOIN {product_words} b ON b.grp = a.grp AND b.id <> a.id WHERE a.id % 50 = 0) f GROUP BY i""",
 }
 
 
