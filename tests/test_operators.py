@@ -58,8 +58,35 @@ def test_whitened_components_are_uncorrelated(spark):
 def test_clustered_index_finds_most_neighbours(spark):
     from quern.plans.registry import QUERIES
 
-    recall = [r.recall for r in QUERIES["ann_recall"](spark, "/root/testdata/sf0.001").collect()]
-    assert len(recall) == 10 and np.mean(recall) >= 0.6
+    for size, asked in (("sf0.001", 10), ("sf0.1", 40)):
+        recall = [r.recall for r in QUERIES["ann_recall"](spark, f"/root/testdata/{size}").collect()]
+        assert len(recall) == asked and np.mean(recall) >= 0.9, size
+
+
+def test_probes_are_measured():
+    from quern.operators import approximate
+
+    rng = np.random.default_rng(2)
+    centres = np.eye(6)
+    apart = np.repeat(centres, 30, axis=0) + rng.normal(0, 0.01, (180, 6))
+    assert approximate.probes_for(rng.permutation(apart), centres, 5, 0.99) == 1
+    assert approximate.probes_for(rng.normal(size=(300, 6)), centres, 5, 1.0) > 2
+    assert approximate.probes_for(apart[:1], centres, 5, 0.9) == 6
+
+
+def test_sparse_join_in_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, {int(t): float(w) for t, w in zip(rng.choice(40, rng.integers(0, 9), replace=False), rng.random(9))}) for i in range(50)]
+    df = spark.createDataFrame([(i, list(v.items()) if i else None) for i, v in rows], "id long, vector array<struct<term: long, weight: double>>")
+    rows[0] = (0, {})
+    want = set()
+    for i, a in rows:
+        found = sorted(((-round(sum(w * b.get(t, 0) for t, w in a.items()), 6), j) for j, b in rows if j != i), key=lambda x: x)
+        want |= {(i, j, -s) for s, j in [x for x in found if x[0] < 0][:4]}
+    for block in (1 << 20, 2000):
+        got = {(r.i, r.j, r.sim) for r in similarity.sparse_join(df, df, 4, block_bytes=block).collect()}
+        assert got == want
+    assert similarity.sparse_join(df.limit(0), df, 4).count() == 0
 
 
 def test_generated_tables(spark):
