@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.text_stats import kept_apart
-from quern.llm.token_counts import byte_letters
+from quern.llm.token_counts import PIECES, byte_letters, follows_ranks, unsure
 from quern.llm.workers import released
 from quern.llm.wordhash import mix
 
@@ -53,7 +53,9 @@ COUNTS, POSTINGS, DOCUMENT = 0, 1, 2
 class Side:
     """One vocabulary: ids of texts, and the bytes of each id."""
 
-    def __init__(self, raw: bytes, kind: str):
+    def __init__(self, raw: bytes, kind: str, ranked: bool = False):
+        """ranked: merging whatever pair makes the earliest token gives the same ids as the .json's list of merges (see
+        follows_ranks), so that the faster library of the two may encode."""
         if kind == "json":
             from tokenizers import Tokenizer
 
@@ -64,7 +66,13 @@ class Side:
             self.bytes = [b""] * (max(vocab.values()) + 1)
             for token, i in vocab.items():
                 self.bytes[i] = bytes(value[c] for c in token) if all(c in value for c in token) else token.encode()
-            self.encode = lambda texts: [e.ids for e in self.library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            self.by_rank = None
+            if ranked:
+                import tiktoken
+
+                plain = self.library.get_vocab(with_added_tokens=False).values()
+                self.by_rank = tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks={self.bytes[i]: i for i in plain}, special_tokens={})
+            self.encode = lambda texts: [self._behind_space(t) for t in texts]
         else:
             from sentencepiece import SentencePieceProcessor
 
@@ -81,6 +89,11 @@ class Side:
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode()
 
+    def _behind_space(self, text: str) -> list[int]:
+        if self.by_rank is not None and (text.isascii() or not unsure(text)):
+            return self.by_rank.encode_ordinary(" " + text)
+        return self.library.encode(" " + text, add_special_tokens=False).ids
+
     def joined(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -234,7 +247,7 @@ def _sides(sent_a, sent_b, cache: dict = {}) -> tuple[Side, Side]:  # noqa: B006
     key = (sent_a.value[0], sent_b.value[0])
     if key not in cache:
         cache.clear()
-        cache[key] = (Side(sent_a.value[1], "json"), Side(sent_b.value[1], "model"))
+        cache[key] = (Side(sent_a.value[1], "json", sent_a.value[2]), Side(sent_b.value[1], "model"))
     return cache[key]
 
 
@@ -257,7 +270,7 @@ def align(df: DataFrame, json_path: str, model_path: str, text: str = "text", ke
     digest_a, raw = _read(json_path)
     if (json.loads(raw)["model"]["type"], json.loads(raw)["pre_tokenizer"]["type"]) != ("BPE", "ByteLevel"):
         raise ValueError("side A is not a byte-level vocabulary")
-    sent_a, sent_b = context.broadcast((digest_a, raw)), context.broadcast(_read(model_path))
+    sent_a, sent_b = context.broadcast((digest_a, raw, follows_ranks(json_path))), context.broadcast(_read(model_path))
     wanted = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(MOST_BUCKETS, max(BUCKETS, wanted // SPLITS))
     splits = max(SPLITS, -(-wanted // buckets))

@@ -68,12 +68,12 @@ def test_counts_of_the_query(spark):
 
 
 def test_the_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(token_counts, "CACHED", 8)
+    monkeypatch.setattr(token_counts, "HALF_CACHE", 8)
     monkeypatch.setattr(token_counts, "LIST_CHARS", 10)
     counter, t = token_counts.Counter(token_counts.read_vocabulary(model_path("byte_bpe_50k.json"))), library()
     for x in odd_texts(80):
         assert counter.count(x) == len(t.encode(x, add_special_tokens=False).ids)
-        assert len(counter) <= 8
+        assert len(counter) <= 8 and len(counter.older) <= 8
 
 
 def brute_alignment(texts):
@@ -124,6 +124,15 @@ def brute_alignment(texts):
     return out
 
 
+def test_both_libraries_encode_alike():
+    path = model_path("byte_bpe_50k.json")
+    assert token_counts.follows_ranks(path)
+    with open(path, "rb") as f:
+        side = token_alignment.Side(f.read(), "json", True)
+    texts = odd_texts(1500)
+    assert side.encode(texts) == [side.library.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
