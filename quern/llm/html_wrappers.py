@@ -16,8 +16,10 @@ wrapper of their page alone.
 
 Which slots are main text is the wrapper's decision first. Every slot counts the characters of its texts. From the root down,
 the region moves into the element that holds REGION_PERCENT of the host's varying, unlinked text, while there is one that
-isn't repeated and has elements of its own; it stops at an element that calls itself article or content. Pages of a host
-with MIN_TEMPLATE_PAGES whose texts vary take the slots of that region, and varying headings outside it.
+isn't repeated and has elements of its own; it stops at an element that calls itself article or content. The region's own
+siblings stay with it where they have varying, unlinked text in no part that is no article's: an opening paragraph or a note
+at the end is as much the article's as its body. Further out, only siblings do that call themselves such (LEAD_WORDS). Pages
+of a host with MIN_TEMPLATE_PAGES whose texts vary take the slots of all these, and varying headings outside.
 
 Inside the region, and on hosts with fewer or equal pages, what parts of the page are called decides the rest: text inside
 article or main elements, else inside content elements, else every slot that is neither in a list of links nor template
@@ -85,6 +87,7 @@ OTHER_WORDS = frozenset(
     login search pagination pager toolbar copyright disclaimer form""".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+LEAD_WORDS = frozenset("lead lede standfirst summary intro introduction abstract dek deck excerpt teaser caption endnote endnotes footnote footnotes postscript".split())
 MAIN_WORDS = frozenset("content main article post entry story body text page wrapper container layout".split())
 
 
@@ -377,29 +380,31 @@ def _mass(w: list, least: float) -> int:
     return sum(_mass(k, least) for k in w[3])
 
 
-def region(row: list, least: float) -> list | None:
-    """The element that holds the host's main text, as far down as its text is REGION_PERCENT of its siblings' too."""
-    found = None
+def region(row: list, least: float) -> tuple[list | None, list]:
+    """The element that holds the host's main text, as far down as its text is REGION_PERCENT of its siblings' too; and what
+    stays with it: its own siblings with such text, and siblings of the elements around it that LEAD_WORDS name."""
+    found, near, named = None, [], []
     while True:
         masses = [_mass(w, least) for w in row]
         best = max(range(len(row)), key=masses.__getitem__, default=-1)
         if best < 0 or not masses[best] or 100 * masses[best] < REGION_PERCENT * sum(masses):
-            return found
+            return found, near + named
         w = row[best]
         if w[0] != "e" or w[2] & 2 or all(k[0] == "#" for k in w[3]):
-            return found
-        found, row = w, w[3]
+            return found, near + named
+        named += [k for k in near if k[0] == "e" and {t.lower() for t in _TOKEN.findall(k[1])} & LEAD_WORDS]
+        found, near, row = w, [k for i, k in enumerate(row) if i != best and masses[i]], w[3]
         article, content, _ = _part(w[1])
         if article or content:
-            return found
+            return found, near + named
 
 
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 
 
-def _judge(row: list, inside: int, other: bool, in_list: bool, least: float, main: list | None = None, within: bool = False, heading: bool = False) -> list:
+def _judge(row: list, inside: int, other: bool, in_list: bool, least: float, main: list | None = None, within: bool = False, heading: bool = False, beside: tuple = ()) -> list:
     """The wrapper with, for each slot, the ways in which it is main text: 1 in an article, 2 in content, 4 elsewhere; and 8
-    in the region `main`, or in a heading whose text varies.
+    in the region `main`, in a sibling of it in `beside`, or in a heading whose text varies.
 
     A slot's text stays if it is template text, which `least` pages have. Elements tell whether they are in a list of links
     (1), and whether they are in the region (8).
@@ -407,16 +412,16 @@ def _judge(row: list, inside: int, other: bool, in_list: bool, least: float, mai
     out = []
     for w in row:
         kind, label, flags, kids, text, support, _ = w
-        here = within or w is main
+        here = within or w is main or any(w is b for b in beside)
         if kind == "e":
             name = label.split("|")[0]
             article, content, no = _part(label)
             no = no or (name == "header" and not inside & 1)
             linked = in_list or (not inside and bool(flags & 2) and _all_linked(kids))
-            inner = _judge(kids, inside | (1 if article else 0) | (2 if content else 0), other or no, linked, least, main, here, name in HEADINGS)
+            inner = _judge(kids, inside | (1 if article else 0) | (2 if content else 0), other or no, linked, least, main, here, name in HEADINGS, beside)
             out.append([kind, label, flags, inner, None, (1 if linked else 0) | (8 if here else 0)])
         elif kind == "g":
-            out.append([kind, label, flags, _judge(kids, inside, other, in_list or (not inside and _all_linked(kids)), least, main, here, heading), None, 0])
+            out.append([kind, label, flags, _judge(kids, inside, other, in_list or (not inside and _all_linked(kids)), least, main, here, heading, beside), None, 0])
         else:
             template = text if support >= least else None
             ways = 0 if other else (1 if inside & 1 else 0) | (2 if inside & 2 else 0) | (0 if in_list else 4)
@@ -452,8 +457,8 @@ class Wrapper:
 
     def __init__(self, pages: int, row: list, varied: bool):
         least = max(MIN_TEMPLATE_PAGES, pages // 2 + 1) if varied or _varies(row) else float("inf")
-        self.main = region(row, least) if least < float("inf") and pages >= MIN_TEMPLATE_PAGES else None
-        self.row = _flat(_judge(row, 0, False, False, least, self.main), itertools.count())
+        self.main, beside = region(row, least) if least < float("inf") and pages >= MIN_TEMPLATE_PAGES else (None, [])
+        self.row = _flat(_judge(row, 0, False, False, least, self.main, beside=tuple(beside)), itertools.count())
         self.slots = [w[4] for w in slots(row)]
 
     def texts(self, root: _Node) -> list[str]:

@@ -185,7 +185,8 @@ def fit(stats: dict[str, np.ndarray], label: np.ndarray, trees: int = 40, depth:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", id_column: str = "doc_id", max_rows: int = MAX_ROWS) -> RuleEnsemble:
     """Fits on at most max_rows labelled rows, chosen by a hash of the id; only their texts are read into the sample.
 
-    The sampled ids number at most max_rows, so that table may be broadcast. An id with several labels counts once.
+    The sampled ids number at most max_rows, so that table may be broadcast. An id with several labels counts once, by the
+    smallest; an id with several texts too, by the one with the smallest statistics in order. No other row is left out.
     """
     known = (
         labels.select(F.col(id_column).alias("__id"), F.col(label).cast("int").alias("__y"))
@@ -198,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     chosen = known.where(near < F.lit(int(share * (1 << 30)))).orderBy(near, "__id").limit(max_rows)
     rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__body")).join(F.broadcast(chosen), "__id")
     table = with_statistics(rows, "__body").withColumn("__id", F.col("__row.__id")).withColumn("__y", F.col("__row.__y")).drop("__row")
-    table = table.orderBy("__id", *[f"__s_{s}" for s in STATISTICS]).limit(2 * max_rows).toPandas()  # ids may repeat
+    first = F.min(F.struct(*[f"__s_{s}" for s in STATISTICS])).alias("first")
+    table = table.groupBy("__id", "__y").agg(first).select("__id", "__y", "first.*").orderBy("__id").toPandas()
     return fit({s: table[f"__s_{s}"].to_numpy() for s in STATISTICS}, table["__y"].to_numpy())
 
 

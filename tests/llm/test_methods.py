@@ -214,6 +214,31 @@ def test_rules_as_columns_equal_numpy(spark):
     assert ((held.score >= 0.3) == (held.doc_id % 3 > 0)).mean() > 0.95
 
 
+def test_the_sample_holds_every_label_once(spark):
+    """Repeated ids take no other id's place: with all labels of one kind last in order, and many copies of the first ids."""
+    good, bad = "the plain words of a text that is good", "BAD!!! *** "
+    rows = [(i, good) for i in range(40) for _ in range(30)] + [(i, bad * (i % 7 + 1)) for i in range(40, 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, quality int")
+    model = rule_ensemble.train(df, labels, max_rows=80)
+    got = {r.doc_id: r.score for r in rule_ensemble.with_score(df, model).collect()}
+    assert min(got[i] for i in range(40)) > 0.9 and max(got[i] for i in range(40, 80)) < 0.3
+
+
+def test_held_out_labels_never_reach_the_training(spark, tmp_path):
+    """The query's scores stay the same when all labels that it has to hold out are turned round."""
+    import zlib
+
+    from quern.llm.registry import QUERIES
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    for name, turn in (("own", ""), ("turned", "crc32(CAST(doc_id AS STRING)) % 5 = 0")):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.withColumn("quality", F.when(F.expr(turn or "false"), 1 - F.col("quality")).otherwise(F.col("quality"))).write.parquet(str(tmp_path / name / "labels.parquet"))
+    own, turned = ({r.doc_id: r.score for r in QUERIES["op4_rule_ensemble"](spark, str(tmp_path / n)).collect()} for n in ("own", "turned"))
+    assert own == turned and any(zlib.crc32(str(d).encode()) % 5 == 0 for d in own)
+
+
 def test_cascade_is_exact_over_its_universe():
     rng = random.Random(6)
     universe = {f"h{rng.randrange(10**6)}.example.org/" for _ in range(5000)}
@@ -360,6 +385,26 @@ def test_a_named_article_inside_the_region_counts(spark):
     assert extracted(spark, pages) == [f"t{i}\n{('long text ' * (i + 3)).strip()}" for i in range(6)]
 
 
+@pytest.mark.parametrize("before,after", [("lead", "endnote"), ("summary", "caption"), ("zq", "xw"), ("", "")])
+@pytest.mark.parametrize("frame", ["{}", "<div class=page>{}</div>", "<div class=shell><div class=grid>{}</div><div class=sidebar><a href=x>more</a></div></div>"])
+def test_text_beside_the_region_stays(spark, before, after, frame):
+    """An opening paragraph and a note beside the body are kept, on hosts of few pages and of many alike."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choice("amber birch cedar delta ember fjord".split()) + str(rng.randrange(999)) for _ in range(n))
+    for n in (3, 4, 8):
+        made = []
+        for _ in range(n):
+            lead, body, end = words(8), [words(70), words(70)], words(6)
+            inner = f"<div class={before}>{lead}</div><div class=copy>" + "".join(f"<p>{b}</p>" for b in body) + f"</div><div class={after}>{end}</div>"
+            made.append(("<nav><a href=y>home</a></nav>" + frame.format(inner) + "<footer>all rights</footer>", "\n".join([lead, *body, end])))
+        assert extracted(spark, [p for p, _ in made]) == [w for _, w in made], n
+
+
+def test_a_named_lead_further_out_stays(spark):
+    pages = [f"<div class=standfirst>opening {i} of it</div><div class=a1><div class=b2><p>{'long text ' * (i + 9)}</p><p>more {i}</p></div></div>" for i in range(6)]
+    assert extracted(spark, pages) == [f"opening {i} of it\n{('long text ' * (i + 9)).strip()}\nmore {i}" for i in range(6)]
+
+
 def test_wide_pages_align_in_little_time():
     rng = random.Random(2)
     name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
