@@ -47,6 +47,11 @@ def script(token: Column) -> Column:
     return F.when(token.rlike(f"^[{DEVANAGARI}]"), "dev").when(token.rlike(r"^[\p{L}\p{N}]"), "lat").otherwise("other")
 
 
+def word_like(token: Column) -> Column:
+    """Whether a token is a word: Devanagari, or letters only and more than one of them."""
+    return F.coalesce((script(token) == "dev") | ((F.length(token) > 1) & token.rlike(r"^\p{L}+$")), F.lit(False))
+
+
 def content_words(tokens: Column, least: int = 4, least_devanagari: int = 3) -> Column:
     """Words that aren't stop words: of Devanagari with least_devanagari code points, else of letters only with least."""
 
@@ -75,7 +80,7 @@ def overlap_share(reply: Column, source: Column) -> Column:
 
 def english_share(mixed: Column, english: Column) -> Column:
     """Share of a turn's words that its English version has too; Devanagari words count below only; null without words."""
-    words = F.filter(mixed, lambda t: (script(t) == "dev") | ((F.length(t) > 1) & t.rlike(r"^\p{L}+$")))
+    words = F.filter(mixed, word_like)
     return F.try_divide(F.size(F.filter(words, lambda t: (script(t) == "lat") & F.array_contains(english, t))).cast("double"), F.size(words))
 
 

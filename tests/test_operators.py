@@ -1,6 +1,7 @@
 """Operators on small hand-made tables."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quern.operators import graph, similarity, text
 from quern.streaming import sessions
@@ -97,3 +98,10 @@ def test_generated_tables(spark):
     assert made.repartition(7).exceptAll(synthetic.ratings(spark, 20, 30, 1000)).count() == 0
     sizes = {r["count"] for r in synthetic.listings(spark, 50).groupBy("label_group").count().collect()}
     assert sizes <= {1, 2, 3, 4, 5} and len(sizes) > 2
+    pairs = synthetic.parallel(spark, 300)
+    assert pairs.count() == 300 and 50 < pairs.select("src").distinct().count() < 300
+    assert pairs.select("src").distinct().count() == pairs.distinct().select("src", "tgt").distinct().count()  # a sentence has one translation
+    assert pairs.repartition(5).exceptAll(synthetic.parallel(spark, 300)).count() == 0
+    talk = synthetic.dialogue(spark, 40)
+    assert talk.groupBy("conversation_id").agg(F.countDistinct("docIdx").alias("d"), F.countDistinct("uid").alias("u")).where("d <> 1 OR u <> 2").count() == 0
+    assert {r["count"] for r in talk.groupBy("conversation_id").count().collect()} <= {4, 5, 6, 7, 8}

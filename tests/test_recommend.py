@@ -74,8 +74,33 @@ def test_a_row_counts_as_its_own_match(spark):
     assert np.isclose(r.prec, np.mean([1, 1 / 2, 1])) and np.isclose(r.rec, np.mean([1, 1 / 2, 1])) and np.isclose(r.f1, np.mean([1, 2 / 4, 1]), atol=1e-8)
 
 
-def test_learned_scores_beat_chance(spark):
+def test_learned_scores_find_a_planted_signal(spark, tmp_path):
+    """Rows like the click view's, whose label follows the first number and the category; held-out scores are far from chance."""
+    rng = np.random.default_rng(3)
+    n = 2500
+    quantity, status = rng.integers(1, 51, n), rng.choice(["F", "O"], n)
+    flag = np.where(rng.random(n) < 1 / (1 + np.exp(-(quantity - 25) / 6.0 - np.where(status == "F", 1.5, -1.5))), "R", "N")
+    rows = [(int(k), int(k % 7), int(q), float(q), 1000.0 + k % 900, s, f) for k, q, s, f in zip(range(n), quantity, status, flag)]
+    schema = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_linestatus string, l_returnflag string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
     for name in ("logreg_auc", "fm_auc", "mlp_auc", "gbt_auc"):
-        assert 0.4 < QUERIES[name](spark, SF).first().auc <= 1
+        assert 0.7 < QUERIES[name](spark, str(tmp_path)).first().auc <= 1, name
+    grid = QUERIES["model_grid"](spark, str(tmp_path)).collect()
+    assert len(grid) == 3 and all(r["mean"] < 0.6 and r["std"] < 0.1 for r in grid)
+    models = {r.model: r for r in QUERIES["click_models"](spark, str(tmp_path)).collect()}
+    assert all(m.auc > 0.7 and m.log_loss < 0.69 for m in models.values()) and models["categories"].auc > models["numbers"].auc
+    chosen = [r for r in QUERIES["click_selection"](spark, str(tmp_path)).collect() if r.chosen]
+    assert len(chosen) == 1 and chosen[0].test_auc > 0.7 and chosen[0].val_loss == min(r.val_loss for r in QUERIES["click_selection"](spark, str(tmp_path)).collect())
+
+
+def test_factors_of_the_library(spark):
     spread = in_spark("SELECT stddev_pop(rating) AS s FROM {ratings} t")(spark, SF).first().s
     assert QUERIES["als_rmse"](spark, SF).first().rmse < 1.5 * spread
+    assert {r.model for r in QUERIES["biased_factors"](spark, SF).collect()} == {"factors", "biases"}
+
+
+def test_pair_models(spark):
+    """Groups of products are told apart by title features; sets without text lose most."""
+    rows = {r.features: r for r in QUERIES["ablation_refit"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(rows) == 8 and rows["all"].auc > 0.6 and rows["all"].gain == 0
+    assert QUERIES["pair_boosting"](spark, "/root/testdata/sf0.01").first().auc > 0.6

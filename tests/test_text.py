@@ -30,6 +30,21 @@ def test_chat_tokens(spark):
     assert {r.id: (r.o, r.s) for r in shares}[0] == (0.5, 2 / 3) and {r.id: (r.o, r.s) for r in shares}[5] == (None, None)
 
 
+def test_word_like(spark):
+    rows = [("ab", True), ("a", False), ("क", True), ("a1", False), ("'s", False), ("é", False), ("éa", True), ("", False), (None, False)]
+    df = spark.createDataFrame(rows, "t string, want boolean")
+    assert df.where(chat_text.word_like(F.col("t")) != F.col("want")).count() == 0
+
+
+def test_titles_are_compatibility_composed(spark):
+    """Full-width letters, ligatures and split accents, which the compatibility form folds and the canonical one doesn't."""
+    from quern.functions import titles
+
+    rows = [("ＡＢ１２　cd", "ab12 cd"), ("ﬁne_print", "fine print"), ("e\u0301tude", "\u00e9tude"), ("x² ™", "x2 tm"), ("  ", ""), (None, "")]
+    got = spark.createDataFrame(rows, "t string, want string").select(titles.normalize(F.col("t")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
 def test_lcs(spark):
     rng = random.Random(1)
     rows = [(i, *([rng.choice("abcd") for _ in range(rng.randrange(90))] for _ in "xy")) for i in range(40)] + [(40, None, ["a"]), (41, [], [])]
