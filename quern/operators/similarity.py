@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import ensure_checkpoint_dir
+
 BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
 METRICS = ("cosine", "dot", "l2")
 
@@ -74,8 +76,12 @@ def sparse_join(queries: DataFrame, base: DataFrame, k: int, id_column: str = "i
     only the best k of each query and batch are shuffled. Frequent terms are columns like all others, never a join key.
     """
     spark = queries.sparkSession
+    queries, base = (df.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull()) for df in (queries, base))
     sized = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()
     blocks = max(1, math.ceil(math.sqrt(8 * sized[0] * sized[1] / block_bytes)))  # terms and queries of a block shrink alike
+    if blocks > 1:  # else each block would make the rows again
+        ensure_checkpoint_dir(spark)
+        queries, base = queries.checkpoint(), base.checkpoint()
     parts = []
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(id_column), F.lit(blocks)) == b)
@@ -103,14 +109,13 @@ def sparse_join(queries: DataFrame, base: DataFrame, k: int, id_column: str = "i
                     for r in range(lo, hi):
                         mine = slice(cuts[r], cuts[r + 1])
                         sim[:, r - lo] = weight[mine] @ weights[place[mine]]
-                    sim = np.round(sim, digits)
-                    sim[(ids[:, None] == own[None, lo:hi]) | (sim <= 0)] = -np.inf
+                    sim = np.where((ids[:, None] == own[None, lo:hi]) | (sim <= 0), -np.inf, np.round(sim, digits))
                     order = np.lexsort((np.broadcast_to(own[lo:hi], sim.shape), -sim), axis=1)[:, :k]
                     i, s = np.repeat(ids, order.shape[1]), np.take_along_axis(sim, order, 1).ravel()
                     keep = np.isfinite(s)
                     yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(own[lo:hi][order].ravel()[keep]), pa.array(s[keep])], names=["i", "j", "sim"])
 
-        parts.append(base.where(F.col(vector).isNotNull()).select(F.col(id_column).cast("long"), vector).mapInArrow(run, "i long, j long, sim double"))
+        parts.append(base.select(F.col(id_column).cast("long"), vector).mapInArrow(run, "i long, j long, sim double"))
     if not parts:
         return spark.createDataFrame([], "i long, j long, sim double, rank int")
     best = Window.partitionBy("i").orderBy(F.desc("sim"), "j")

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Rows (query, term, weight) that may be broadcast, some tens of MB; beyond that, queries and index are joined by term.
-BROADCAST_ROWS = 500_000
+from quern.operators import similarity
 
 
 def tokens(text: Column) -> Column:
@@ -24,12 +22,11 @@ def tfidf(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(q, id, score, rank): the k best rows of a TF-IDF index for each query by shared terms."""
-    small = queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then the index needs no shuffle by term
-    asked = queries.select(F.col("id").alias("q"), "term", F.col("weight").alias("wq"))
-    scores = index.join(F.broadcast(asked) if small else asked, "term").where("q <> id").groupBy("q", "id").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    """(q, id, score, rank): the k best rows of a TF-IDF index (id, term, weight) for each query by shared terms, itself
+    excluded. Rows become sparse vectors, which tasks multiply with blocks of queries: no join by term."""
+    whole = lambda df: df.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("term"), "weight")).alias("vector"))  # noqa: E731 - a row's own terms
+    near = similarity.sparse_join(whole(queries), whole(index), k)
+    return near.select(F.col("i").alias("q"), F.col("j").alias("id"), F.col("sim").alias("score"), "rank")
 
 
 def ngrams(words: Column, n: int) -> Column:
