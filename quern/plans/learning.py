@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import sequences
-from quern.operators import beam, click, corpus_split, factors, selection, similarity, skipgram, text
+from quern.operators import beam, click, corpus_split, effects, factors, graph, selection, similarity, skipgram, text
 from quern.operators.scores import auc_by
 from quern.sources.tables import table
 from quern.streaming import changes
@@ -166,10 +166,32 @@ def flat_event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT event_id, place, path, value FROM quern_events, LATERAL flat_values(props)")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (biased_factors, click_models, click_selection, skipgram_neighbours, beam_replies, ablation_refit, pair_boosting, conversation_split, stream_change_sessions, flat_event_values)}
+ROUNDS = 4
 
+
+def word_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the words of products' names, types and brands that stand side by side in the same product."""
+    words = table(spark, sf_dir, "part").select("p_partkey", F.array_distinct(text.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand"))).alias("w"))
+    pairs = words.select(F.explode("w").alias("u"), "w").select("u", F.explode("w").alias("v")).where("u < v")
+    return graph.label_propagation(pairs.groupBy("u", "v").agg(F.count("*").alias("w")), ROUNDS)
+
+
+def quantity_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effect of a discount of five hundredths or more on the quantity, beside tax, price and ship month."""
+    lines = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_discount") >= 0.05).cast("int").alias("much"), "l_tax", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.month("l_shipdate").alias("month"))
+    found = effects.effect(lines, "l_quantity", "much", ["l_tax", "price", "month"])
+    return found.select(*[F.round(c, 4).alias(c) for c in ("effect", "error", "low", "high", "naive")], "n", "trimmed")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (word_communities, quantity_effect, biased_factors, click_models, click_selection, skipgram_neighbours, beam_replies, ablation_refit, pair_boosting, conversation_split, stream_change_sessions, flat_event_values)}
+
+_VOTES = "SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY sum(w) DESC, label) AS k FROM (SELECT e.u AS node, l.label, e.w FROM e JOIN {0} l ON l.node = e.v UNION ALL SELECT node, label, 1 FROM {0}) x GROUP BY node, label) y WHERE k = 1"
 _OWN = "CASE WHEN conv_id % 5 = 0 THEN 'val' WHEN conv_id % 5 = 1 THEN 'test' ELSE 'train' END"
 ORACLE_SQL: dict[str, str] = {
+    "word_communities": r"""WITH p AS (SELECT list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]+')) AS w FROM {part}),
+        c AS (SELECT u, v, count(*) AS w FROM (SELECT u, unnest(w) AS v FROM (SELECT unnest(w) AS u, w FROM p) a) b WHERE u < v GROUP BY u, v),
+        e AS (SELECT u, v, w FROM c UNION ALL SELECT v, u, w FROM c), l0 AS (SELECT DISTINCT u AS node, u AS label FROM e), """
+    + ", ".join(f"l{i + 1} AS ({_VOTES.format(f'l{i}')})" for i in range(ROUNDS)) + f" SELECT node, label FROM l{ROUNDS}",
     "conversation_split": f"""WITH c AS (SELECT DISTINCT conv_id FROM {{conversations}}),
         r AS (SELECT conv_id, row_number() OVER (ORDER BY md5('0-' || conv_id), conv_id) AS k, count(*) OVER () AS n FROM c),
         a AS (SELECT conv_id, CASE WHEN k <= floor(n * 0.1::DOUBLE) THEN 'test' WHEN k <= 2 * floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM r)
