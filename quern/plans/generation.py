@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import chat_text
 from quern.operators import corpus_split, matching, scores, text
-from quern.plans.shaped import _PAIRS, _TOK, _matches_sql, _pairs
+from quern.plans.shaped import _PAIRS, _T, _TFIDF, _TOK, _matches_sql, _pairs
 from quern.session import ensure_checkpoint_dir
 from quern.sources.tables import table
 
@@ -127,7 +127,15 @@ _SHORT = "100 * (CASE WHEN t1 > ref THEN 1 ELSE exp(1 - ref::DOUBLE / t1) END)"
 _TOTALS = "sum(m1) AS m1, sum(m2) AS m2, sum(m3) AS m3, sum(m4) AS m4, sum(t1) AS t1, sum(t2) AS t2, sum(t3) AS t3, sum(t4) AS t4, sum(ref) AS ref"
 _WORDS = "unnest(list_distinct({}))".format(_TOK.format("text"))
 
+_REPLIES = _TFIDF.replace(f"({_T}) t", f"(SELECT id, src AS title FROM ({_PAIRS}) p0) t").replace("FROM {documents})", f"FROM ({_PAIRS}) p1)")
+
 ORACLE_SQL: dict[str, str] = {
+    "retrieval_reply_baseline": f"""{_REPLIES}, p AS (SELECT id, tgt FROM ({_PAIRS}) p2), s AS (SELECT a.id AS q, b.id AS id, round(sum(a.weight * b.weight), 6) AS score FROM idx a JOIN idx b ON a.term = b.term AND a.id <> b.id WHERE a.id % 50 = 0 GROUP BY 1, 2),
+        k AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS k FROM s) SELECT p.id, k.id AS found, coalesce(r.tgt, '') AS reply FROM p LEFT JOIN k ON k.q = p.id AND k = 1 LEFT JOIN p r ON r.id = k.id WHERE p.id % 50 = 0""",
+    "corpus_parts": f"""WITH t AS (SELECT min(id) AS id FROM (SELECT id, {_TOK.format('src')} AS a, {_TOK.format('tgt')} AS b FROM ({_PAIRS}) p) x WHERE len(a) BETWEEN 1 AND 1000 AND len(b) BETWEEN 1 AND 1000 GROUP BY a, b),
+        v AS (SELECT id, row_number() OVER (ORDER BY md5('val-' || id), id) <= greatest(1, floor(0.05::DOUBLE * count(*) OVER ())) AS moved FROM t),
+        w AS (SELECT id, row_number() OVER (ORDER BY md5('test-' || id), id) <= greatest(1, floor(0.05::DOUBLE * count(*) OVER ())) AS moved FROM v WHERE NOT moved)
+        SELECT id, 'val' AS split FROM v WHERE moved UNION ALL SELECT id, CASE WHEN moved THEN 'test' ELSE 'train' END AS split FROM w""",
     "corpus_bleu": f"SELECT round({_BLEU}, 6) AS bleu, t1::BIGINT AS hyp_len, ref::BIGINT AS ref_len FROM (SELECT {_TOTALS} FROM ({_SUMS}) s) t",
     "sentence_bleu": f"SELECT id, round({_BLEU}, 6)::DOUBLE AS bleu FROM ({_SUMS}) s",
     "bleu_by_length": f"SELECT bucket, n, round({_BLEU}, 6)::DOUBLE AS bleu FROM (SELECT CASE WHEN ref < 10 THEN '0-9' WHEN ref < 20 THEN '10-19' WHEN ref < 40 THEN '20-39' ELSE '40+' END AS bucket, count(*) AS n, {_TOTALS.replace('sum(ref) AS ref', 'sum(ref) AS ref')} FROM ({_SUMS.replace('AS ref', 'AS ref')}) s GROUP BY 1 HAVING count(*) >= 5) t",
