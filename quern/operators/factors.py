@@ -8,12 +8,18 @@ averaged by their ratings: a user or item with a third of all ratings is spread
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import rounds
 
+#: About so many ratings lie in a block.
+BLOCK_ROWS = 200_000
+#: Numbers of blocks that one pair of parts may have.
+MOST_SPLITS = 1 << 20
 #: A vector that occurs often in one small batch takes at most so many steps at once.
 STEPS_AT_ONCE = 8
 
@@ -77,24 +83,26 @@ class Factorisation:
         return self.scored(part).agg(F.sqrt(F.sum(F.col("n") * (F.col("y") - F.col("score")) ** 2) / F.sum("n")).alias("rmse"))
 
 
-def fit(ratings: DataFrame, factors: int = 8, epochs: int = 8, patience: int = 2, parts: int = 2, split: int = 2, lr: float = 0.02, reg: float = 0.05, passes: int = 2, batch: int = 64, seed: int = 0, least: float = 1.0, most: float = 5.0) -> Factorisation:
+def fit(ratings: DataFrame, factors: int = 8, epochs: int = 8, patience: int = 2, parts: int | None = None, split: int = 2, lr: float = 0.02, reg: float = 0.05, passes: int = 2, batch: int = 64, seed: int = 0, least: float = 1.0, most: float = 5.0, block_rows: int = BLOCK_ROWS) -> Factorisation:
     """Factors of ratings (u, i, rating, part: train, val or others), trained on `train`, stopped on `val`.
 
     Rows with a null user, item or rating are left out; without training rows the mean is 0. Users and items that training
-    never met keep a bias of 0 and a near-zero vector. `parts` times `split` blocks are trained at once; a block holds
-    about ratings / (parts * parts * split) rows, so parts grow with the root of the ratings.
+    never met keep a bias of 0 and a near-zero vector. Parts grow with the root of the ratings unless given; a pair of parts
+    has as many blocks as its own ratings need, `split` at least, so that a hot item's pairs have more.
     """
     rows = ratings.where("u IS NOT NULL AND i IS NOT NULL AND rating IS NOT NULL")
-    mu = rows.where(F.col("part") == rounds.TRAIN).agg(F.avg("rating")).first()[0] or 0.0
+    n, mu = rows.agg(F.count("*"), F.avg(F.when(F.col("part") == rounds.TRAIN, F.col("rating")))).first()
+    parts = parts or max(2, math.ceil(math.sqrt(n / (split * block_rows))))
     user, item = F.xxhash64(F.lit("u"), "u"), F.xxhash64(F.lit("i"), "i")
-    a, b = F.pmod(user, F.lit(parts)), F.pmod(item, F.lit(parts))
-    sub = F.pmod(F.xxhash64("u", "i", F.lit(seed)), F.lit(split))
-    dealt = rows.select(F.xxhash64("u", "i").alias("id"), "part", ((a * parts + b) * split + sub).alias("block"), F.array(user, item).alias("features"), F.array(F.col("rating").cast("double")).alias("dense"))
+    paired = rows.withColumn("pair", F.pmod(user, F.lit(parts)) * parts + F.pmod(item, F.lit(parts)))
+    splits = paired.groupBy("pair").agg(F.greatest(F.lit(split), F.ceil(F.count("*") / block_rows)).alias("splits"))  # parts * parts rows
+    sub = F.pmod(F.xxhash64("u", "i", F.lit(seed)), F.col("splits"))
+    dealt = paired.join(splits, "pair").select(F.xxhash64("u", "i").alias("id"), "part", (F.col("pair") * MOST_SPLITS + sub).alias("block"), F.array(user, item).alias("features"), F.array(F.col("rating").cast("double")).alias("dense"))
     blocks = rounds.Blocks(dealt)
-    setting = {"factors": factors, "lr": lr, "reg": reg, "passes": passes, "batch": batch, "seed": seed, "mu": float(mu), "least": least, "most": most}
+    setting = {"factors": factors, "lr": lr, "reg": reg, "passes": passes, "batch": batch, "seed": seed, "mu": float(mu or 0.0), "least": least, "most": most}
 
     def active(number: int):
-        pair = F.floor(F.col("block") / split)
+        pair = F.floor(F.col("block") / MOST_SPLITS)
         return (F.col("part") != rounds.TRAIN) | (F.pmod(pair % parts - F.floor(pair / parts), F.lit(parts)) == number % parts)
 
     fitted = rounds.fit(blocks, MODEL, [setting], epochs * parts, patience, active=active, every=parts)

@@ -42,6 +42,16 @@ def test_factorisation_beats_biases_for_any_partitioning(spark):
     assert abs(factors.fit(df.repartition(11), epochs=8).rmse("test").first().rmse - got) < 1e-9
 
 
+def test_a_hot_item_has_more_blocks(spark):
+    rows = planted_ratings(2, n=2000)
+    model = factors.fit(spark.createDataFrame(rows), epochs=1, block_rows=100)
+    sizes = [r["count"] for r in model.blocks.table.selectExpr("part", "block", "size(rows) AS count").collect()]
+    pairs = {}
+    for r in model.blocks.table.select("block").distinct().collect():
+        pairs[r.block // factors.MOST_SPLITS] = pairs.get(r.block // factors.MOST_SPLITS, 0) + 1
+    assert sum(sizes) <= 2000 and max(sizes) < 200 and len(pairs) == 16 and max(pairs.values()) >= 2 * min(pairs.values())
+
+
 def test_factorisation_on_odd_rows(spark):
     df = spark.createDataFrame([(1, 1, 5.0, "train"), (1, 1, 5.0, "train"), (None, 1, 1.0, "train"), (1, None, 1.0, "train"), (1, 2, None, "train"), (7, 8, 1.0, "test")], "u long, i long, rating double, part string")
     model = factors.fit(df, epochs=1)
