@@ -120,6 +120,7 @@ _CURVE_OF = """SELECT s AS thr, 2e0 * tp / (seen + pos) AS f1 FROM (SELECT s, SU
 _PAIR_BEST, _VAL_PAIR_BEST = (f"SELECT thr, f1 FROM (SELECT thr, f1, row_number() OVER (ORDER BY round(f1, 9) DESC, thr) AS k FROM ({_CURVE_OF.replace('#', v)}) e) g WHERE k = 1" for v in ("{benchmark_scores}", "{val_pairs}"))
 _TEST_AUC = f"SELECT {_AUC} AS auc FROM (SELECT y, rank() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2e0 AS r, CAST(SUM(y) OVER () AS DOUBLE) AS np, CAST(SUM(1 - y) OVER () AS DOUBLE) AS nn FROM {{test_pairs}} t) q"
 
+# The names of slices and error classes in reports.
 _SLICES = (
     ("all true matches", "FN", "1 = 1"),
     ("true matches with a very short title", "FN", "min_words <= 2"),
