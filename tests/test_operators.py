@@ -105,3 +105,35 @@ def test_generated_tables(spark):
     talk = synthetic.dialogue(spark, 40)
     assert talk.groupBy("conversation_id").agg(F.countDistinct("docIdx").alias("d"), F.countDistinct("uid").alias("u")).where("d <> 1 OR u <> 2").count() == 0
     assert {r["count"] for r in talk.groupBy("conversation_id").count().collect()} <= {4, 5, 6, 7, 8}
+
+
+def test_best_rows_of_a_block_hold_few_similarities():
+    rng = np.random.default_rng(5)
+    ids, own, sim = np.arange(0, 90, 3), rng.permutation(4000), np.round(rng.random((30, 4000)), 2)
+    best = similarity._Best(ids, 4, 6)
+    for lo in range(0, 4000, 150):
+        best.add(own[lo : lo + 150], sim[:, lo : lo + 150])
+    got = best.batch().to_pandas()
+    for r, i in enumerate(ids):
+        want = sorted(((-s, j) for s, j in zip(sim[r], own, strict=True) if j != i))[:4]
+        assert sorted(zip(-got.sim[got.i == i], got.j[got.i == i], strict=True)) == want
+    assert similarity._Best(np.arange(4096), 10, 6).rows * 4096 <= similarity.CELLS
+
+
+def test_copies_join_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(7, 3))
+    key = [int(v) for v in rng.integers(0, 7, 80)]
+    rows = spark.createDataFrame([(i, k, x[k].tolist()) for i, k in enumerate(key)], "id long, key long, v array<double>")
+    near = lambda q, b: similarity.knn_join(q, b, 5, "cosine", "id", "v")
+    got = similarity.copies_join(rows, F.expr("id % 3 = 0"), 5, "key", near, F.lit(1.0)).collect()
+    sim = np.round(similarity._similarity(x[key], x[key], "cosine"), 6) + 0.0
+    want = {(i, j, sim[i, j], r + 1) for i in range(0, 80, 3) for r, j in enumerate(sorted((j for j in range(80) if j != i), key=lambda j: (-sim[i, j], j))[:5])}
+    assert {(r.i, r.j, r.sim, r["rank"]) for r in got} == want
+
+
+def test_pair_products_keep_pairs_without_common_terms(spark):
+    vectors = spark.createDataFrame([(1, [(5, 0.5), (-2, 2.0)], [(1, 1.0)]), (2, [(-2, 3.0)], None), (3, [(9, 1.0)], [(1, 4.0)])], "id long, a array<struct<term: long, weight: double>>, b array<struct<term: long, weight: double>>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 1)], "i long, j long")
+    got = {tuple(r) for r in similarity.pair_products(pairs, vectors, ("a", "b")).collect()}
+    assert got == {(1, 2, 6.0, 0.0), (1, 3, 0.0, 4.0), (2, 3, 0.0, 0.0), (1, 1, 4.25, 1.0)}
