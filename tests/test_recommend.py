@@ -104,3 +104,27 @@ def test_pair_models(spark):
     rows = {r.features: r for r in QUERIES["ablation_refit"](spark, "/root/testdata/sf0.01").collect()}
     assert len(rows) == 8 and rows["all"].auc > 0.6 and rows["all"].gain == 0
     assert QUERIES["pair_boosting"](spark, "/root/testdata/sf0.01").first().auc > 0.6
+
+
+def test_co_rated_slices_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    held = {(int(u), int(i)): float(rng.normal()) for u, i in rng.integers(0, 300, (900, 2)) % np.array([300, 9])}
+    rows = spark.createDataFrame([(u, i, d) for (u, i), d in held.items()], "u long, i long, d double")
+
+    def want(members, key, k, asked=lambda m: True):
+        out = set()
+        for x in filter(asked, members):
+            found = []
+            for y in members:
+                both = [(held[key(x, c)], held[key(y, c)]) for c in range(300) if y != x and key(x, c) in held and key(y, c) in held]
+                q = sum(a * a for a, _ in both) * sum(b * b for _, b in both)
+                s = round(sum(a * b for a, b in both) / q**0.5 * len(both) / (len(both) + 25), 9) if q > 1e-12 else 0
+                found += [(-s, y, len(both))] if s > 0 else []
+            out |= {(x, y, n, -s, r + 1) for r, (s, y, n) in enumerate(sorted(found)[:k])}
+        return out
+
+    close = lambda rows: {(x, y, n, round(s, 7), k) for x, y, n, s, k in rows}
+    got = similarity.co_rated(rows, "u", "i", "d", 3, 25).collect()
+    assert close(map(tuple, got)) == close(want(range(9), lambda x, c: (c, x), 3))
+    got = similarity.co_rated(rows, "i", "u", "d", 4, 25, F.expr("u % 50 = 0")).collect()
+    assert close(map(tuple, got)) == close(want(range(300), lambda x, c: (x, c), 4, lambda x: x % 50 == 0))
