@@ -137,3 +137,15 @@ def test_pair_products_keep_pairs_without_common_terms(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 1)], "i long, j long")
     got = {tuple(r) for r in similarity.pair_products(pairs, vectors, ("a", "b")).collect()}
     assert got == {(1, 2, 6.0, 0.0), (1, 3, 0.0, 4.0), (2, 3, 0.0, 0.0), (1, 1, 4.25, 1.0)}
+
+
+def test_kept_rows_are_removed(spark):
+    import os
+
+    from quern.session import drop_rows, kept_rows
+
+    rows, path = kept_rows(spark.range(5))
+    local = path.removeprefix("file:")
+    assert sorted(r.id for r in rows.collect()) == list(range(5)) and os.path.isdir(local)
+    drop_rows(spark, path)
+    assert not os.path.exists(local)
