@@ -3,9 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quern.operators import similarity
-from quern.plans import recommend
-from quern.plans.registry import QUERIES, in_spark
+from quern.operators import matching, similarity
+from quern.plans import dialect, products, recommend
+from quern.plans.registry import QUERIES, SPARK_STAGED, expand, in_spark
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,3 +128,24 @@ def test_co_rated_slices_equal_brute_force(spark):
     assert close(map(tuple, got)) == close(want(range(9), lambda x, c: (c, x), 3))
     got = similarity.co_rated(rows, "i", "u", "d", 4, 25, F.expr("u % 50 = 0")).collect()
     assert close(map(tuple, got)) == close(want(range(300), lambda x, c: (x, c), 4, lambda x: x % 50 == 0))
+
+
+def test_pairs_of_a_group_meet_in_bounded_shares(spark, monkeypatch):
+    """One group of 300 rows, 40 of them asked: each pair once, and no task makes a third of them."""
+    monkeypatch.setattr(matching, "PAIRS", 500)
+    rows = spark.range(300).selectExpr("id AS j", "CASE WHEN id < 290 THEN 'g' WHEN id < 298 THEN 'h' END AS grp")
+    asked = rows.where("j < 40 OR j IN (295, 299)").withColumnRenamed("j", "i")
+    met = matching.group_pairs(asked, rows, "grp").select("i", "j", F.spark_partition_id().alias("task")).toPandas()
+    assert sorted(zip(met.i, met.j, strict=True)) == [(i, j) for i in range(40) for j in range(290)] + [(295, j) for j in range(290, 298)]
+    assert met.groupby("task").size().max() < len(met) / 3
+
+
+def test_random_partners_are_joined_by_id(spark, capsys):
+    """Rows asked never meet all rows of other groups."""
+    names = {n: spark.read.parquet(f"{SF}/part.parquet") for n in ("part",)}
+    near = spark.createDataFrame([], "i long, j long")
+    text = dialect.spelled(expand(products.VIEWS["negative_pairs"], SPARK_STAGED), dialect.SPARK)
+    spark.sql(text, **names, text_nearest=near, hash_nearest=near).explain()
+    plan = capsys.readouterr().out
+    assert "grp" in plan
+    assert not [line for line in plan.splitlines() if ("NestedLoop" in line or "Cartesian" in line) and "NOT (grp" in line]
