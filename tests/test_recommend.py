@@ -1,11 +1,13 @@
 """Neighbourhood predictions, ranking and match scores against plain numpy."""
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import matching, similarity
 from quern.plans import dialect, products, recommend
-from quern.plans.registry import QUERIES, SPARK_STAGED, expand, in_spark
+from quern.plans.registry import ORACLE_SQL, QUERIES, SPARK_STAGED, expand, in_spark
 
 SF = "/root/testdata/sf0.001"
 
@@ -149,3 +151,17 @@ def test_random_partners_are_joined_by_id(spark, capsys):
     plan = capsys.readouterr().out
     assert "grp" in plan
     assert not [line for line in plan.splitlines() if ("NestedLoop" in line or "Cartesian" in line) and "NOT (grp" in line]
+
+
+def test_benchmark_pairs_are_scored_by_titles(spark, tmp_path, monkeypatch):
+    """500 products of two groups make 2,445 pairs of a group and are scored as a few pairs of titles, as the SQL has it."""
+    rows = [(k, f"red box {k % 2}", f"type {k % 2}", k % 3, f"brand {k % 7}") for k in range(500)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    seen, made = [], products._text_products
+    monkeypatch.setattr(products, "_text_products", lambda view, pairs, kinds: seen.append(pairs.count()) or made(view, pairs, kinds))
+    got = [tuple(r) for r in QUERIES["benchmark_kind_auc"](spark, str(tmp_path)).orderBy("kind").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(f"SELECT kind, n, auc FROM ({ORACLE_SQL['benchmark_kind_auc']}) q ORDER BY kind").fetchall()
+    assert got == [pytest.approx(w) for w in want] and got
+    assert max(seen) < 100
