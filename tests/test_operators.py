@@ -149,3 +149,36 @@ def test_kept_rows_are_removed(spark):
     assert sorted(r.id for r in rows.collect()) == list(range(5)) and os.path.isdir(local)
     drop_rows(spark, path)
     assert not os.path.exists(local)
+
+
+def test_knn_join_of_dealt_groups_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 4))
+    x[300:320] = x[0]  # ties
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(700, None)], "vec_id long, embedding array<double>").repartition(3)
+    for metric in similarity.METRICS:
+        near = similarity.knn_join(rows, rows, 3, metric, block_rows=50)
+        got = {}
+        for r in near.orderBy("i", "rank").collect():
+            got.setdefault(r.i, []).append(r.j)
+        sim = np.round(similarity._similarity(x, x, metric), 6)
+        np.fill_diagonal(sim, -np.inf)
+        assert got == {i: sorted(range(700), key=lambda j: (-sim[i, j], j))[:3] for i in range(700)}
+
+
+def test_neighbours_are_asked_for_every_row(spark):
+    from quern.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    for name in ("knn_cosine", "knn_dot", "knn_l2"):
+        assert QUERIES[name](spark, sf).select("i").distinct().count() == n
+
+
+def test_hits_are_counted_for_every_row(spark):
+    from quern.plans.registry import QUERIES
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    assert QUERIES["missed_pairs"](spark, "/root/testdata/sf0.001").count() == rows.where("label IS NOT NULL").count()
+    others = rows.groupBy("label").count().where("count > 1").agg({"count": "sum"}).first()[0]
+    assert QUERIES["candidate_recall"](spark, "/root/testdata/sf0.001").first().queries == others
