@@ -17,3 +17,21 @@ def test_features_cut_rows_of_candidates_only(spark):
     pairs = in_spark("SELECT i, j FROM {product_features} f")(spark, SF, staged)
     assert "product_words" not in staged
     assert pairs.exceptAll(staged["product_candidates"].select("i", "j")).isEmpty() and staged["product_candidates"].count() == pairs.count() > 0
+
+
+def test_named_queries_ask_for_every_product(spark):
+    from quern.plans.registry import QUERIES
+
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert QUERIES["pair_features_14"](spark, SF).select("i").distinct().count() == n
+    assert QUERIES["matches_plain"](spark, SF).count() == n
+
+
+def test_scores_of_every_row_stay_apart_from_those_of_the_asked(spark):
+    staged = {}
+    every = in_spark("SELECT DISTINCT i FROM {every_product_scores} f")(spark, SF, staged).count()
+    asked = in_spark("SELECT DISTINCT i FROM {product_scores} f")(spark, SF, staged).count()
+    assert asked == 4 < every == 200
+    counts = in_spark("SELECT SUM(n) AS n FROM {every_benchmark_counts} b WHERE y = 1")(spark, SF, staged).first().n
+    pairs = in_spark("SELECT COUNT(*) AS n FROM {products} a JOIN {products} b ON a.grp = b.grp AND a.id < b.id")(spark, SF, staged).first().n
+    assert counts == pairs
