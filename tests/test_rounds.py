@@ -1,5 +1,8 @@
 """Models trained in rounds: planted signals, gradients against finite differences, and the same result for any partitioning."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -179,3 +182,13 @@ def test_hashed_normal_depends_on_the_feature_only():
     a = rounds.hashed_normal(np.array([5, 9, -3]), 2000, 1, 2.0)
     assert np.array_equal(a[1], rounds.hashed_normal(np.array([9]), 2000, 1, 2.0)[0])
     assert abs(a.mean()) < 0.1 and abs(a.std() - 2) < 0.1 and abs(np.corrcoef(a)[0, 1]) < 0.1
+
+
+def test_neighbours_of_every_word(spark):
+    from quern.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    counts = Counter(w for t in texts if t for w in re.findall("[a-z0-9]+", t.lower()))
+    near = QUERIES["skipgram_neighbours"](spark, sf)
+    assert {r.word for r in near.select("word").distinct().collect()} == {w for w, n in counts.items() if n >= 5}
